@@ -142,8 +142,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "text_sha256",
         "n_chars",
     )
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("n_chars")))
-    return out.withColumn("kept", (F.col("doc_id") == F.col("keep_id")) & (nth == 1)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_chars")
+    # of repeated rows the first is kept; by doc_id alone, as a text's copies may be a third of all rows
+    same = F.lag("text_sha256").over(Window.partitionBy("doc_id").orderBy("text_sha256", F.desc("n_chars")))
+    return out.withColumn("kept", (F.col("doc_id") == F.col("keep_id")) & ~same.eqNullSafe(F.col("text_sha256"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_chars")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.llm import queries_corpus, queries_dedup
+from graphloom.llm import queries_corpus, queries_dedup, queries_search
 
-MODULES = [queries_dedup, queries_corpus]
+MODULES = [queries_dedup, queries_search, queries_corpus]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

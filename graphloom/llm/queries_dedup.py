@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from graphloom.llm.common import table
 from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.ngram_join import ngram_join
+from graphloom.llm.substring_dedup import repeated_passages
+
+
+def op1_substring_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_ngram_join": op2_ngram_join, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
