@@ -57,12 +57,13 @@ def _share(nodes: DataFrame, parent: list[str], budget: str, out: str) -> DataFr
     return step.withColumn(out, F.when(F.col("full") == 1, F.col("capacity")).otherwise(part)).drop("open_budget", "open_weight", "full", "left", "left_weight")
 
 
-def leaf_budgets(leaves: DataFrame, budget: DataFrame) -> DataFrame:
-    """leaves: domain, lang, source, tokens, capacity, weights w_domain, w_lang, w_source; budget: one row, budget."""
-    sums = lambda *keys: leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity"), F.max(f"w_{keys[-1]}").alias("weight")).withColumn("node", F.col(keys[-1]))
-    # one row; a cross join with a single aggregate row
-    top = _share(sums("domain").withColumn("all", F.lit(1)).join(F.broadcast(budget.withColumn("all", F.lit(1))), "all"), ["all"], "budget", "domain_budget").select("domain", "domain_budget")
-    mid = _share(sums("domain", "lang").join(top, "domain"), ["domain"], "domain_budget", "lang_budget").select("domain", "lang", "lang_budget")
+def leaf_budgets(leaves: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """leaves: domain, lang, source, tokens, capacity, weights w_domain, w_lang, w_source; share: the budget's part of all tokens."""
+    sums = lambda *keys: leaves.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.sum("capacity").alias("capacity"), F.max(f"w_{keys[-1]}").alias("weight")).withColumn("node", F.col(keys[-1]))
+    # a row per domain
+    budget = F.expr(f"sum(tokens) over (partition by `all`) * {share[0]} div {share[1]}")
+    top = _share(sums("domain").withColumn("all", F.lit(1)).withColumn("budget", budget), ["all"], "budget", "domain_budget").select("domain", "domain_budget")
+    mid = _share(sums("domain", "lang").drop("tokens").join(top, "domain"), ["domain"], "domain_budget", "lang_budget").select("domain", "lang", "lang_budget")
     low = leaves.withColumns({"weight": F.col("w_source"), "node": F.col("source")}).join(mid, ["domain", "lang"])
     return _share(low, ["domain", "lang"], "lang_budget", "leaf_budget").select("domain", "lang", "source", "tokens", "leaf_budget")
 
@@ -85,8 +86,7 @@ def mix(docs: DataFrame, *, share: tuple[int, int] = (1, 2), max_epochs: int = 2
     slim = stored(rows.select("doc_id", *leaf, "mix_tokens").filter("mix_tokens > 0"))
     sums = stored(slim.groupBy(*leaf).agg(F.sum("mix_tokens").alias("tokens")).toDF("domain", "lang", "source", "tokens"))
     leaves = sums.withColumns({"capacity": F.col("tokens") * max_epochs} | {f"w_{x}": weight(x) for x in ("domain", "lang", "source")})
-    budget = sums.agg(F.expr(f"coalesce(sum(tokens), 0) * {share[0]} div {share[1]}").alias("budget"))
-    plan = leaf_budgets(leaves, budget).withColumns({"epochs": F.expr("leaf_budget div tokens"), "rest": F.expr("leaf_budget % tokens")})
+    plan = leaf_budgets(leaves, share).withColumns({"epochs": F.expr("leaf_budget div tokens"), "rest": F.expr("leaf_budget % tokens")})
     plan = stored(plan.select(*(F.col(x).alias(f"mix_{x}") for x in ("domain", "lang", "source")), "leaf_budget", "epochs", "rest"))
 
     # the order of a leaf's next epoch; its first 12 bits give a row's range
