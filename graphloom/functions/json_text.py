@@ -27,6 +27,11 @@ def json_add_if_exists(text: Column, key: str, value: Column) -> Column:
     return F.when(value.isNull(), text).when(json_is_empty(text), F.concat(F.lit("{"), pair, F.lit("}"))).otherwise(F.concat(F.regexp_replace(text, r"\}\s*$", ","), pair, F.lit("}")))
 
 
+def json_add_if_non_empty(text: Column, key: str, value: Column) -> Column:
+    """A key added to an object's end, unless the value is null or empty."""
+    return json_add_if_exists(text, key, F.when(~json_is_empty(value), value))
+
+
 def _dumps(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 

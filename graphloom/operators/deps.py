@@ -110,6 +110,13 @@ def multi_fetch(requests: DataFrame, states: DataFrame, acls: DataFrame, identit
     return found.select("position", *KEY, status.alias("status"), F.when(status == "Found", F.col("rev")).alias("rev"))
 
 
+def resolve_in_project(refs: DataFrame, states: DataFrame, *, allow_deprecated: bool = False) -> DataFrame:
+    """References within their own project: Resolved, NotFound or Deprecated."""
+    found = refs.join(states.filter("tag = 'latest'").select(*KEY, "rev", "deprecated"), KEY, "left")
+    verdict = F.when(F.col("rev").isNull(), "NotFound").when(F.col("deprecated") & F.lit(not allow_deprecated), "Deprecated").otherwise("Resolved")
+    return found.select(*KEY, verdict.alias("verdict"))
+
+
 def resolve_across(refs: DataFrame, resolvers: DataFrame, states: DataFrame, *, allow_deprecated: bool = False) -> DataFrame:
     """Walk resolvers by (priority, resolver) and each one's projects in order; the first that has the id wins.
 

@@ -82,6 +82,12 @@ def projection_progress(feed: DataFrame, *keys: str) -> DataFrame:
     return feed.groupBy(*keys).agg(*counts)
 
 
+def delay_seconds(last: Column, before: Column) -> Column:
+    """Whole seconds between two instants, floored."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return F.floor((micros(last) - micros(before)) / 1_000_000)
+
+
 def progress_statistics(progress: DataFrame, total: DataFrame, *keys: str) -> DataFrame:
     """progress (processed, discarded, failed, instant) against what is there (n, last_instant), per key.
 
@@ -90,7 +96,6 @@ def progress_statistics(progress: DataFrame, total: DataFrame, *keys: str) -> Da
     both = progress.withColumnRenamed("instant", "processed_instant").join(total, list(keys), "full")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("processed", "discarded", "failed", "n")}
     both = both.withColumns(zero)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return both.select(
         *keys,
         "processed",
@@ -99,7 +104,7 @@ def progress_statistics(progress: DataFrame, total: DataFrame, *keys: str) -> Da
         (F.col("processed") - F.col("discarded") - F.col("failed")).alias("evaluated"),
         (F.col("n") - F.col("processed")).alias("remaining"),
         F.col("n").alias("total"),
-        F.floor((micros("last_instant") - micros("processed_instant")) / 1_000_000).alias("delay_seconds"),
+        delay_seconds(F.col("last_instant"), F.col("processed_instant")).alias("delay_seconds"),
     )
 
 

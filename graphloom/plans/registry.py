@@ -71,6 +71,6 @@ def query(sql: str | None = None, tables: str = "", name: str | None = None):
 
 def load_queries() -> dict[str, Query]:
     """All registered queries; importing their modules registers them."""
-    from graphloom.plans import graph_queries, listing_queries, log_queries  # noqa: F401
+    from graphloom.plans import graph_queries, listing_queries, log_queries, more_queries  # noqa: F401
 
     return dict(QUERIES)
