@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from graphloom.llm.common import bounded_batches
+
 #: How the vocabulary's file splits text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII alone.
@@ -188,6 +190,7 @@ def _batches(column: pa.Array) -> Iterator[list[str]]:
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) of whole texts."""
+    bounded_batches(docs)
 
     def run(batches):
         for batch in batches:
@@ -201,6 +204,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of doc_id, ids."""
+    bounded_batches(encoded)
 
     def run(batches):
         for batch in batches:
@@ -212,6 +216,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: whole texts encoded, and decoded from the ids, in one pass."""
+    bounded_batches(docs)
 
     def run(batches):
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import partitions, rows_in, rows_not_in, stored
+from graphloom.llm.common import bounded_batches, partitions, rows_in, rows_not_in, stored
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 #: Bits of a fingerprint beyond log2 of the number of rows: about one text in 2**12 is suspected falsely.
@@ -115,6 +115,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     with most code points, then the smallest doc_id, stays.
     """
     spark = docs.sparkSession
+    bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     owners = partitions(spark)
     bits = min(60, max(16, math.ceil(math.log2(docs.count() + 1)) + SPARE_BITS))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import bounded_batches
+
 # Short notices and the opening paragraphs of public licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -102,6 +104,7 @@ class Scanner:
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and matches (license, dice, start, end in code points) of every document."""
+    bounded_batches(docs)
     templates = TEMPLATES if templates is None else templates
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpointed, rows_in, rows_not_in, stored
+from graphloom.llm.common import bounded_batches, checkpointed, rows_in, rows_not_in, stored
 from graphloom.llm.components import connected_components
 from graphloom.llm.shingles import fold_bits, parity_bits, shingle_sets
 
@@ -174,6 +174,7 @@ def ngram_links(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100) -
     every linked pair is listed, but every linked pair is connected.
     """
     spark = docs.sparkSession
+    bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     kinds = stored(_sets(docs, k, num, den, "classes"))
     groups = stored(kinds.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))

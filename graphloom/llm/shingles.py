@@ -21,7 +21,7 @@ _RANDOM = np.random.default_rng(20240229)
 _BYTE_VALUES = _RANDOM.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE_VALUES = _RANDOM.integers(1, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes handled at once, unless one text is longer.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 #: A-Z to a-z, white space to a space.
 _FOLD = np.arange(256, dtype=np.uint8)
