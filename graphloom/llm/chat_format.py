@@ -58,10 +58,12 @@ class Formatter:
     def __init__(self, template: Template):
         self.template = template
         self.control = re.compile("|".join(map(re.escape, template.controls)))
+        #: the first character of each mark, also where marks overlap
+        self.begins = re.compile(f"(?={self.control.pattern})(.)", re.S)
         self.role_of = {mark: role for role, mark in template.open.items()}
 
     def escape(self, text: str) -> str:
-        return self.control.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
+        return self.begins.sub(r"\1\\", text.replace("\\", "\\\\"))
 
     @staticmethod
     def unescape(text: str) -> str:
@@ -166,5 +168,5 @@ def chat_texts(conversations: DataFrame, template: Template | None = None) -> Da
     """conv_id, text (formatted), and spans (start, length) of what bears loss; one row per conversation."""
     s = chat_segments(conversations, template).select("conv_id", F.struct("turn_no", "part", "segment", "loss").alias("s"))
     one = s.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    starts = F.expr("aggregate(s, cast(array() as array<struct<start:int,length:int,loss:boolean>>), (a, x) -> concat(a, array(struct(coalesce(element_at(a, -1).start + element_at(a, -1).length, 0) as start, length(x.segment) as length, x.loss as loss))))")
+    starts = F.expr("aggregate(s, cast(array() as array<struct<start:int,length:int,loss:boolean>>), (a, x) -> concat(a, array(struct(coalesce(try_element_at(a, -1).start + try_element_at(a, -1).length, 0) as start, length(x.segment) as length, x.loss as loss))))")
     return one.select("conv_id", F.array_join("s.segment", "").alias("text"), F.transform(F.filter(starts, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("spans"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpointed, partitions
+from graphloom.llm.common import bounded_batches, checkpointed, partitions
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?][^>]*>|<[/!?]?[a-zA-Z][^<>]*\Z", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -197,13 +197,16 @@ def partners(pages: DataFrame) -> DataFrame:
     same = lambda f: f("host").over(order) == F.col("host")
     border = border.select("page_id", F.when(same(F.lag), F.struct(F.lag("page_id").over(order).alias("id"), F.lag("path").over(order).alias("path"))).alias("b"), F.when(same(F.lead), F.struct(F.lead("page_id").over(order).alias("id"), F.lead("path").over(order).alias("path"))).alias("a"))
     near = near.join(border, "page_id", "left").select("page_id", "path", *(F.coalesce(f"{x}_{y}", F.when(F.col(e), F.col(f"{x[0]}.{y}"))).alias(f"{x}_{y}") for x, e in (("before", "first"), ("after", "last")) for y in ("id", "path")))
-    common = lambda x: F.expr(f"coalesce(array_position(transform(sequence(1, least(length(path), length({x}))), i -> substring(path, i, 1) = substring({x}, i, 1)), false), 1000000000)")
+    # where two paths first differ
+    short = "least(length(path), length({x}))"
+    common = lambda x: F.expr(f"if({short} = 0, 1, coalesce(nullif(array_position(transform(sequence(1, {short}), i -> substring(path, i, 1) = substring({{x}}, i, 1)), false), 0), {short} + 1))".replace("{x}", x))
     nearer = F.when(F.col("before_id").isNull(), F.col("after_id")).when(F.col("after_id").isNull(), F.col("before_id")).when(common("after_path") > common("before_path"), F.col("after_id")).otherwise(F.col("before_id"))
     return near.select("page_id", nearer.alias("partner_id")).filter("partner_id is not null")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    bounded_batches(pages)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     pairs = partners(pages)
     others = pages.select(F.col("page_id").alias("partner_id"), F.col("html").alias("partner")).dropDuplicates(["partner_id"])
