@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import rows_not_in, stored
+from graphloom.llm.common import bounded_batches, rows_not_in, stored
 
 #: Labelled documents to learn from, at most, and features that are weighed.
 MOST_LABELLED, MOST_FEATURES = 20_000, 50_000
 #: Texts (near copies count once) that a feature must be in, and the normal quantile of its lower bound.
-LEAST_TEXTS, QUANTILE = 3, 2.0
+LEAST_TEXTS, QUANTILE = 3, 2.25
 #: The least bound that counts.
 LEAST_BOUND = 0.4
 THRESHOLD = 0.3
@@ -259,10 +259,17 @@ def learn(docs: DataFrame, labels: DataFrame, costs) -> tuple[dict[str, float],
     hits = once.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("hits")).filter(F.col("hits") >= LEAST_TEXTS)
     hits = hits.orderBy(F.desc("hits"), "feature").limit(MOST_FEATURES)
     clean = rows.filter("toxic <> 1").select(F.explode("features").alias("feature")).join(F.broadcast(hits), "feature").groupBy("feature").agg(F.count("*").alias("misses"))
+    found = hits.join(clean, "feature", "left").select("feature", "hits", F.coalesce("misses", F.lit(0))).collect()
+    # first letters say something only if several words share them; one word speaks for itself
+    largest: dict[str, int] = {}
+    for feature, n, _ in found:
+        if not feature.endswith("*"):
+            for start in features_of(feature)[1:]:
+                largest[start] = max(largest.get(start, 0), n)
     bounds = {}
-    for feature, n, misses in hits.join(clean, "feature", "left").select("feature", "hits", F.coalesce("misses", F.lit(0))).collect():
+    for feature, n, misses in found:
         bound = lower_bound(n, n + misses)
-        if bound >= LEAST_BOUND:
+        if bound >= LEAST_BOUND and n >= 2 * largest.get(feature, 0):
             bounds[feature] = bound
     toxic, total = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     return bounds, min(0.1, toxic / total / 4) if total else 0.0
@@ -305,6 +312,7 @@ def score(docs: DataFrame, costs, bounds: dict[str, float], base: float) -> Data
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from THRESHOLD on), n_hits of every document."""
+    bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     spark = docs.sparkSession
     costs = spark.sparkContext.broadcast(language_model(trigram_counts(docs)))
@@ -315,6 +323,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def restored(docs: DataFrame) -> DataFrame:
     """doc_id and restored text of every document."""
+    bounded_batches(docs)
     costs = docs.sparkSession.sparkContext.broadcast(language_model(trigram_counts(docs)))
 
     def run(batches):
