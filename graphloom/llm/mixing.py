@@ -82,8 +82,10 @@ def mix(docs: DataFrame, *, share: tuple[int, int] = (1, 2), max_epochs: int = 2
 
     keys = {"mix_domain": domain if domain is not None else source_domain(), "mix_lang": F.col("lang"), "mix_source": F.col("source")}
     leaf = list(keys)
-    rows = docs.filter("doc_id is not null").withColumns({k: F.coalesce(v, F.lit("")) for k, v in keys.items()} | {"mix_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKENS)).cast("long")})
-    slim = stored(rows.select("doc_id", *leaf, "mix_tokens").filter("mix_tokens > 0"))
+    # the document goes along as one column, so that its columns' names can't meet ours
+    own = {k: F.coalesce(v, F.lit("")) for k, v in keys.items()} | {"mix_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKENS)).cast("long")}
+    rows = docs.filter("doc_id is not null").select(F.struct(*docs.columns).alias("doc"), "doc_id", *(v.alias(k) for k, v in own.items())).filter("mix_tokens > 0")
+    slim = stored(rows.drop("doc"))
     sums = stored(slim.groupBy(*leaf).agg(F.sum("mix_tokens").alias("tokens")).toDF("domain", "lang", "source", "tokens"))
     leaves = sums.withColumns({"capacity": F.col("tokens") * max_epochs} | {f"w_{x}": weight(x) for x in ("domain", "lang", "source")})
     plan = leaf_budgets(leaves, share).withColumns({"epochs": F.expr("leaf_budget div tokens"), "rest": F.expr("leaf_budget % tokens")})
@@ -102,6 +104,7 @@ def mix(docs: DataFrame, *, share: tuple[int, int] = (1, 2), max_epochs: int = 2
     cuts = edge.groupBy(*leaf).agg(F.max("mix_order").alias("cut"))
     plan = stored(plan.join(cuts, leaf, "left"))
 
-    chosen = rows.filter("mix_tokens > 0").join(plan, leaf).withColumn("mix_order", order)
-    copies = F.col("epochs") + F.when(F.col("mix_order") <= F.col("cut"), 1).otherwise(0)
-    return chosen.withColumn("copies", copies).filter("copies > 0").select(*(chosen[c] for c in docs.columns), *leaf, "mix_tokens", "leaf_budget", "copies")
+    chosen = rows.join(plan, leaf).withColumn("mix_order", order)
+    chosen = chosen.withColumn("copies", F.col("epochs") + F.when(F.col("mix_order") <= F.col("cut"), 1).otherwise(0)).filter("copies > 0")
+    added = [*leaf, "mix_tokens", "leaf_budget", "copies"]
+    return chosen.select(*(F.col(f"doc.{c}") for c in docs.columns if c not in added), *added)
