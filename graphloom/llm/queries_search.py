@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.chat_format import Template, chat_segments, read_back
 from graphloom.llm.common import table
 from graphloom.llm.html_text import extract_text
-from graphloom.llm.licenses import license_scan
+from graphloom.llm.licenses import TEMPLATES, THRESHOLD, license_scan
 from graphloom.llm.topk import exact_top_k, whole_vectors
 from graphloom.llm.toxicity import toxicity
 
@@ -57,7 +57,25 @@ def _chat_sql() -> str:
     """
 
 
+def _license_sql() -> str:
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    given = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in TEMPLATES.items())
+    return rf"""
+        WITH t AS (SELECT name, {pairs} AS b FROM (SELECT name, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {given}) v(name, text))),
+        d AS (SELECT doc_id, coalesce(text, '') AS text, string_split_regex(coalesce(text, ''), '\n[ \t\r\f\v]*\n\s*') AS blocks FROM documents WHERE doc_id IS NOT NULL),
+        u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM d
+              UNION ALL SELECT doc_id, unnest(list_filter(blocks, lambda x: contains(x, chr(10)))) FROM d
+              UNION ALL SELECT doc_id, text FROM d WHERE len(blocks) > 1),
+        b AS (SELECT row_number() OVER () AS unit_no, doc_id, {pairs} AS b FROM (SELECT doc_id, regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+') AS w FROM u) WHERE len(w) > 1),
+        m AS (SELECT unit_no, doc_id, name, 2 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b JOIN t ON len(b.b) >= len(t.b) * 0.66 AND len(b.b) <= len(t.b) * 1.51),
+        best AS (SELECT doc_id, name, dice FROM m WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY unit_no ORDER BY dice DESC, name) = 1)
+        SELECT d.doc_id, count(name) AS n_matches, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS licenses, arg_min(name, (-dice, name)) AS best_license, max(dice) AS best_dice
+        FROM d LEFT JOIN best USING (doc_id) GROUP BY d.doc_id
+    """
+
+
 ORACLE_SQL = {
+    "op6_license_scan": _license_sql(),
     "op4_exact_top_k": """
         WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT)) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0 GROUP BY vec_id),
