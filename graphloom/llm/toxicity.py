@@ -12,7 +12,7 @@
 
 Labels are learned from MOST_LABELLED labelled documents at most, those with the
 smallest hashes; model counts cover everything.  Near copies count once, by a
-min-hash of their words.
+sketch of their words.
 
 Defined cases: null text counts as empty and gets the base score; rows with a
 null doc_id take no part; labels that are null are ignored, of several labels
@@ -23,6 +23,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -207,25 +208,25 @@ def _all_words(channel: Channel, token: str) -> list[str]:
 
 
 def _feature_rows(sample: DataFrame, costs) -> DataFrame:
-    """toxic, a min-hash of the words, and the distinct features of each labelled text."""
+    """doc_id, toxic, a sketch of the words (near copies mostly share it), and the distinct features of each labelled text."""
 
     def run(batches):
         channel = Channel(costs.value)
         cache: dict[str, list[str]] = {}
         for batch in batches:
             toxic, signs, rows = [], [], []
-            for text, label in zip(batch.column(0), batch.column(1), strict=True):
+            for text, label in zip(batch.column(1), batch.column(2), strict=True):
                 tokens = tokens_of(text.as_py() or "")
                 for t in tokens:
                     if t not in cache:
                         cache[t] = [f for w in _all_words(channel, t) for f in features_of(w)]
                 own = {f for t in tokens for f in cache[t]}
                 toxic.append(label.as_py())
-                signs.append(min((hash_of(t) for t in tokens), default=0))
+                signs.append(sketch_of(tokens))
                 rows.append(list(own))
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(signs, pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["toxic", "sign", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(toxic, pa.int32()), pa.array(signs, pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "toxic", "sign", "features"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "toxic int, sign long, features array<string>")
+    return sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, sign long, features array<string>")
 
 
 def hash_of(token: str) -> int:
@@ -236,6 +237,11 @@ def hash_of(token: str) -> int:
     return (h ^ h >> 29) * 0xBF58476D1CE4E5B9 >> 1 & 0x7FFFFFFFFFFFFFFF
 
 
+def sketch_of(tokens: set[str]) -> int:
+    """A hash of the words with the four smallest hashes, of those with six letters or more."""
+    return hash_of(" ".join(t for _, t in heapq.nsmallest(4, ((hash_of(t), t) for t in tokens if len(t) >= 6))))
+
+
 def lower_bound(hits: float, n: float) -> float:
     """Wilson's lower bound of a share."""
     if not n:
@@ -255,9 +261,9 @@ def learn(docs: DataFrame, labels: DataFrame, costs) -> tuple[dict[str, float],
     known = known.filter(~held_out_ids(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     # MOST_LABELLED rows of two numbers
     rows = stored(_feature_rows(docs.join(F.broadcast(known), "doc_id"), costs))
-    once = rows.filter("toxic = 1").dropDuplicates(["sign"])
+    once = rows.filter("toxic = 1").groupBy("sign").agg(F.min_by("features", "doc_id").alias("features"))
     hits = once.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("hits")).filter(F.col("hits") >= LEAST_TEXTS)
-    hits = hits.orderBy(F.desc("hits"), "feature").limit(MOST_FEATURES)
+    hits = stored(hits.orderBy(F.desc("hits"), "feature").limit(MOST_FEATURES))
     clean = rows.filter("toxic <> 1").select(F.explode("features").alias("feature")).join(F.broadcast(hits), "feature").groupBy("feature").agg(F.count("*").alias("misses"))
     found = hits.join(clean, "feature", "left").select("feature", "hits", F.coalesce("misses", F.lit(0))).collect()
     # first letters say something only if several words share them; one word speaks for itself
