@@ -11,9 +11,10 @@ n - ceil(threshold * n) + 1 shingles of either, so only these are indexed.
 2. Shingles with long lists are found by counting; the bounded set of the longest
    is broadcast and put last in every document's order.
 3. Lists are merged by their shingle.  A list of up to SHORT_LIST members gives its
-   pairs; a longer one (a group of near copies) gives pairs with a few leaders first,
-   and then, in blocks of bounded size and only between what isn't connected
-   yet, the pairs that sizes and parity bitmaps, which never exclude a true pair, allow.
+   pairs; a longer one (a group of near copies) gives pairs with a few leaders first.
+   Then the documents that long lists bring together meet in blocks of bounded size,
+   where only what isn't connected yet is compared, and links come out as a forest.
+   Sizes and parity bitmaps, which never exclude a true pair, go before each comparison.
 4. Candidates are verified by binary probes of the sorted sets.
 5. Links make components.
 
@@ -26,6 +27,7 @@ table gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -43,8 +45,8 @@ LONG_FROM = 16
 MOST_LONG = 200_000
 #: Lists of up to so many members give all pairs.
 SHORT_LIST = 64
-#: Leaders of each longer list, and members of a block of it.
-LEADERS, BLOCK = 4, 2048
+#: Leaders of each longer list, and shingles of a block of documents.
+LEADERS, BLOCK = 4, 250_000
 
 
 def needed(n, num: int, den: int):
@@ -136,33 +138,45 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seta", "setb").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(num: int, den: int):
-    """Pairs of one block pair of a long list, between components, that sizes and bitmaps allow."""
+def _block_links(num: int, den: int):
+    """Links within one block pair that connect what isn't connected yet: a forest, however many pairs are linked."""
 
     def run(members: pd.DataFrame) -> pd.DataFrame:
-        if members["component"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         members = members.sort_values("n", kind="stable").reset_index(drop=True)
-        n, doc, component, side = (members[c].to_numpy() for c in ("n", "doc_id", "component", "side"))
-        within = members["i"].iloc[0] == members["j"].iloc[0]
-        sizes = members["bits"].str.len().to_numpy()
+        n, doc, side, visitor = (members[c].to_numpy() for c in ("n", "doc_id", "side", "visitor"))
+        root = {c: c for c in members["component"]}
+        component = members["component"].tolist()
+        within = members["i"].iat[0] == members["j"].iat[0]
         a, b = [], []
-        for row in range(len(members)):
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in members["shingles"]]
+        bits = np.stack([parity_bits(x, _bitmap_size(int(n[-1]))) for x in sets]).view(np.uint64)
+        for row in range(len(members) - 1):
             upto = int(np.searchsorted(n, n[row] * den // num, side="right"))
             other = np.arange(row + 1, upto)
-            other = other[(component[other] != component[row]) & (True if within else (side[other] != side[row]))]
-            size = sizes[row]
-            x = np.frombuffer(members["bits"].iat[row], dtype=np.uint8)
-            for length in np.unique(sizes[other]):
-                some = other[sizes[other] == length]
-                low = min(size, length) * 8
-                ys = np.frombuffer(b"".join(members["bits"].iloc[some]), dtype=np.uint8).reshape(len(some), -1)
-                apart = np.bitwise_count(fold_bits(ys, low) ^ fold_bits(x, low)).sum(axis=1, dtype=np.int64)
-                some = some[apart <= _most_apart(n[row], n[some], num, den)]
-                a.append(np.minimum(doc[row], doc[some]))
-                b.append(np.maximum(doc[row], doc[some]))
-        found = pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
-        return found[found["a"] != found["b"]].drop_duplicates()
+            good = ~(visitor[other] & visitor[row])
+            if not within:
+                good &= side[other] != side[row]
+            own = find(component[row])
+            other = [o for o in other[good].tolist() if find(component[o]) != own]
+            if not other:
+                continue
+            apart = np.bitwise_count(bits[other] ^ bits[row]).sum(axis=1, dtype=np.int64)
+            for o in np.asarray(other)[apart <= _most_apart(n[row], n[other], num, den)].tolist():
+                x, y = find(component[row]), find(component[o])
+                if x != y:
+                    both = int((sets[o][np.minimum(np.searchsorted(sets[o], sets[row]), len(sets[o]) - 1)] == sets[row]).sum())
+                    if den * both >= num * (int(n[row]) + int(n[o]) - both):
+                        root[max(x, y)] = min(x, y)
+                        a.append(min(doc[row], doc[o]))
+                        b.append(max(doc[row], doc[o]))
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     return run
 
@@ -201,18 +215,21 @@ def ngram_links(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100) -
     if longer.limit(1).count() == 0:
         return classes, links
 
-    # what the leaders haven't connected: pairs between components of a long list, in blocks
-    found = checkpointed(connected_components(links))
-    placed = longer.select("shingle", "members", "doc_id", "n").join(found.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = checkpointed(placed)
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
-    open_lists = placed.join(checkpointed(mixed), "shingle", "left_semi").join(marks.select("doc_id", "bits"), "doc_id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = open_lists.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("shingle", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "n", "component", "bits")
-    more = dealt.groupBy("shingle", "i", "j").applyInPandas(_block_pairs(num, den), "a long, b long").distinct()
-    return classes, links.unionByName(_verified(stored(more), docs, k, num, den))
+    # what the leaders haven't connected: documents that long lists bring together, in classes by size
+    # (linked sets are in one class or in neighbouring ones) and blocks of bounded size
+    found = checkpointed(connected_components(links)).toDF("doc_id", "component")
+    together = checkpointed(connected_components(longer.select(F.col("doc_id").alias("a"), F.col("leaders")[0]["id"].alias("b")))).toDF("doc_id", "gathering")
+    members = together.join(marks.select("doc_id", "n"), "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = members.withColumn("cls", F.floor(F.log("n") / math.log(den / num * 1.001)).cast("int"))
+    dealt = checkpointed(members.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("visitor")).withColumn("cls", F.col("cls") - F.col("visitor").cast("int")))
+    sizes = dealt.groupBy("gathering", "cls").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = checkpointed(sizes.filter("low < high").select("gathering", "cls", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    sets = _sets(rows_in(docs, members.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), k, num, den, "sets").select("doc_id", "shingles")
+    open_ones = dealt.join(sizes, ["gathering", "cls"]).withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    open_ones = open_ones.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "doc_id")
+    blocks = open_ones.select("gathering", "cls", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "visitor", "doc_id", "n", "component", "shingles")
+    more = blocks.groupBy("gathering", "cls", "i", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
+    return classes, links.unionByName(stored(more))
 
 
 def ngram_join(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
