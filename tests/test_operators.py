@@ -26,27 +26,27 @@ def test_closure_tells_projects_apart(spark):
 
 def test_listing_of_index_documents(spark):
     rows = [
-        ("bbp", "proj1", ["Organization"], 2, False, "1970-01-01 00:00:05", "1970-01-01 00:00:10", "alice"),
-        ("epfl", "proj1", ["Organization"], 1, False, "1970-01-01 00:00:10", "1970-01-01 00:00:10", "default"),
+        ("lab", "proj1", ["Organization"], 2, False, "1970-01-01 00:00:05", "1970-01-01 00:00:10", "alice"),
+        ("school", "proj1", ["Organization"], 1, False, "1970-01-01 00:00:10", "1970-01-01 00:00:10", "default"),
         ("trace", "proj2", ["Dataset", "Trace"], 3, False, "1970-01-01 00:00:15", "1970-01-01 00:00:30", "default"),
         ("cell", "proj2", ["Dataset", "Cell"], 3, True, "1970-01-01 00:00:20", "1970-01-01 00:00:40", "alice"),
     ]
     docs = spark.createDataFrame(rows, "id string, project string, types array<string>, rev int, deprecated boolean, created string, updated string, created_by string")
     docs = docs.withColumns({"created_at": F.col("created").cast("timestamp_ntz"), "updated_at": F.col("updated").cast("timestamp_ntz"), "org": F.lit("org")})
     found = lambda **q: {r.id for r in listing.search(docs, listing.Search(**q)).collect()}
-    assert found(created_at=("1970-01-01 00:00:08", "1970-01-01 00:00:16")) == {"epfl", "trace"}
+    assert found(created_at=("1970-01-01 00:00:08", "1970-01-01 00:00:16")) == {"school", "trace"}
     assert found(created_at=("1970-01-01 00:00:11", None)) == {"trace", "cell"}
-    assert found(updated_at=(None, "1970-01-01 00:00:12")) == {"bbp", "epfl"}
+    assert found(updated_at=(None, "1970-01-01 00:00:12")) == {"lab", "school"}
     assert found(deprecated=True) == {"cell"}
-    assert found(created_by="alice") == {"bbp", "cell"}
+    assert found(created_by="alice") == {"lab", "cell"}
     assert found(types=["Dataset", "Cell"], all_types=True) == {"cell"}
     assert found(types=["Dataset"], not_types=["Cell", "Trace"]) == {"trace", "cell"}
-    assert found(not_types=["Dataset", "Cell"], all_types=True) == {"bbp", "epfl"}
+    assert found(not_types=["Dataset", "Cell"], all_types=True) == {"lab", "school"}
 
 
 def test_analytics_of_persons(spark):
     person = lambda i, **p: ("p", f"person{i}", False, '{"@id":"person%d","@type":["Person"],"givenName":[{"@value":"x"}]%s}' % (i, "".join(f',"{k}":[{{"@id":"{v}"}}]' for k, v in p.items())))  # noqa: E731, UP031
-    rows = [person(1, colleague="person4", worksFor="epfl"), person(2, worksFor="epfl"), person(3, alumniOf="epfl"), ("p", "epfl", False, '{"@id":"epfl","@type":["Organization"],"address":[{"street":[{"@value":"y"}]}]}')]
+    rows = [person(1, colleague="person4", worksFor="school"), person(2, worksFor="school"), person(3, alumniOf="school"), ("p", "school", False, '{"@id":"school","@type":["Organization"],"address":[{"street":[{"@value":"y"}]}]}')]
     docs = spark.createDataFrame(rows, "project string, id string, deprecated boolean, doc string")
     entries = analytics.flatten_documents(docs)
     nodes = docs.select("project", "id", F.from_json("doc", "`@type` array<string>")["@type"].alias("types"))
@@ -55,8 +55,8 @@ def test_analytics_of_persons(spark):
     assert keys(kinds, "type", "n") == {("Person", 3), ("Organization", 1)}
     assert keys(analytics.relationship_edges(resolved, kinds), "source", "path", "target", "n") == {("Person", "worksFor", "Organization", 2), ("Person", "alumniOf", "Organization", 1)}
     assert keys(analytics.property_statistics(entries, "Person"), "path", "n") == {("givenName", 3), ("worksFor", 2), ("alumniOf", 1), ("colleague", 1)}
-    changed = spark.createDataFrame([("p", "epfl", ["EducationalOrganization"])], "project string, id string, types array<string>")
-    assert keys(analytics.refresh_references(resolved, changed).filter("ref = 'epfl'").withColumn("t", F.col("found_types")[0]), "t") == {("EducationalOrganization",)}
+    changed = spark.createDataFrame([("p", "school", ["EducationalOrganization"])], "project string, id string, types array<string>")
+    assert keys(analytics.refresh_references(resolved, changed).filter("ref = 'school'").withColumn("t", F.col("found_types")[0]), "t") == {("EducationalOrganization",)}
 
 
 def test_arrays_are_inherited_and_single_ones_unwrapped(spark):
