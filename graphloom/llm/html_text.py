@@ -21,6 +21,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_entities
 import re
 from bisect import bisect_left
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_batches, checkpointed, partitions
+from graphloom.llm.common import bounded_batches, checkpointed, partitions, rows_in, rows_not_in, stored
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?][^>]*>|<[/!?]?[a-zA-Z][^<>]*\Z", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -130,9 +131,9 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
     return lines
 
 
-def common_lines(own: list[str], other: list[str]) -> set[int]:
+def common_lines(own: list, other: list) -> set[int]:
     """Places in own of a longest common subsequence, by increasing runs of matching places."""
-    where: dict[str, list[int]] = {}
+    where: dict[object, list[int]] = {}
     shared = set(own) & set(other)
     for j, line in enumerate(other):
         if line in shared:
@@ -156,13 +157,22 @@ def common_lines(own: list[str], other: list[str]) -> set[int]:
     return found
 
 
+def line_hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _chosen(lines: list[tuple[str, bool, bool]]) -> list[tuple[str, bool]]:
+    """(line, whether a partner may take it away) of lines that don't stand aside: the article's, or all without one."""
+    inside = any(x[1] for x in lines)
+    return [(text, not within) for text, within, aside in lines if not aside and (within or not inside)]
+
+
 def main_text(html: str | None, partner: str | None) -> str:
+    """The text of one page, given its partner's html."""
     lines = page_lines(html)
-    if partner is not None:
-        shared = common_lines([x[0] for x in lines], [x[0] for x in page_lines(partner)])
-        lines = [x for i, x in enumerate(lines) if x[1] and not x[2] or i not in shared]
-    inside = any(x[1] for x in lines)
-    return " ".join(text for text, within, aside in lines if not aside and (within or not inside))
+    gone = common_lines([x[0] for x in lines], [x[0] for x in page_lines(partner)]) if partner is not None else set()
+    taken = {lines[i][0] for i in gone}
+    return " ".join(text for text, loose in _chosen(lines) if not (loose and text in taken))
 
 
 def _neighbours(batches):
@@ -204,17 +214,54 @@ def partners(pages: DataFrame) -> DataFrame:
     return near.select("page_id", nearer.alias("partner_id")).filter("partner_id is not null")
 
 
+def _line_rows(batches):
+    """page_id, hashes of all lines in order, and of those that a partner may take away."""
+    for batch in batches:
+        every, loose = [], []
+        for page in batch.column(1):
+            lines = page_lines(page.as_py())
+            every.append([line_hash(x[0]) for x in lines])
+            loose.append([line_hash(text) for text, may in _chosen(lines) if may])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int64()))], ["page_id", "lines", "loose"])
+
+
+def _shared_rows(batches):
+    """page_id and the hashes of loose lines that are shared with the partner, where there are any."""
+    for batch in batches:
+        ids, gone = [], []
+        for page, lines, loose, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            taken = {lines[i] for i in common_lines(lines, other)}.intersection(loose)
+            if taken:
+                ids.append(page)
+                gone.append(sorted(taken))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int64()))], ["page_id", "gone"])
+
+
+def _text_rows(batches):
+    for batch in batches:
+        texts = []
+        gone = batch.column(3) if batch.num_columns > 3 else [None] * batch.num_rows
+        for page, taken in zip(batch.column(2), gone, strict=True):
+            taken = set(taken.as_py()) if taken is not None else ()
+            texts.append(" ".join(text for text, loose in _chosen(page_lines(page.as_py())) if not (loose and taken and line_hash(text) in taken)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def shared_lines(pages: DataFrame) -> DataFrame:
+    """page_id, gone: hashes of lines outside articles that a page shares with its partner. Only hashes are joined, no html."""
+    lines = stored(pages.filter("page_id is not null").select("page_id", "html").mapInArrow(_line_rows, "page_id long, lines array<long>, loose array<long>"))
+    others = lines.select(F.col("page_id").alias("partner_id"), F.col("lines").alias("other")).dropDuplicates(["partner_id"])
+    both = lines.join(partners(pages), "page_id").join(others, "partner_id").select("page_id", "lines", "loose", "other")
+    return stored(both.mapInArrow(_shared_rows, "page_id long, gone array<long>").groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     bounded_batches(pages)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    pairs = partners(pages)
-    others = pages.select(F.col("page_id").alias("partner_id"), F.col("html").alias("partner")).dropDuplicates(["partner_id"])
-    both = pages.join(pairs, "page_id", "left").join(others, "partner_id", "left").select("page_id", "url", "html", "partner")
-
-    def run(batches):
-        for batch in batches:
-            texts = [main_text(h.as_py(), p.as_py()) for h, p in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    gone = shared_lines(pages)
+    schema = "page_id long, url string, text string, n_chars long"
+    # pages that lose nothing needn't be moved
+    whole = rows_not_in(pages, gone, "page_id").select("page_id", "url", "html").mapInArrow(_text_rows, schema)
+    parts = rows_in(pages, gone, "page_id").join(gone, "page_id").select("page_id", "url", "html", "gone").mapInArrow(_text_rows, schema)
+    return whole.unionByName(parts)
