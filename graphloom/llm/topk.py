@@ -4,8 +4,7 @@ The dimensions of the vectors are dealt to nodes; a node's list for a query hold
 partial scores of all candidates over its dimensions.
 
 1. Every node gathers its k highest partial scores, and its lowest, for each query.
-   A candidate's known parts, plus the lowest score of each node not heard of, can't
-   exceed its score; the k-th highest such sum is a safe cutoff.
+   What the nodes sent is scored exactly; the k-th highest score is a safe cutoff.
 2. The cutoff, shared equally by the nodes above their lowest scores, is sent back.
    Each node collects all entries that reach its share: a candidate below its share
    everywhere can't reach the cutoff.
@@ -98,6 +97,11 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 5, nodes: int = 2
         keys = ["query_block", "block", "node", "dims"]
         return queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(run, schema)
 
+    def scores_of(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(rows.select("vec_id", "v").toDF("vec_id", "v"), "vec_id").join(rows.select("vec_id", "v").toDF("query_id", "q"), "query_id")
+        product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+        return full.select("query_id", "vec_id", product.alias("score"))
+
     # phase 1: each node's k best and its lowest score
     first = meet(asked.select("dims", "query_block", "node", "vec_id", "v"), _phase_one(k), "query_id long, node int, vec_id long, part long, lowest long")
     ranked = Window.partitionBy("query_id", "node").orderBy(F.desc("part"), "vec_id")
@@ -105,9 +109,9 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 5, nodes: int = 2
     first = stored(first.withColumn("lowest", F.min("lowest").over(of_node)).withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k))
     floors = first.select("query_id", "node", "lowest").distinct()
     floor_sum = floors.groupBy("query_id").agg(F.sum("lowest").alias("floor_sum"))
-    sure = first.groupBy("query_id", "vec_id").agg(F.sum(F.col("part") - F.col("lowest")).alias("above")).join(floor_sum, "query_id")
-    sure = sure.withColumn("sure", F.col("above") + F.col("floor_sum")).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sure"), "vec_id")))
-    cutoff = sure.groupBy("query_id").agg(F.min(F.when(F.col("place") == k, F.col("sure"))).alias("cutoff"), F.max("floor_sum").alias("floor_sum"))
+    # the exact scores of what the nodes sent: the k-th highest can't exceed the answer's k-th
+    sure = scores_of(first.select("query_id", "vec_id").distinct()).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    cutoff = floor_sum.join(sure.filter(F.col("place") == k).select("query_id", F.col("score").alias("cutoff")), "query_id", "left")
     # fewer than k candidates heard of: the cutoff is the lowest sum there is
     cutoff = stored(cutoff.withColumn("cutoff", F.coalesce("cutoff", "floor_sum")))
 
@@ -122,8 +126,6 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 5, nodes: int = 2
     open_ones = heard.join(shares, "query_id").filter(F.col("above") + F.col("share_sum") >= F.col("cutoff") - 1e-6).select("query_id", "vec_id")
 
     # phase 3: exact scores of what is left
-    full = open_ones.join(rows.select("vec_id", "v").toDF("vec_id", "v"), "vec_id").join(rows.select("vec_id", "v").toDF("query_id", "q"), "query_id")
-    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    scored = full.select("query_id", "vec_id", product.alias("score"))
+    scored = scores_of(open_ones)
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
