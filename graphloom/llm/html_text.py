@@ -6,8 +6,11 @@
    over many tasks; only the rows at partition borders, two a partition, meet in one.
 2. Pages become lines, one per block, with a note of where each stands.
 3. The lines of a page and its partner are aligned by their longest common
-   subsequence, and shared lines are deleted as the host's boilerplate.  A
-   line inside the article element stays, as two pages may carry one article.
+   subsequence, and shared lines are deleted as the host's boilerplate.  As two
+   pages may carry one article, a shared line inside the article element goes only
+   if pages vote for it: a page votes for its aligned lines if its article and its
+   partner's share less than half of their characters, so are different ones.  The line
+   needs LEAST_VOTES (one more in a folder), and half of all voters of its host or of its folder.
 4. Of what is left, the lines of the article (or main) element are the text; a page
    without either gives all lines that don't stand in menus, headers, footers,
    sidebars, notices, adverts, forms or comments.
@@ -47,6 +50,8 @@ ATTRIBUTES = re.compile(r"""\b(class|id|role|hidden|aria-label)(?:\s*=\s*(?:"([^
 #: Closing one of these at the opening of another is implied.
 CLOSED_BY = {"p": frozenset("p div ul ol li article section h1 h2 h3 h4 h5 h6 table footer nav aside header form blockquote pre main".split()), "li": frozenset({"li"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Pages of a host that must share a line inside their articles with a different article, at least; one more of a folder, as there are many.
+LEAST_VOTES = 3
 
 
 def _marked(tag: str) -> bool:
@@ -161,18 +166,25 @@ def line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _chosen(lines: list[tuple[str, bool, bool]]) -> list[tuple[str, bool]]:
-    """(line, whether a partner may take it away) of lines that don't stand aside: the article's, or all without one."""
-    inside = any(x[1] for x in lines)
-    return [(text, not within) for text, within, aside in lines if not aside and (within or not inside)]
+def _inside(lines: list[tuple[str, bool, bool]]) -> bool:
+    """Whether the text is that of an article or main element."""
+    return any(x[1] for x in lines)
 
 
-def main_text(html: str | None, partner: str | None) -> str:
-    """The text of one page, given its partner's html."""
+def _chosen(lines: list[tuple[str, bool, bool]]) -> list[bool]:
+    """Whether each line may be text: the article's, or all without one, that don't stand aside."""
+    inside = _inside(lines)
+    return [not aside and (within or not inside) for _, within, aside in lines]
+
+
+def main_text(html: str | None, partner: str | None, boilerplate: set[str] | frozenset[str] = frozenset()) -> str:
+    """The text of one page, given its partner's html and the lines voted out of the articles of its host."""
     lines = page_lines(html)
     gone = common_lines([x[0] for x in lines], [x[0] for x in page_lines(partner)]) if partner is not None else set()
     taken = {lines[i][0] for i in gone}
-    return " ".join(text for text, loose in _chosen(lines) if not (loose and text in taken))
+    if _inside(lines):
+        taken &= boilerplate
+    return " ".join(x[0] for x, may in zip(lines, _chosen(lines), strict=True) if may and x[0] not in taken)
 
 
 def _neighbours(batches):
@@ -192,11 +204,15 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[start : start + 10_000], strict=True), kinds, strict=True)], names)
 
 
+def _address() -> tuple[F.Column, F.Column]:
+    """Host and path of url."""
+    url = F.coalesce("url", F.lit(""))
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+
+
 def partners(pages: DataFrame) -> DataFrame:
     """page_id and partner_id, the page of the same host with the nearest path, of pages that have one."""
-    url = F.coalesce("url", F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    host, path = _address()
     keys = ["host", "path", "page_id"]
     slim = pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).dropDuplicates(["page_id"])
     slim = slim.repartitionByRange(partitions(pages.sparkSession), *keys).sortWithinPartitions(*keys).select("page_id", "host", "path", F.spark_partition_id().alias("part"))
@@ -215,26 +231,29 @@ def partners(pages: DataFrame) -> DataFrame:
 
 
 def _line_rows(batches):
-    """page_id, hashes of all lines in order, and of those that a partner may take away."""
+    """page_id, scopes, hashes of all lines in order, their lengths (0 if they can't be text), and whether there is an article."""
     for batch in batches:
-        every, loose = [], []
-        for page in batch.column(1):
+        every, sizes, inside = [], [], []
+        for page in batch.column(2):
             lines = page_lines(page.as_py())
             every.append([line_hash(x[0]) for x in lines])
-            loose.append([line_hash(text) for text, may in _chosen(lines) if may])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int64()))], ["page_id", "lines", "loose"])
+            sizes.append([len(x[0]) if may else 0 for x, may in zip(lines, _chosen(lines), strict=True)])
+            inside.append(_inside(lines))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(inside, pa.bool_())], ["page_id", "scopes", "lines", "sizes", "inside"])
 
 
 def _shared_rows(batches):
-    """page_id and the hashes of loose lines that are shared with the partner, where there are any."""
+    """page_id, scopes, hashes of lines of the text that are shared with the partner, whether in an article, and whether the page votes."""
     for batch in batches:
-        ids, gone = [], []
-        for page, lines, loose, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            taken = {lines[i] for i in common_lines(lines, other)}.intersection(loose)
-            if taken:
-                ids.append(page)
-                gone.append(sorted(taken))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int64()))], ["page_id", "gone"])
+        rows = []
+        for page, scopes, lines, sizes, inside, other, other_sizes, other_inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            common = common_lines(lines, other)
+            voter = inside and other_inside and 2 * sum(sizes[i] for i in common) < min(sum(sizes), sum(other_sizes))
+            taken = {lines[i] for i in common}.intersection(x for x, size in zip(lines, sizes, strict=True) if size)
+            if taken or voter:
+                rows.append((page, scopes, sorted(taken), inside, voter))
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["page_id", "scopes", "gone", "inside", "voter"])
 
 
 def _text_rows(batches):
@@ -243,16 +262,31 @@ def _text_rows(batches):
         gone = batch.column(3) if batch.num_columns > 3 else [None] * batch.num_rows
         for page, taken in zip(batch.column(2), gone, strict=True):
             taken = set(taken.as_py()) if taken is not None else ()
-            texts.append(" ".join(text for text, loose in _chosen(page_lines(page.as_py())) if not (loose and taken and line_hash(text) in taken)))
+            lines = page_lines(page.as_py())
+            texts.append(" ".join(x[0] for x, may in zip(lines, _chosen(lines), strict=True) if may and not (taken and line_hash(x[0]) in taken)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _voted_out(shared: DataFrame) -> DataFrame:
+    """page_id, gone: aligned lines inside articles that their host or folder votes out."""
+    voters = shared.filter("voter").select("page_id", F.posexplode("scopes").alias("level", "scope"), "gone").withColumn("line", F.explode_outer("gone"))
+    count = lambda rows, *keys: rows.select(*keys, "page_id").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+    votes = count(voters.filter("line is not null"), "scope", "level", "line").filter(F.col("n") >= LEAST_VOTES + F.col("level"))
+    out = votes.join(count(voters, "scope").withColumnRenamed("n", "all"), "scope").filter(2 * F.col("n") >= F.col("all")).select("scope", "line")
+    aligned = shared.filter("inside").select("page_id", F.explode("scopes").alias("scope"), "gone").select("page_id", "scope", F.explode("gone").alias("line"))
+    return aligned.join(out, ["scope", "line"]).select("page_id", F.array("line").alias("gone"))
+
+
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """page_id, gone: hashes of lines outside articles that a page shares with its partner. Only hashes are joined, no html."""
-    lines = stored(pages.filter("page_id is not null").select("page_id", "html").mapInArrow(_line_rows, "page_id long, lines array<long>, loose array<long>"))
-    others = lines.select(F.col("page_id").alias("partner_id"), F.col("lines").alias("other")).dropDuplicates(["partner_id"])
-    both = lines.join(partners(pages), "page_id").join(others, "partner_id").select("page_id", "lines", "loose", "other")
-    return stored(both.mapInArrow(_shared_rows, "page_id long, gone array<long>").groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    """page_id, gone: hashes of lines that a page loses because its partner has them. Only hashes are joined, no html."""
+    host, path = _address()
+    scopes = F.array(F.xxhash64(host), F.xxhash64(host, F.regexp_extract(path, "^(.*)/", 1), F.lit("folder")))
+    lines = stored(pages.filter("page_id is not null").select("page_id", scopes.alias("scopes"), "html").mapInArrow(_line_rows, "page_id long, scopes array<long>, lines array<long>, sizes array<int>, inside boolean"))
+    others = lines.select(F.col("page_id").alias("partner_id"), *(F.col(x).alias(f"other_{x}") for x in ("lines", "sizes", "inside"))).dropDuplicates(["partner_id"])
+    both = lines.join(partners(pages), "page_id").join(others, "partner_id").select("page_id", "scopes", "lines", "sizes", "inside", "other_lines", "other_sizes", "other_inside")
+    shared = stored(both.mapInArrow(_shared_rows, "page_id long, scopes array<long>, gone array<long>, inside boolean, voter boolean"))
+    gone = shared.filter("not inside").select("page_id", "gone").unionByName(_voted_out(shared))
+    return stored(gone.groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

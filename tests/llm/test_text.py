@@ -151,6 +151,24 @@ def test_shared_lines_go_where_there_is_no_article():
     assert common_lines(list("abcde"), list("xbydce")) in ({1, 2, 4}, {1, 3, 4})
 
 
+def test_lines_that_different_articles_share_go_and_shared_articles_stay(spark):
+    page = lambda *own: "<body><article>" + "".join(f"<p>{x}</p>" for x in own) + "</article></body>"
+    note = "Subscribe to read on"
+    rows = [(i, f"http://h.x/news/{i}", page(f"Story number {i} about matters", note, f"It ends like {i} and then some")) for i in range(6)]
+    # in one folder of a large host only
+    rows += [(10 + i, f"http://g.x/a/{i}", page(f"Piece number {i} about things", "Only in a", f"It closes like {i} and so on")) for i in range(4)]
+    rows += [(20 + i, f"http://g.x/b/{i}", page(f"Other number {i} without any", f"Nothing like {i}")) for i in range(9)]
+    # near copies of one article, and two articles with a line in common
+    rows += [(40 + i, f"http://c.x/{i}", page("One long story that all of them carry", "with a second line as well", f"v{i}")) for i in range(5)]
+    rows += [(50 + i, f"http://two.x/{i}", page(f"Text number {i} of two pages", "A quoted line", f"The end of {i} is here")) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    for i, _, h in rows:
+        kept = [x for x in re.findall("<p>(.*?)</p>", h) if x not in (note, "Only in a")]
+        assert got[i] == " ".join(kept)
+    assert main_text(rows[0][2], rows[1][2], {note}) == "Story number 0 about matters It ends like 0 and then some"
+
+
 def test_partners_are_the_nearest_paths(spark):
     data = [(1, "http://h/a/1"), (2, "http://h/a/12"), (3, "http://h/b"), (4, "http://other/"), (5, None), (6, "odd"), (None, "http://h/a/1"), (2, "http://h/a/12")]
     pages = spark.createDataFrame([(i, u, "<p>x</p>", "h") for i, u in data], "page_id long, url string, html string, host string")
