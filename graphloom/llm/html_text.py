@@ -12,7 +12,7 @@
    partner's share less than half of their characters, so are different ones.  The line
    needs LEAST_VOTES (one more in a folder), and half of all voters of its host or of its folder.
 4. Of what is left, the lines of the article (or main) element are the text; a page
-   without either gives all lines that don't stand in menus, headers, footers,
+   without either, or with such elements in what stands aside alone, gives all lines that don't stand in menus, headers, footers,
    sidebars, notices, adverts, forms or comments.
 
 Defined cases: null html counts as empty and gives an empty text; pages with a null or odd
@@ -167,8 +167,8 @@ def line_hash(line: str) -> int:
 
 
 def _inside(lines: list[tuple[str, bool, bool]]) -> bool:
-    """Whether the text is that of an article or main element."""
-    return any(x[1] for x in lines)
+    """Whether the text is that of an article or main element: one that stands aside (a comment, a card) is none."""
+    return any(within and not aside for _, within, aside in lines)
 
 
 def _chosen(lines: list[tuple[str, bool, bool]]) -> list[bool]:

@@ -151,6 +151,13 @@ def test_shared_lines_go_where_there_is_no_article():
     assert common_lines(list("abcde"), list("xbydce")) in ({1, 2, 4}, {1, 3, 4})
 
 
+def test_articles_that_stand_aside_are_not_the_text():
+    post = "<div><p>The post.</p></div>"
+    assert main_text(f"{post}<section class='comments'><article>First!</article></section>", None) == "The post."
+    assert main_text(f"{post}<aside><article>A card</article></aside>", None) == "The post."
+    assert main_text(f"<main>{post}<aside><article>A card</article></aside></main><p>Other</p>", None) == "The post."
+
+
 def test_lines_that_different_articles_share_go_and_shared_articles_stay(spark):
     page = lambda *own: "<body><article>" + "".join(f"<p>{x}</p>" for x in own) + "</article></body>"
     note = "Subscribe to read on"
