@@ -9,7 +9,9 @@ a passage of WIDTH + REACH - 1 words or more share a window wherever they stand.
 1. Windows are joined by the hash of all their words (a band of every shingle), lines by
    BANDS bands of ROWS min-hashes over their shingles of five words: at a similarity
    of 0.8 a pair of lines meets in one of them with odds of 0.998.
-2. Lines that meet are verified by their exact Jaccard similarity.
+2. Lines that meet are verified by their exact Jaccard similarity: all pairs of a band's
+   small group; in a larger one pairs with leaders first, then in blocks of bounded
+   size those that aren't connected yet, so that no similar pair of a group stays apart.
 3. Verified pairs, and windows that overlap in a document, make components, the clusters.
 4. In each cluster the first document keeps its paragraphs; those of other
    documents are to be removed.  Overlapping paragraphs of a document become one span.
@@ -32,12 +34,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import bounded_batches, checkpointed, rows_in, rows_not_in, stored
 from graphloom.llm.components import connected_components
+from graphloom.llm.ngram_join import BLOCK, _block_links
 from graphloom.llm.shingles import chunks, mix, shingles_of, word_hashes
 
 SHINGLE, WIDTH, REACH = 5, 32, 16
 BANDS, ROWS = 9, 3
-#: A group of a band gives pairs with so many leaders.
-LEADERS = 3
+#: A group of a band of up to so many members gives all pairs; a larger one pairs with so many leaders first.
+SMALL_GROUP, LEADERS = 16, 3
 
 _RANDOM = np.random.default_rng(5)
 _SEEDS = _RANDOM.integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,16 +177,35 @@ def paragraph_links(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataF
     lines = stored(docs.mapInArrow(_paragraphs, "doc_id long, start int, n_words int, digest long, bands array<long>"))
     met = lines.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
     group = Window.partitionBy("band", "key")
+    met = stored(met.withColumn("members", F.count("*").over(group)).filter("members > 1"))
+    small = met.filter(F.col("members") <= SMALL_GROUP).select("band", "key", "digest")
+    all_pairs = small.withColumnRenamed("digest", "a").join(small.withColumnRenamed("digest", "b"), ["band", "key"]).filter("a < b").select("a", "b")
+    large = met.filter(F.col("members") > SMALL_GROUP)
     leaders = F.array(*(F.min(F.struct(F.xxhash64("digest", F.lit(s)).alias("place"), F.col("digest").alias("digest"))).over(group) for s in range(LEADERS)))
-    pairs = met.withColumn("n", F.count("*").over(group)).withColumn("leaders", leaders).filter("n > 1").select("digest", F.explode("leaders.digest").alias("leader")).filter("digest <> leader")
-    pairs = stored(pairs.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct())
+    led = large.withColumn("leaders", leaders).select("digest", F.explode("leaders.digest").alias("leader")).filter("digest <> leader")
+    pairs = stored(all_pairs.union(led.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b"))).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     where = lines.join(ends, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("digest", "at.doc_id", "at.start")
     where = stored(where)
-    sets = rows_in(docs, where, "doc_id").mapInArrow(_paragraph_sets, "doc_id long, start int, shingles binary").join(where, ["doc_id", "start"]).select("digest", "shingles").dropDuplicates(["digest"])
+    sets = stored(rows_in(docs, where, "doc_id").mapInArrow(_paragraph_sets, "doc_id long, start int, shingles binary").join(where, ["doc_id", "start"]).select("digest", "shingles").dropDuplicates(["digest"]))
     side = lambda x: sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"set{x}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seta", "setb").mapInArrow(_similar(num, den), "a long, b long")
-    return lines.drop("bands"), stored(links)
+    links = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seta", "setb").mapInArrow(_similar(num, den), "a long, b long"))
+    if large.limit(1).count():
+        links = links.unionByName(stored(_group_links(large, links, sets, num, den)))
+    return lines.drop("bands"), links
+
+
+def _group_links(large: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is similar in large groups (band, key, digest) and isn't connected by links yet."""
+    found = checkpointed(connected_components(links)).toDF("digest", "component")
+    members = large.join(found, "digest", "left").select("band", "key", "digest", F.coalesce("component", "digest").alias("component"))
+    members = checkpointed(members.join(sets.select("digest", (F.length("shingles") / 8).cast("long").alias("n")), "digest"))
+    sizes = members.groupBy("band", "key").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = checkpointed(sizes.filter("low < high").select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    dealt = members.join(sizes, ["band", "key"]).withColumn("side", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "digest")
+    blocks = dealt.select("band", "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", F.lit(False).alias("visitor"), F.col("digest").alias("doc_id"), "n", "component", "shingles")
+    return blocks.groupBy("band", "key", "i", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
 
 
 def _repeated(found: DataFrame, key: str) -> DataFrame:

@@ -12,7 +12,7 @@ from graphloom.llm.components import connected_components
 from graphloom.llm.exact_dedup import drop_exact_copies, exact_dedup, rice_decode, rice_encode
 from graphloom.llm.ngram_join import drop_near_copies, ngram_join
 from graphloom.llm.queries_dedup import ORACLE_SQL, QUERIES
-from graphloom.llm.substring_dedup import repeated_passages, without_repeats
+from graphloom.llm.substring_dedup import paragraph_links, repeated_passages, without_repeats
 from tests.compare import connection, rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, list string, owner int, key long, n int, component long"
@@ -156,6 +156,20 @@ def test_op1_of_near_copies_of_a_paragraph(spark, prose):
     assert {r.doc_id for r in found} == {0, 1, 2, 3}
 
 
+def test_op1_links_what_meets_in_a_large_group(spark, prose):
+    """Lines with one template meet in large groups of the bands; only the two with one ending are similar, and mostly no leaders."""
+    template, texts = prose(200), []
+    for i in range(120):
+        ending = prose(30)
+        other = list(template)
+        for k in range(4):
+            other[20 + 40 * k + i % 20] = f"changed{i}x{k}"
+        texts += [(2 * i, " ".join(template + ending)), (2 * i + 1, " ".join(other + ending))]
+    lines, links = paragraph_links(frame(spark, texts).select("doc_id", "text"))
+    owner = {r.digest: r.doc_id for r in lines.collect()}
+    assert {tuple(sorted((owner[r.a], owner[r.b]))) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(120)}
+
+
 def test_op1_ignores_repeats_within_one_document(spark, prose):
     line = " ".join(prose(50))
     assert repeated_passages(frame(spark, [(1, f"{line}\n{line}"), (2, " ".join(prose(60)))])).count() == 0
