@@ -1,7 +1,7 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Two kinds of paragraphs are compared.  Natural ones are lines of at least WIDTH
-words.  As a repeated passage may stand inside longer lines, the others are windows
+Two kinds of paragraphs are compared.  Natural ones are lines, and blocks of lines
+between blank lines, of at least WIDTH words: a hard-wrapped paragraph is a block.  As a repeated passage may stand inside longer lines, the others are windows
 of WIDTH words that start at anchors: shingles that are the smallest of REACH
 neighbours.  Anchors depend on the text around them alone, so two copies of
 a passage of WIDTH + REACH - 1 words or more share a window wherever they stand.
@@ -105,6 +105,19 @@ def _lines(starts: np.ndarray, text: np.ndarray, feeds: np.ndarray) -> tuple[np.
     return new, np.concatenate((new[1:], [len(starts)]))
 
 
+def _paragraph_ends(starts: np.ndarray, text: np.ndarray, feeds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First words and ends of lines, and of blocks of several lines between blank lines, of WIDTH words or more."""
+    a, b = _lines(starts, text, feeds)
+    if not len(a):
+        return []
+    line = np.searchsorted(feeds, starts[a])
+    new = np.flatnonzero(np.concatenate(([True], (text[a[1:]] != text[a[:-1]]) | (line[1:] - line[:-1] > 1))))
+    several = np.diff(np.concatenate((new, [len(a)]))) > 1
+    blocks, ends = a[new], np.concatenate((a[new[1:]], [len(starts)]))
+    out = [(a, b), (blocks[several], ends[several])]
+    return [(x[y - x >= WIDTH], y[y - x >= WIDTH]) for x, y in out if (y - x >= WIDTH).any()]
+
+
 def _windows(batches):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -118,45 +131,44 @@ def _windows(batches):
 
 
 def _paragraphs(batches):
-    """Lines of WIDTH words or more: doc_id, start, n_words, digest of all words, and bands."""
+    """Lines and blocks of WIDTH words or more: doc_id, start, n_words, digest of all words, and bands."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, last, hashes, starts, text, begins, _ in _words(batch.column(1)):
-            a, b = _lines(starts, text, _line_ends(batch.column(1), first, last))
-            wide = b - a >= WIDTH
-            a, b = a[wide], b[wide]
-            if not len(a):
+            found = _paragraph_ends(starts, text, _line_ends(batch.column(1), first, last))
+            if not found:
                 continue
-            digests = span_hashes(hashes, a, b)
             shingles, places = shingles_of(hashes, text, SHINGLE, last - first)
-            lo, hi = np.searchsorted(places, a), np.searchsorted(places, b - SHINGLE + 1)
             # reduceat over [lo, hi), [hi, next lo), ...: every other result is a paragraph's
-            cuts = np.stack((lo, hi), axis=1).ravel()
+            cuts = [np.stack((np.searchsorted(places, a), np.searchsorted(places, b - SHINGLE + 1)), axis=1).ravel() for a, b in found]
             shingles = np.concatenate((shingles, np.zeros(1, dtype=np.uint64)))
-            bands = np.zeros((len(a), BANDS), dtype=np.uint64)
+            bands = [np.zeros((len(a), BANDS), dtype=np.uint64) for a, _ in found]
             for i, seed in enumerate(_SEEDS):
-                low = np.minimum.reduceat(mix(shingles * seed), cuts)[::2]
-                bands[:, i // ROWS] = mix(bands[:, i // ROWS] * np.uint64(31) + low + np.uint64(i + 1))
+                mixed = mix(shingles * seed)
+                for own, cut in zip(bands, cuts, strict=True):
+                    low = np.minimum.reduceat(mixed, cut)[::2]
+                    own[:, i // ROWS] = mix(own[:, i // ROWS] * np.uint64(31) + low + np.uint64(i + 1))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            digests = span_hashes(hashes, a, b)
             own = text[a]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate(bands).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[first:last][own].astype(np.int64)), pa.array((a - begins[own]).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(digests.view(np.int64)), flat], ["doc_id", "start", "n_words", "digest", "bands"])
 
 
 def _paragraph_sets(batches):
-    """Shingle sets of the lines of WIDTH words or more: doc_id, start, shingles."""
+    """Shingle sets of the lines and blocks of WIDTH words or more: doc_id, start, n_words, shingles."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, last, hashes, starts, text, begins, _ in _words(batch.column(1)):
-            a, b = _lines(starts, text, _line_ends(batch.column(1), first, last))
-            wide = b - a >= WIDTH
+            found = _paragraph_ends(starts, text, _line_ends(batch.column(1), first, last))
             shingles, places = shingles_of(hashes, text, SHINGLE, last - first)
-            rows = []
-            for s, e in zip(a[wide], b[wide], strict=True):
-                own = np.unique(shingles[np.searchsorted(places, s) : np.searchsorted(places, e - SHINGLE + 1)])
-                rows.append((int(ids[first + text[s]]), int(s - begins[text[s]]), own.tobytes()))
-            if rows:
-                d, s, x = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(x, pa.binary())], ["doc_id", "start", "shingles"])
+            for a, b in found:
+                rows = []
+                for s, e in zip(a, b, strict=True):
+                    own = np.unique(shingles[np.searchsorted(places, s) : np.searchsorted(places, e - SHINGLE + 1)])
+                    rows.append((int(ids[first + text[s]]), int(s - begins[text[s]]), int(e - s), own.tobytes()))
+                d, s, n, x = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(x, pa.binary())], ["doc_id", "start", "n_words", "shingles"])
 
 
 def _similar(num: int, den: int):
@@ -173,7 +185,7 @@ def _similar(num: int, den: int):
 
 
 def paragraph_links(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """lines (doc_id, start, n_words, digest), and links (a, b) between digests of lines that are similar enough."""
+    """lines and blocks (doc_id, start, n_words, digest), and links (a, b) between digests of those that are similar enough."""
     lines = stored(docs.mapInArrow(_paragraphs, "doc_id long, start int, n_words int, digest long, bands array<long>"))
     met = lines.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
     group = Window.partitionBy("band", "key")
@@ -185,9 +197,9 @@ def paragraph_links(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataF
     led = large.withColumn("leaders", leaders).select("digest", F.explode("leaders.digest").alias("leader")).filter("digest <> leader")
     pairs = stored(all_pairs.union(led.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b"))).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    where = lines.join(ends, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("digest", "at.doc_id", "at.start")
+    where = lines.join(ends, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("digest", "at.*")
     where = stored(where)
-    sets = stored(rows_in(docs, where, "doc_id").mapInArrow(_paragraph_sets, "doc_id long, start int, shingles binary").join(where, ["doc_id", "start"]).select("digest", "shingles").dropDuplicates(["digest"]))
+    sets = stored(rows_in(docs, where, "doc_id").mapInArrow(_paragraph_sets, "doc_id long, start int, n_words int, shingles binary").join(where, ["doc_id", "start", "n_words"]).select("digest", "shingles").dropDuplicates(["digest"]))
     side = lambda x: sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"set{x}"))
     links = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seta", "setb").mapInArrow(_similar(num, den), "a long, b long"))
     if large.limit(1).count():

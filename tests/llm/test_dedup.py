@@ -156,6 +156,19 @@ def test_op1_of_near_copies_of_a_paragraph(spark, prose):
     assert {r.doc_id for r in found} == {0, 1, 2, 3}
 
 
+def test_op1_of_hard_wrapped_paragraphs(spark, prose):
+    # 60 words over lines of 10; one word near the middle differs, so no 32 words in a row are equal
+    base = prose(60)
+    texts = []
+    for i in range(3):
+        own = list(base)
+        own[30] = f"changed{i}"
+        wrapped = "\n".join(" ".join(own[k : k + 10]) for k in range(0, 60, 10))
+        texts.append((i, " ".join(prose(40)) + "\n \n" + wrapped + "\n\n" + " ".join(prose(40))))
+    found = repeated_passages(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.kept) for r in found} == {(i, 40, 100, i == 0) for i in range(3)}
+
+
 def test_op1_links_what_meets_in_a_large_group(spark, prose):
     """Lines with one template meet in large groups of the bands; only the two with one ending are similar, and mostly no leaders."""
     template, texts = prose(200), []
