@@ -12,16 +12,20 @@ n - ceil(threshold * n) + 1 shingles of either, so only these are indexed.
    is broadcast and put last in every document's order.
 3. Lists are merged by their shingle.  A list of up to SHORT_LIST members gives its
    pairs; a longer one (a group of near copies) gives pairs with a few leaders first.
-   Then the documents that long lists bring together meet in blocks of bounded size,
-   where only what isn't connected yet is compared, and links come out as a forest.
-   Sizes and parity bitmaps, which never exclude a true pair, go before each comparison.
-4. Candidates are verified by binary probes of the sorted sets.
-5. Links make components.
+4. Candidates are verified by binary probes of the sorted sets.  Sizes and parity bitmaps,
+   which never exclude a true pair, go before each verification.
+5. The members of a longer list that the leaders haven't connected meet list by list in
+   blocks of bounded size, where only what isn't connected yet is compared, and links come
+   out as a forest: however large a group, its links are no more than its members.
+6. Links make components.  Links are counted where lists are long by comparing all members
+   of one component, again in blocks, of which only the sums of each member come out.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing;
 a text with fewer words than k is one shingle; rows with a null doc_id take no
-part and aren't returned; repeated rows are each returned, in one component; an empty
-table gives an empty result; other columns are ignored, whatever their names.
+part and aren't returned; repeated rows are each returned, in one component; of rows
+that share a doc_id but not their sets the one with the smallest fingerprint stands for
+the doc_id, the others are returned unlinked, and drop_near_copies drops no row of such
+a doc_id; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ MOST_LONG = 200_000
 #: Lists of up to so many members give all pairs.
 SHORT_LIST = 64
 #: Leaders of each longer list, and shingles of a block of documents.
-LEADERS, BLOCK = 4, 250_000
+LEADERS, BLOCK = 4, 500_000
 
 
 def needed(n, num: int, den: int):
@@ -78,8 +82,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, what: str, long_ones=None
                 n = len(own)
                 prefix = _ordered(own, late)[: n - needed(n, num, den) + 1] if n else own
                 if what == "classes":
-                    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                    rows.append((n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+                    rows.append((n, *_fingerprint(own)))
                 elif what == "prefix":
                     rows.append((prefix.view(np.int64),))
                 elif what == "marks":
@@ -138,42 +141,48 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seta", "setb").mapInArrow(run, "a long, b long")
 
 
+def _dealt(members: DataFrame, sizes: DataFrame, keys: list[str], sets: DataFrame, more: list[str]) -> DataFrame:
+    """Members (keys, doc_id, n, side, visitor, more) with their sets, once for each pair (i, j) of blocks that they are in."""
+    dealt = members.join(sizes, keys).withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "doc_id")
+    return dealt.select(*keys, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "visitor", "doc_id", "n", *more, "shingles")
+
+
+def _by_size(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Members in classes (cls) by size: linked sets are in one class or in neighbouring ones, where the larger ones are visitors."""
+    members = members.withColumn("cls", F.floor(F.log("n") / math.log(den / num * 1.001)).cast("int"))
+    return members.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("visitor")).withColumn("cls", F.col("cls") - F.col("visitor").cast("int"))
+
+
+def _bitmaps(sets: list[np.ndarray], most: int) -> np.ndarray:
+    return np.stack([parity_bits(x, _bitmap_size(most)) for x in sets]).view(np.uint64)
+
+
 def _block_links(num: int, den: int):
     """Links within one block pair that connect what isn't connected yet: a forest, however many pairs are linked."""
 
     def run(members: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("n", kind="stable").reset_index(drop=True)
         n, doc, side, visitor = (members[c].to_numpy() for c in ("n", "doc_id", "side", "visitor"))
-        root = {c: c for c in members["component"]}
-        component = members["component"].tolist()
+        label = np.unique(members["component"].to_numpy(), return_inverse=True)[1]
         within = members["i"].iat[0] == members["j"].iat[0]
         a, b = [], []
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
         sets = [np.frombuffer(x, dtype=np.uint64) for x in members["shingles"]]
-        bits = np.stack([parity_bits(x, _bitmap_size(int(n[-1]))) for x in sets]).view(np.uint64)
+        bits = _bitmaps(sets, int(n[-1]))
         for row in range(len(members) - 1):
             upto = int(np.searchsorted(n, n[row] * den // num, side="right"))
-            other = np.arange(row + 1, upto)
-            good = ~(visitor[other] & visitor[row])
+            open_ones = (label[row + 1 : upto] != label[row]) & ~(visitor[row + 1 : upto] & visitor[row])
             if not within:
-                good &= side[other] != side[row]
-            own = find(component[row])
-            other = [o for o in other[good].tolist() if find(component[o]) != own]
-            if not other:
+                open_ones &= side[row + 1 : upto] != side[row]
+            other = np.flatnonzero(open_ones) + row + 1
+            if not len(other):
                 continue
             apart = np.bitwise_count(bits[other] ^ bits[row]).sum(axis=1, dtype=np.int64)
-            for o in np.asarray(other)[apart <= _most_apart(n[row], n[other], num, den)].tolist():
-                x, y = find(component[row]), find(component[o])
-                if x != y:
+            for o in other[apart <= _most_apart(n[row], n[other], num, den)].tolist():
+                if label[o] != label[row]:
                     both = int((sets[o][np.minimum(np.searchsorted(sets[o], sets[row]), len(sets[o]) - 1)] == sets[row]).sum())
                     if den * both >= num * (int(n[row]) + int(n[o]) - both):
-                        root[max(x, y)] = min(x, y)
+                        label[label == label[o]] = label[row]
                         a.append(min(doc[row], doc[o]))
                         b.append(max(doc[row], doc[o]))
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
@@ -181,18 +190,76 @@ def _block_links(num: int, den: int):
     return run
 
 
-def ngram_links(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """classes (doc_id, n, rep) of all documents, and links (a, b) between representatives.
+def _block_counts(num: int, den: int):
+    """For each member of one block pair the number of rows (copies) that it is linked with."""
+
+    def run(members: pd.DataFrame) -> pd.DataFrame:
+        members = members.sort_values("n", kind="stable").reset_index(drop=True)
+        n, side, visitor, copies = (members[c].to_numpy() for c in ("n", "side", "visitor", "copies"))
+        within = members["i"].iat[0] == members["j"].iat[0]
+        # each member's shingles as numbers, and the members that hold a number
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in members["shingles"]]
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum([len(x) for x in sets])
+        holder = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[np.argsort(number, kind="stable")]
+        begins = np.concatenate(([0], np.cumsum(np.bincount(number))))
+        found = np.zeros(len(sets), dtype=np.int64)
+        for row in range(len(sets) - 1):
+            upto = int(np.searchsorted(n, n[row] * den // num, side="right"))
+            if upto <= row + 1:
+                continue
+            own = number[ends[row] - len(sets[row]) : ends[row]]
+            both = np.bincount(np.concatenate([holder[begins[t] : begins[t + 1]] for t in own]), minlength=len(sets))[row + 1 : upto]
+            linked = (den * both >= num * (n[row] + n[row + 1 : upto] - both)) & ~(visitor[row + 1 : upto] & visitor[row])
+            if not within:
+                linked &= side[row + 1 : upto] != side[row]
+            found[row] += int(copies[row + 1 : upto][linked].sum())
+            found[row + 1 : upto][linked] += copies[row]
+        return pd.DataFrame({"doc_id": members["doc_id"], "links": found})[found > 0]
+
+    return run
+
+
+def _fingerprint(own: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _one_row_each(docs: DataFrame, kinds: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs with one row, and kinds with one set, for each doc_id; and the other rows of kinds, whose doc_id has a smaller fingerprint."""
+    mark = F.struct("f1", "f2")
+    odd_ids = kinds.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count("*").alias("rows")).filter("low <> high or rows > 1")
+    odd_ids = stored(odd_ids.select("doc_id", F.col("low.f1").alias("f1"), F.col("low.f2").alias("f2")))
+    if odd_ids.limit(1).count() == 0:
+        return docs, kinds, kinds.limit(0)
+
+    def run(batches):
+        for batch in batches:
+            marks = [_fingerprint(own) for own in shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[i] for m in marks], pa.int64()) for i in range(2))], ["doc_id", "text", "f1", "f2"])
+
+    keys = ["doc_id", "f1", "f2"]
+    own = rows_in(docs, odd_ids, "doc_id").mapInArrow(run, "doc_id long, text string, f1 long, f2 long").join(odd_ids, keys, "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    odd = stored(rows_in(kinds, odd_ids, "doc_id"))
+    same = rows_not_in(kinds, odd_ids, "doc_id").unionByName(odd.join(odd_ids, keys, "left_semi"))
+    return rows_not_in(docs, odd_ids, "doc_id").unionByName(stored(own)), stored(same), stored(odd.join(odd_ids, keys, "left_anti"))
+
+
+def ngram_links(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100, counts: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """classes (doc_id, n, rep, copies), links (a, b) between representatives, counts, and rows left out.
 
     The links connect all that is linked: within a large group of near copies not
-    every linked pair is listed, but every linked pair is connected.
+    every linked pair is listed, but every linked pair is connected.  counts (doc_id,
+    links): with how many rows of other sets a representative is linked, over all linked pairs.
+    Rows left out (doc_id, n) are those whose doc_id another set stands for.
     """
     spark = docs.sparkSession
     bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     kinds = stored(_sets(docs, k, num, den, "classes"))
-    groups = stored(kinds.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
-    classes = stored(kinds.join(groups, ["f1", "f2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+    docs, kinds, others = _one_row_each(docs, kinds, k)
+    groups = stored(kinds.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"))
+    classes = stored(kinds.join(groups, ["f1", "f2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")))
     reps = rows_not_in(docs, classes.filter("doc_id <> rep or n = 0").select("doc_id"), "doc_id")
 
     counted = _sets(docs, k, num, den, "prefix").select(F.explode("prefix").alias("shingle")).groupBy("shingle").count()
@@ -200,10 +267,10 @@ def ngram_links(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100) -
     late = spark.sparkContext.broadcast(np.sort(np.array(long_ones, dtype=np.int64).view(np.uint64)))
 
     marks = stored(_sets(reps, k, num, den, "marks", late))
-    alone = Window.partitionBy("shingle")
-    lead = [F.min(F.struct(F.xxhash64("doc_id", F.lit(s)).alias("place"), F.col("doc_id").alias("id"), F.col("n").alias("n"))).over(alone) for s in range(LEADERS)]
-    lists = marks.select("doc_id", "n", F.explode("prefix").alias("shingle")).withColumn("members", F.count("*").over(alone)).filter("members > 1")
-    lists = stored(lists.withColumn("leaders", F.when(F.col("members") > SHORT_LIST, F.array(*lead))))
+    lead = [F.min(F.struct(F.xxhash64("doc_id", F.lit(s)).alias("place"), F.col("doc_id").alias("id"), F.col("n").alias("n"))) for s in range(LEADERS)]
+    places = marks.select("doc_id", "n", F.explode("prefix").alias("shingle"))
+    lists = stored(places.groupBy("shingle").agg(F.count("*").alias("members"), F.array(*lead).alias("leaders")).filter("members > 1").withColumn("leaders", F.when(F.col("members") > SHORT_LIST, F.col("leaders"))))
+    lists = stored(places.join(lists, "shingle"))
 
     short = lists.filter(F.col("members") <= SHORT_LIST).select("shingle", "doc_id", "n")
     left, right = short.toDF("shingle", "a", "na"), short.toDF("shingle", "b", "nb")
@@ -212,34 +279,56 @@ def ngram_links(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100) -
     led = longer.select("doc_id", "n", F.explode("leaders").alias("leader")).filter("doc_id <> leader.id").filter(_fits(F.col("n"), F.col("leader.n"), num, den))
     led = led.select(F.least("doc_id", "leader.id").alias("a"), F.greatest("doc_id", "leader.id").alias("b"))
     links = stored(_verified(stored(_bitmap_filter(pairs.union(led).distinct(), marks, num, den)), docs, k, num, den))
-    if longer.limit(1).count() == 0:
-        return classes, links
-
-    # what the leaders haven't connected: documents that long lists bring together, in classes by size
-    # (linked sets are in one class or in neighbouring ones) and blocks of bounded size
+    weights = classes.filter("doc_id = rep and n > 0").select("doc_id", "n", "copies").dropDuplicates(["doc_id"])
+    some_longer = longer.limit(1).count() > 0
+    if some_longer:
+        # members of a list that the leaders haven't connected
+        found = checkpointed(connected_components(links)).toDF("doc_id", "component")
+        members = _by_size(longer.select("shingle", "doc_id", "n").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), num, den)
+        members = checkpointed(members)
+        sizes = members.groupBy("shingle", "cls").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        sizes = checkpointed(sizes.filter("low < high").select("shingle", "cls", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+        wanted = stored(members.join(sizes, ["shingle", "cls"], "left_semi").select("doc_id").distinct())
+        sets = _sets(rows_in(docs, wanted, "doc_id"), k, num, den, "sets").select("doc_id", "shingles")
+        blocks = _dealt(members, sizes, ["shingle", "cls"], sets, ["component"])
+        more = blocks.groupBy("shingle", "cls", "i", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
+        links = stored(links.unionByName(more))
+    if not counts:
+        return classes, links, None, others
+
+    if not some_longer:
+        return classes, links, _pair_counts(links, weights), others
+    # where lists are long, links are a forest: all pairs of such a component are counted, in blocks
     found = checkpointed(connected_components(links)).toDF("doc_id", "component")
-    together = checkpointed(connected_components(longer.select(F.col("doc_id").alias("a"), F.col("leaders")[0]["id"].alias("b")))).toDF("doc_id", "gathering")
-    members = together.join(marks.select("doc_id", "n"), "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    members = members.withColumn("cls", F.floor(F.log("n") / math.log(den / num * 1.001)).cast("int"))
-    dealt = checkpointed(members.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("visitor")).withColumn("cls", F.col("cls") - F.col("visitor").cast("int")))
-    sizes = dealt.groupBy("gathering", "cls").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    sizes = checkpointed(sizes.filter("low < high").select("gathering", "cls", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    sets = _sets(rows_in(docs, members.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), k, num, den, "sets").select("doc_id", "shingles")
-    open_ones = dealt.join(sizes, ["gathering", "cls"]).withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    open_ones = open_ones.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "doc_id")
-    blocks = open_ones.select("gathering", "cls", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "visitor", "doc_id", "n", "component", "shingles")
-    more = blocks.groupBy("gathering", "cls", "i", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
-    return classes, links.unionByName(stored(more))
+    crowded = stored(found.join(longer.select("doc_id").distinct(), "doc_id", "left_semi").select("component").distinct())
+    found = found.join(crowded, "component", "left_semi")
+    members = checkpointed(_by_size(found.join(weights, "doc_id"), num, den))
+    sizes = checkpointed(members.groupBy("component", "cls").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
+    sets = _sets(rows_in(docs, found, "doc_id"), k, num, den, "sets").select("doc_id", "shingles")
+    blocks = _dealt(members, sizes, ["component", "cls"], sets, ["copies"])
+    inside = blocks.groupBy("component", "cls", "i", "j").applyInPandas(_block_counts(num, den), "doc_id long, links long")
+    sparse = links.join(found.select(F.col("doc_id").alias("a")), "a", "left_anti")
+    return classes, links, inside.unionByName(_pair_counts(sparse, weights)).groupBy("doc_id").agg(F.sum("links").alias("links")), others
+
+
+def _pair_counts(links: DataFrame, weights: DataFrame) -> DataFrame:
+    """doc_id and links: the rows that stand behind the other ends of a document's links."""
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("own", "doc_id")
+    return ends.join(weights, "doc_id").groupBy("own").agg(F.sum("copies").alias("links")).toDF("doc_id", "links")
 
 
 def ngram_join(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and class_id (of equal sets) of every row."""
-    classes, links = ngram_links(docs, k=k, num=num, den=den)
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_id (of equal sets) and n_links (linked rows, copies too) of every row."""
+    classes, links, counts, others = ngram_links(docs, k=k, num=num, den=den)
     found = checkpointed(connected_components(links))
-    return classes.join(found.toDF("rep", "component"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"))
+    out = classes.join(found.toDF("rep", "component"), "rep", "left").join(stored(counts).withColumnRenamed("doc_id", "rep"), "rep", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    return out.unionByName(others.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def drop_near_copies(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """The documents of which the smallest doc_id of each component stays, with all columns; null doc_ids stay."""
-    dropped = stored(ngram_join(docs, k=k, num=num, den=den).filter("doc_id <> component_id").select("doc_id"))
-    return rows_not_in(docs, dropped, "doc_id")
+    classes, links, _, others = ngram_links(docs, k=k, num=num, den=den, counts=False)
+    found = checkpointed(connected_components(links)).toDF("rep", "component")
+    dropped = classes.join(found, "rep", "left").filter(F.col("doc_id") != F.coalesce("component", "rep")).select("doc_id")
+    return rows_not_in(docs, stored(dropped.join(others.select("doc_id").distinct(), "doc_id", "left_anti")), "doc_id")

@@ -32,7 +32,10 @@ ORACLE_SQL = {
         l AS (SELECT a, b FROM o WHERE 100 * k >= 85 * (na + nb - k)),
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
-        SELECT doc_id, n AS n_shingles, least(rep, coalesce((SELECT min(b) FROM reach WHERE a = rep), rep)) AS component_id, rep AS class_id FROM c
+        m AS (SELECT rep, count(*) AS copies FROM c WHERE n > 0 GROUP BY ALL),
+        k AS (SELECT e.a, sum(copies)::BIGINT AS links FROM e JOIN m ON m.rep = e.b GROUP BY ALL)
+        SELECT doc_id, n AS n_shingles, least(c.rep, coalesce((SELECT min(b) FROM reach WHERE a = c.rep), c.rep)) AS component_id, c.rep AS class_id, (coalesce(links, 0) + coalesce(copies, 1) - 1)::BIGINT AS n_links
+        FROM c LEFT JOIN k ON k.a = c.rep LEFT JOIN m ON m.rep = c.rep
     """,
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bytes FROM documents WHERE doc_id IS NOT NULL),
