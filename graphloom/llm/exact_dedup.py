@@ -9,7 +9,8 @@
 
 Defined cases: null text counts as empty; rows with a null doc_id take no part
 and aren't returned; of repeated rows with one doc_id and equal texts each is
-returned and counted, and one is kept; an empty table gives an empty result;
+returned and counted, and one is kept; rows with one doc_id and different texts are
+rows of their own groups, and none is lost; an empty table gives an empty result;
 other columns of the input, whatever their names, are ignored.
 """
 
@@ -30,6 +31,8 @@ from graphloom.llm.common import bounded_batches, partitions, rows_in, rows_not_
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 #: Bits of a fingerprint beyond log2 of the number of rows: about one text in 2**12 is suspected falsely.
 SPARE_BITS = 12
+#: Fingerprints that an owner holds at once, about: the number of owners grows with the rows.
+OWNED = 1 << 20
 
 
 def rice_encode(values: np.ndarray) -> bytes:
@@ -117,8 +120,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    owners = partitions(spark)
-    bits = min(60, max(16, math.ceil(math.log2(docs.count() + 1)) + SPARE_BITS))
+    n = docs.count()
+    owners = max(partitions(spark), -(-n // OWNED))
+    bits = min(60, max(16, math.ceil(math.log2(n + 1)) + SPARE_BITS))
     run, schema = _fingerprints(bits, owners)
     sent = stored(docs.mapInArrow(run, schema))
     prints = sent.filter("list is null").drop("list", "twice")
@@ -149,8 +153,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns. Rows with a null doc_id stay as they are."""
-    found = stored(exact_dedup(docs).filter("group_size > 1").select("doc_id", "kept"))
-    touched = found.select("doc_id")
-    kept = rows_in(docs, found.filter("kept"), "doc_id").dropDuplicates(["doc_id"])
-    return rows_not_in(docs, touched, "doc_id").unionByName(kept)
+    """The rows that stay, with all their columns. Rows with a null doc_id stay as they are.
+
+    A row is told by its doc_id and its text without white space, so rows that share a doc_id
+    but not their texts don't touch each other; of equal rows one stays.
+    """
+    found = exact_dedup(docs).filter("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.max("n_chars").alias("most"), F.max("kept").alias("kept"))
+    found = stored(found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"), F.col("most").alias("__most"), F.col("kept").alias("__kept")))
+    ids = found.select(F.col("__id").alias("doc_id"))
+    text = F.coalesce("text", F.lit(""))
+    touched = rows_in(docs, ids, "doc_id").withColumns({"__digest_of": F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256), "__length": F.length(text)})
+    touched = touched.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__digest_of") == F.col("__digest")), "left")
+    alone = touched.filter("__id is null").select(*docs.columns)
+    kept = touched.filter("__kept and __length = __most").dropDuplicates(["__id", "__digest"]).select(*docs.columns)
+    return rows_not_in(docs, ids, "doc_id").unionByName(alone).unionByName(kept)
