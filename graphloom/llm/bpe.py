@@ -34,8 +34,10 @@ from graphloom.llm.common import bounded_batches
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII alone.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-#: Words whose encodings a task keeps at once.
-KEPT_WORDS = 500_000
+#: Words, and pairs of tokens, that a task keeps at once.
+KEPT_WORDS, KEPT_PAIRS = 150_000, 500_000
+#: Vocabularies that a worker keeps between tasks.
+KEPT_ENCODERS = 2
 
 
 def _printed_bytes() -> dict[str, int]:
@@ -48,9 +50,8 @@ def _printed_bytes() -> dict[str, int]:
 class BytePairEncoder:
     """Encodes words by the states of their prefixes."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+    def __init__(self, content: bytes):
+        data = json.loads(content)
         printed = _printed_bytes()
         raw = lambda s: bytes(printed[c] for c in s)
         vocabulary = {raw(s): i for s, i in data["model"]["vocab"].items() if all(c in printed for c in s)}
@@ -143,6 +144,10 @@ class BytePairEncoder:
     def split(self, text: str) -> list[str]:
         return (ASCII_WORDS if text.isascii() else self.words).findall(text)
 
+    def forget(self) -> None:
+        """Drop what is kept between batches."""
+        self.cache, self.follows = {}, {}
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         split = []
         for text in texts:
@@ -150,6 +155,8 @@ class BytePairEncoder:
             split.append(self.split(text) if len(pieces) == 1 else [w for p in pieces for w in ([p] if p in self.special else self.split(p))])
         if len(self.cache) > KEPT_WORDS:
             self.cache = {}
+        if len(self.follows) > KEPT_PAIRS:
+            self.follows = {}
         cache = self.cache
         cache.update((s, np.array([i], dtype="<u4").tobytes()) for s, i in self.special.items())
         fresh = {w for words in split for w in words}.difference(cache)
@@ -161,14 +168,24 @@ class BytePairEncoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, BytePairEncoder] = {}
+_encoders: dict[bytes, BytePairEncoder] = {}
 
 
-def encoder(path: str) -> BytePairEncoder:
-    if path not in _encoders:
-        _encoders[path] = BytePairEncoder(path)
+def encoder(content: bytes) -> BytePairEncoder:
+    """The encoder of a vocabulary file's content; a worker keeps it between tasks."""
+    key = hashlib.blake2b(content).digest()
+    if key not in _encoders:
+        if len(_encoders) >= KEPT_ENCODERS:
+            _encoders.clear()
+        _encoders[key] = BytePairEncoder(content)
         gc.freeze()
-    return _encoders[path]
+    return _encoders[key]
+
+
+def vocabulary_of(df: DataFrame, path: str):
+    """The vocabulary file, which the driver reads, as a broadcast: executors needn't have it."""
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 #: Characters of text that a task encodes at once, if one text isn't longer.
@@ -191,13 +208,16 @@ def _batches(column: pa.Array) -> Iterator[list[str]]:
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) of whole texts."""
     bounded_batches(docs)
+    given = vocabulary_of(docs, path)
 
     def run(batches):
+        coder = encoder(given.value)
         for batch in batches:
-            blobs = [ids for texts in _batches(batch.column(1)) for ids in encoder(path).encode_batch(texts)]
+            blobs = [ids for texts in _batches(batch.column(1)) for ids in coder.encode_batch(texts)]
             flat = np.frombuffer(b"".join(blobs), dtype="<u4").astype(np.int32)
             offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_tokens", "ids"])
+        coder.forget()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
@@ -205,10 +225,12 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of doc_id, ids."""
     bounded_batches(encoded)
+    given = vocabulary_of(encoded, path)
 
     def run(batches):
+        coder = encoder(given.value)
         for batch in batches:
-            texts = [None if ids is None else encoder(path).decode(np.array(ids, dtype="<u4").tobytes()) for ids in batch.column(1).to_pylist()]
+            texts = [None if ids is None else coder.decode(np.array(ids, dtype="<u4").tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -217,10 +239,11 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: whole texts encoded, and decoded from the ids, in one pass."""
     bounded_batches(docs)
+    given = vocabulary_of(docs, path)
 
     def run(batches):
+        coder = encoder(given.value)
         for batch in batches:
-            coder = encoder(path)
             blobs = [ids for texts in _batches(batch.column(1)) for ids in coder.encode_batch(texts)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -231,5 +254,6 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        coder.forget()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

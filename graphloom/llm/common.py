@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: texts are long, and a worker holds a few batches at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts are long, and a worker holds a few batches at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: The bound of what ``maybe_in`` broadcasts: so many bucket numbers.
 ID_BUCKETS = 1 << 20
+_PREFIX = "graphloom-"
+_stored: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame) -> None:
-    """Let Python workers get texts in batches of BATCH_ROWS."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Let Python workers get texts in batches of BATCH_ROWS and about BATCH_BYTES at most.
+
+    Spark reads the setting when a result is computed, so it stays in the session; one below these bounds is left alone.
+    """
+    conf = df.sparkSession.conf
+    for key, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < _number(conf.get(key, None)) <= bound:
+            conf.set(key, str(bound))
+
+
+def _number(setting: str | None) -> int:
+    return int(setting) if setting and setting.lstrip("-").isdigit() else 0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share; a temporary one only in local mode, where none need be configured."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -36,11 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a result to the shared folder and read it again: its lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{_PREFIX}{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete what stored() has written so far, but for the files that keep reads: for callers that have written their results."""
+    kept = {k for f in (keep.inputFiles() if keep is not None else ()) for k in re.findall(f"{_PREFIX}[0-9a-f]+", f)}
+    left = [p for p in _stored if p.rsplit("/", 1)[1] in kept]
+    jvm = spark.sparkContext._jvm
+    for path in set(_stored).difference(left):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _stored[:] = left
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder."""
     shared_dir(df.sparkSession)

@@ -15,7 +15,8 @@ Defined cases: null lang, source or text count as empty strings; texts without
 words have 0 tokens and are never chosen; rows with a null doc_id take no
 part; rows of a leaf that share a doc_id stand or fall together; a leaf
 without weight gets the default weight 1; an empty table gives an empty result;
-other columns stay as they are.
+other columns stay as they are: where one has the name of an added column, the added
+one's name gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -106,5 +107,10 @@ def mix(docs: DataFrame, *, share: tuple[int, int] = (1, 2), max_epochs: int = 2
 
     chosen = rows.join(plan, leaf).withColumn("mix_order", order)
     chosen = chosen.withColumn("copies", F.col("epochs") + F.when(F.col("mix_order") <= F.col("cut"), 1).otherwise(0)).filter("copies > 0")
-    added = [*leaf, "mix_tokens", "leaf_budget", "copies"]
-    return chosen.select(*(F.col(f"doc.{c}") for c in docs.columns if c not in added), *added)
+    added = {}
+    for name in (*leaf, "mix_tokens", "leaf_budget", "copies"):
+        free = name
+        while free in docs.columns:
+            free += "_"
+        added[name] = F.col(name).alias(free)
+    return chosen.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns), *added.values())

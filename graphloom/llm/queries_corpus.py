@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
-
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import bpe_round_trip
@@ -17,8 +15,7 @@ WEIGHTS = {"domain": {"domain0": 3, "domain1": 2}, "lang": {"en": 4, "de": 2, "f
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """A public vocabulary's file."""
-    folder = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
-    return os.path.join(folder, name)
+    return str(public_tokenizers.path(name))
 
 
 def op3_mix_sources(spark, sf_dir):
