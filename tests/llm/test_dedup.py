@@ -32,6 +32,16 @@ def shingles(text, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
+def linked(x, y):
+    both = len(x & y)
+    return bool(x) and bool(y) and 100 * both >= 85 * (len(x) + len(y) - both)
+
+
+def link_counts(texts):
+    sets = [(i, shingles(t)) for i, t in texts]
+    return {i: sum(linked(own, other) for j, other in sets if i != j) for i, own in sets}
+
+
 def components_of(texts):
     sets = {i: shingles(t) for i, t in texts}
     root = {i: i for i in sets}
@@ -85,8 +95,9 @@ def test_components_of_a_path_and_a_star(spark):
 def test_op2_equals_brute_force(spark, sf_dir):
     texts = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     want = components_of(texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op2_ngram_join"](spark, sf_dir).collect()}
-    assert got == want
+    found = QUERIES["op2_ngram_join"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert {r.doc_id: r.n_links for r in found} == link_counts(texts)
 
 
 def test_op2_of_a_large_group_of_near_copies(spark):
@@ -99,8 +110,41 @@ def test_op2_of_a_large_group_of_near_copies(spark):
         for _ in range(rnd.randrange(0, 6)):
             own[rnd.randrange(80)] = f"v{rnd.randrange(10_000)}"
         texts.append((i, " ".join(own)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(frame(spark, texts)).collect()}
-    assert got == components_of(texts)
+    texts += [(1000, texts[5][1]), (1001, texts[5][1])]
+    found = ngram_join(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components_of(texts)
+    assert {r.doc_id: r.n_links for r in found} == link_counts(texts)
+
+
+def test_op2_of_a_large_group_in_many_blocks(spark, monkeypatch):
+    from graphloom.llm import ngram_join as join
+
+    monkeypatch.setattr(join, "BLOCK", 2000)
+    monkeypatch.setattr(join, "SHORT_LIST", 8)
+    monkeypatch.setattr(join, "LEADERS", 1)
+    rnd = random.Random(5)
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{rnd.randrange(10_000)}" for _ in range(60)]
+        for i in range(60):
+            own = base[: 60 - rnd.randrange(12)]
+            for _ in range(rnd.randrange(0, 3)):
+                own[rnd.randrange(len(own))] = f"v{rnd.randrange(10_000)}"
+            texts.append((group * 100 + i, " ".join(own)))
+    found = ngram_join(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components_of(texts)
+    assert {r.doc_id: r.n_links for r in found} == link_counts(texts)
+
+
+def test_rows_that_share_a_doc_id_are_not_lost(spark):
+    texts = [(1, "a b c d e"), (1, "f g h i j"), (2, "a b c d e"), (3, "k l m n o"), (3, "k l m n o"), (4, "f g h i j")]
+    found = ngram_join(frame(spark, texts)).collect()
+    assert sorted(r.doc_id for r in found) == [1, 1, 2, 3, 3, 4] and sum(r.component_id == 1 for r in found) == 3
+    left = sorted((r.doc_id, r.text) for r in drop_near_copies(frame(spark, texts)).collect())
+    assert {(1, "a b c d e"), (1, "f g h i j")} <= set(left) and len(left) == 5
+    texts = [(1, "a"), (1, "b"), (2, "a"), (2, " a"), (3, "c"), (3, "c")]
+    assert sorted((r.doc_id, r.text) for r in drop_exact_copies(frame(spark, texts)).collect()) == [(1, "b"), (2, " a"), (3, "c")]
+    assert sum(r.kept for r in exact_dedup(frame(spark, texts)).collect()) == 3
 
 
 def test_op2_of_odd_rows(spark):
