@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.bpe import bpe_round_trip
-from graphloom.llm.common import stored, table
+from graphloom.llm.common import clear_stored, stored, table
 from graphloom.llm.exact_dedup import drop_exact_copies
 from graphloom.llm.mixing import mix
 from graphloom.llm.ngram_join import drop_near_copies
@@ -52,4 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
+        clear_stored(spark, keep=docs)
     return docs
