@@ -141,14 +141,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seta", "setb").mapInArrow(run, "a long, b long")
 
 
-def _dealt(members: DataFrame, sizes: DataFrame, keys: list[str], sets: DataFrame, more: list[str]) -> DataFrame:
+def in_blocks(members: DataFrame, sizes: DataFrame, keys: list[str], sets: DataFrame, more: list[str]) -> DataFrame:
     """Members (keys, doc_id, n, side, visitor, more) with their sets, once for each pair (i, j) of blocks that they are in."""
     dealt = members.join(sizes, keys).withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "doc_id")
     return dealt.select(*keys, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "visitor", "doc_id", "n", *more, "shingles")
 
 
-def _by_size(members: DataFrame, num: int, den: int) -> DataFrame:
+def by_size(members: DataFrame, num: int, den: int) -> DataFrame:
     """Members in classes (cls) by size: linked sets are in one class or in neighbouring ones, where the larger ones are visitors."""
     members = members.withColumn("cls", F.floor(F.log("n") / math.log(den / num * 1.001)).cast("int"))
     return members.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("visitor")).withColumn("cls", F.col("cls") - F.col("visitor").cast("int"))
@@ -158,7 +158,7 @@ def _bitmaps(sets: list[np.ndarray], most: int) -> np.ndarray:
     return np.stack([parity_bits(x, _bitmap_size(most)) for x in sets]).view(np.uint64)
 
 
-def _block_links(num: int, den: int):
+def block_links(num: int, den: int):
     """Links within one block pair that connect what isn't connected yet: a forest, however many pairs are linked."""
 
     def run(members: pd.DataFrame) -> pd.DataFrame:
@@ -284,14 +284,14 @@ def ngram_links(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100, c
     if some_longer:
         # members of a list that the leaders haven't connected
         found = checkpointed(connected_components(links)).toDF("doc_id", "component")
-        members = _by_size(longer.select("shingle", "doc_id", "n").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), num, den)
+        members = by_size(longer.select("shingle", "doc_id", "n").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), num, den)
         members = checkpointed(members)
         sizes = members.groupBy("shingle", "cls").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         sizes = checkpointed(sizes.filter("low < high").select("shingle", "cls", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
         wanted = stored(members.join(sizes, ["shingle", "cls"], "left_semi").select("doc_id").distinct())
         sets = _sets(rows_in(docs, wanted, "doc_id"), k, num, den, "sets").select("doc_id", "shingles")
-        blocks = _dealt(members, sizes, ["shingle", "cls"], sets, ["component"])
-        more = blocks.groupBy("shingle", "cls", "i", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
+        blocks = in_blocks(members, sizes, ["shingle", "cls"], sets, ["component"])
+        more = blocks.groupBy("shingle", "cls", "i", "j").applyInPandas(block_links(num, den), "a long, b long").distinct()
         links = stored(links.unionByName(more))
     if not counts:
         return classes, links, None, others
@@ -302,10 +302,10 @@ def ngram_links(docs: DataFrame, *, k: int = 4, num: int = 85, den: int = 100, c
     found = checkpointed(connected_components(links)).toDF("doc_id", "component")
     crowded = stored(found.join(longer.select("doc_id").distinct(), "doc_id", "left_semi").select("component").distinct())
     found = found.join(crowded, "component", "left_semi")
-    members = checkpointed(_by_size(found.join(weights, "doc_id"), num, den))
+    members = checkpointed(by_size(found.join(weights, "doc_id"), num, den))
     sizes = checkpointed(members.groupBy("component", "cls").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
     sets = _sets(rows_in(docs, found, "doc_id"), k, num, den, "sets").select("doc_id", "shingles")
-    blocks = _dealt(members, sizes, ["component", "cls"], sets, ["copies"])
+    blocks = in_blocks(members, sizes, ["component", "cls"], sets, ["copies"])
     inside = blocks.groupBy("component", "cls", "i", "j").applyInPandas(_block_counts(num, den), "doc_id long, links long")
     sparse = links.join(found.select(F.col("doc_id").alias("a")), "a", "left_anti")
     return classes, links, inside.unionByName(_pair_counts(sparse, weights)).groupBy("doc_id").agg(F.sum("links").alias("links")), others

@@ -1,15 +1,16 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Two kinds of paragraphs are compared.  Natural ones are lines, and blocks of lines
-between blank lines, of at least WIDTH words: a hard-wrapped paragraph is a block.  As a repeated passage may stand inside longer lines, the others are windows
+Two kinds of paragraphs are compared.  Natural ones are lines of at least WIDTH words, and
+runs of shorter lines without a blank or long line between them, as hard-wrapped text has.
+As a repeated passage may stand inside longer lines, the others are windows
 of WIDTH words that start at anchors: shingles that are the smallest of REACH
 neighbours.  Anchors depend on the text around them alone, so two copies of
 a passage of WIDTH + REACH - 1 words or more share a window wherever they stand.
 
-1. Windows are joined by the hash of all their words (a band of every shingle), lines by
+1. Windows are joined by the hash of all their words (a band of every shingle), paragraphs by
    BANDS bands of ROWS min-hashes over their shingles of five words: at a similarity
-   of 0.8 a pair of lines meets in one of them with odds of 0.998.
-2. Lines that meet are verified by their exact Jaccard similarity: all pairs of a band's
+   of 0.8 a pair meets in one of them with odds of 0.998.
+2. Paragraphs that meet are verified by their exact Jaccard similarity: all pairs of a band's
    small group; in a larger one pairs with leaders first, then in blocks of bounded
    size those that aren't connected yet, so that no similar pair of a group stays apart.
 3. Verified pairs, and windows that overlap in a document, make components, the clusters.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import bounded_batches, checkpointed, rows_in, rows_not_in, stored
 from graphloom.llm.components import connected_components
-from graphloom.llm.ngram_join import BLOCK, _block_links
+from graphloom.llm.ngram_join import BLOCK, block_links, by_size, in_blocks
 from graphloom.llm.shingles import chunks, mix, shingles_of, word_hashes
 
 SHINGLE, WIDTH, REACH = 5, 32, 16
@@ -105,17 +106,15 @@ def _lines(starts: np.ndarray, text: np.ndarray, feeds: np.ndarray) -> tuple[np.
     return new, np.concatenate((new[1:], [len(starts)]))
 
 
-def _paragraph_ends(starts: np.ndarray, text: np.ndarray, feeds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """First words and ends of lines, and of blocks of several lines between blank lines, of WIDTH words or more."""
+def _paragraph_ends(starts: np.ndarray, text: np.ndarray, feeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of lines of WIDTH words or more, and of runs of shorter lines that have as many together."""
     a, b = _lines(starts, text, feeds)
     if not len(a):
-        return []
-    line = np.searchsorted(feeds, starts[a])
-    new = np.flatnonzero(np.concatenate(([True], (text[a[1:]] != text[a[:-1]]) | (line[1:] - line[:-1] > 1))))
-    several = np.diff(np.concatenate((new, [len(a)]))) > 1
-    blocks, ends = a[new], np.concatenate((a[new[1:]], [len(starts)]))
-    out = [(a, b), (blocks[several], ends[several])]
-    return [(x[y - x >= WIDTH], y[y - x >= WIDTH]) for x, y in out if (y - x >= WIDTH).any()]
+        return a, b
+    line, long = np.searchsorted(feeds, starts[a]), b - a >= WIDTH
+    new = np.flatnonzero(np.concatenate(([True], (text[a[1:]] != text[a[:-1]]) | (line[1:] - line[:-1] > 1) | long[1:] | long[:-1])))
+    a, b = a[new], np.concatenate((a[new[1:]], [len(starts)]))
+    return a[b - a >= WIDTH], b[b - a >= WIDTH]
 
 
 def _windows(batches):
@@ -131,44 +130,38 @@ def _windows(batches):
 
 
 def _paragraphs(batches):
-    """Lines and blocks of WIDTH words or more: doc_id, start, n_words, digest of all words, and bands."""
+    """doc_id, start, n_words, digest of all words, and bands of every natural paragraph."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, last, hashes, starts, text, begins, _ in _words(batch.column(1)):
-            found = _paragraph_ends(starts, text, _line_ends(batch.column(1), first, last))
-            if not found:
+            a, b = _paragraph_ends(starts, text, _line_ends(batch.column(1), first, last))
+            if not len(a):
                 continue
             shingles, places = shingles_of(hashes, text, SHINGLE, last - first)
             # reduceat over [lo, hi), [hi, next lo), ...: every other result is a paragraph's
-            cuts = [np.stack((np.searchsorted(places, a), np.searchsorted(places, b - SHINGLE + 1)), axis=1).ravel() for a, b in found]
+            cuts = np.stack((np.searchsorted(places, a), np.searchsorted(places, b - SHINGLE + 1)), axis=1).ravel()
             shingles = np.concatenate((shingles, np.zeros(1, dtype=np.uint64)))
-            bands = [np.zeros((len(a), BANDS), dtype=np.uint64) for a, _ in found]
+            bands = np.zeros((len(a), BANDS), dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
             for i, seed in enumerate(_SEEDS):
-                mixed = mix(shingles * seed)
-                for own, cut in zip(bands, cuts, strict=True):
-                    low = np.minimum.reduceat(mixed, cut)[::2]
-                    own[:, i // ROWS] = mix(own[:, i // ROWS] * np.uint64(31) + low + np.uint64(i + 1))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            digests = span_hashes(hashes, a, b)
+                low = np.minimum.reduceat(mix(shingles * seed), cuts)[::2]
+                bands[:, i // ROWS] = mix(bands[:, i // ROWS] * np.uint64(31) + low + np.uint64(i + 1))
             own = text[a]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate(bands).ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first:last][own].astype(np.int64)), pa.array((a - begins[own]).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(digests.view(np.int64)), flat], ["doc_id", "start", "n_words", "digest", "bands"])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first:last][own].astype(np.int64)), pa.array((a - begins[own]).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(span_hashes(hashes, a, b).view(np.int64)), flat], ["doc_id", "start", "n_words", "digest", "bands"])
 
 
 def _paragraph_sets(batches):
-    """Shingle sets of the lines and blocks of WIDTH words or more: doc_id, start, n_words, shingles."""
+    """Shingle sets of the natural paragraphs: doc_id, start, n_words, shingles."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, last, hashes, starts, text, begins, _ in _words(batch.column(1)):
-            found = _paragraph_ends(starts, text, _line_ends(batch.column(1), first, last))
+            a, b = _paragraph_ends(starts, text, _line_ends(batch.column(1), first, last))
+            if not len(a):
+                continue
             shingles, places = shingles_of(hashes, text, SHINGLE, last - first)
-            for a, b in found:
-                rows = []
-                for s, e in zip(a, b, strict=True):
-                    own = np.unique(shingles[np.searchsorted(places, s) : np.searchsorted(places, e - SHINGLE + 1)])
-                    rows.append((int(ids[first + text[s]]), int(s - begins[text[s]]), int(e - s), own.tobytes()))
-                d, s, n, x = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(x, pa.binary())], ["doc_id", "start", "n_words", "shingles"])
+            sets = [np.unique(shingles[x:y]).tobytes() for x, y in zip(np.searchsorted(places, a), np.searchsorted(places, b - SHINGLE + 1), strict=True)]
+            own = text[a]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first:last][own].astype(np.int64)), pa.array((a - begins[own]).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(sets, pa.binary())], ["doc_id", "start", "n_words", "shingles"])
 
 
 def _similar(num: int, den: int):
@@ -185,39 +178,39 @@ def _similar(num: int, den: int):
 
 
 def paragraph_links(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """lines and blocks (doc_id, start, n_words, digest), and links (a, b) between digests of those that are similar enough."""
+    """paragraphs (doc_id, start, n_words, digest), and links (a, b) between digests of those that are similar enough."""
     lines = stored(docs.mapInArrow(_paragraphs, "doc_id long, start int, n_words int, digest long, bands array<long>"))
-    met = lines.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
-    group = Window.partitionBy("band", "key")
-    met = stored(met.withColumn("members", F.count("*").over(group)).filter("members > 1"))
-    small = met.filter(F.col("members") <= SMALL_GROUP).select("band", "key", "digest")
-    all_pairs = small.withColumnRenamed("digest", "a").join(small.withColumnRenamed("digest", "b"), ["band", "key"]).filter("a < b").select("a", "b")
-    large = met.filter(F.col("members") > SMALL_GROUP)
-    leaders = F.array(*(F.min(F.struct(F.xxhash64("digest", F.lit(s)).alias("place"), F.col("digest").alias("digest"))).over(group) for s in range(LEADERS)))
-    led = large.withColumn("leaders", leaders).select("digest", F.explode("leaders.digest").alias("leader")).filter("digest <> leader")
+    # equal paragraphs have equal bands; a band's number is mixed into its key
+    met = lines.groupBy("digest").agg(F.first("bands").alias("bands")).select("digest", F.explode("bands").alias("key"))
+    groups = met.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    met = stored(met.join(groups, "key"))
+    small = met.filter(F.col("members") <= SMALL_GROUP).select("key", "digest")
+    all_pairs = small.withColumnRenamed("digest", "a").join(small.withColumnRenamed("digest", "b"), "key").filter("a < b").select("a", "b")
+    large = met.filter(F.col("members") > SMALL_GROUP).select("key", "digest")
+    leaders = stored(large.groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("digest", "key", F.lit(s)).alias("place"), F.col("digest").alias("digest"))) for s in range(LEADERS))).alias("leaders")))
+    led = large.join(leaders, "key").select("digest", F.explode("leaders.digest").alias("leader")).filter("digest <> leader")
     pairs = stored(all_pairs.union(led.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b"))).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    where = lines.join(ends, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("digest", "at.*")
-    where = stored(where)
+    where = stored(lines.join(ends, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("digest", "at.*"))
     sets = stored(rows_in(docs, where, "doc_id").mapInArrow(_paragraph_sets, "doc_id long, start int, n_words int, shingles binary").join(where, ["doc_id", "start", "n_words"]).select("digest", "shingles").dropDuplicates(["digest"]))
     side = lambda x: sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"set{x}"))
     links = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seta", "setb").mapInArrow(_similar(num, den), "a long, b long"))
-    if large.limit(1).count():
+    if leaders.limit(1).count():
         links = links.unionByName(stored(_group_links(large, links, sets, num, den)))
     return lines.drop("bands"), links
 
 
 def _group_links(large: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what is similar in large groups (band, key, digest) and isn't connected by links yet."""
-    found = checkpointed(connected_components(links)).toDF("digest", "component")
-    members = large.join(found, "digest", "left").select("band", "key", "digest", F.coalesce("component", "digest").alias("component"))
-    members = checkpointed(members.join(sets.select("digest", (F.length("shingles") / 8).cast("long").alias("n")), "digest"))
-    sizes = members.groupBy("band", "key").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    sizes = checkpointed(sizes.filter("low < high").select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    dealt = members.join(sizes, ["band", "key"]).withColumn("side", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "digest")
-    blocks = dealt.select("band", "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", F.lit(False).alias("visitor"), F.col("digest").alias("doc_id"), "n", "component", "shingles")
-    return blocks.groupBy("band", "key", "i", "j").applyInPandas(_block_links(num, den), "a long, b long").distinct()
+    """Links (a, b) that connect what is similar in large groups (key, digest) and isn't connected by links yet."""
+    found = checkpointed(connected_components(links)).toDF("doc_id", "component")
+    members = large.withColumnRenamed("digest", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sets = sets.select(F.col("digest").alias("doc_id"), "shingles")
+    members = members.join(sets.select("doc_id", (F.length("shingles") / 8).cast("long").alias("n")), "doc_id")
+    members = checkpointed(by_size(members, num, den))
+    sizes = members.groupBy("key", "cls").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = checkpointed(sizes.filter("low < high").select("key", "cls", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    blocks = in_blocks(members, sizes, ["key", "cls"], sets, ["component"])
+    return blocks.groupBy("key", "cls", "i", "j").applyInPandas(block_links(num, den), "a long, b long").distinct()
 
 
 def _repeated(found: DataFrame, key: str) -> DataFrame:
