@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import bounded_batches, checkpointed, rows_in, rows_not_in, stored
 from graphloom.llm.components import connected_components
-from graphloom.llm.ngram_join import BLOCK, block_links, by_size, in_blocks
+from graphloom.llm.ngram_join import BLOCK, block_links, in_blocks
 from graphloom.llm.shingles import chunks, mix, shingles_of, word_hashes
 
 SHINGLE, WIDTH, REACH = 5, 32, 16
@@ -202,11 +202,12 @@ def paragraph_links(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataF
 
 def _group_links(large: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect what is similar in large groups (key, digest) and isn't connected by links yet."""
-    found = checkpointed(connected_components(links)).toDF("doc_id", "component")
-    members = large.withColumnRenamed("digest", "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # paragraphs with the same smallest neighbour are surely connected
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("doc_id", "b")
+    found = ends.groupBy("doc_id").agg(F.min("b").alias("low")).select("doc_id", F.least("doc_id", "low").alias("component"))
     sets = sets.select(F.col("digest").alias("doc_id"), "shingles")
-    members = members.join(sets.select("doc_id", (F.length("shingles") / 8).cast("long").alias("n")), "doc_id")
-    members = checkpointed(by_size(members, num, den))
+    members = large.withColumnRenamed("digest", "doc_id").join(found, "doc_id", "left").join(sets.select("doc_id", (F.length("shingles") / 8).cast("long").alias("n")), "doc_id")
+    members = checkpointed(members.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.lit(0).alias("cls"), F.lit(False).alias("visitor")))
     sizes = members.groupBy("key", "cls").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     sizes = checkpointed(sizes.filter("low < high").select("key", "cls", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     blocks = in_blocks(members, sizes, ["key", "cls"], sets, ["component"])
