@@ -27,15 +27,19 @@ from __future__ import annotations
 import hashlib
 import html as html_entities
 import re
-from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import bounded_batches, checkpointed, partitions, rows_in, rows_not_in, stored
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?][^>]*>|<[/!?]?[a-zA-Z][^<>]*\Z", re.S | re.I)
+OPENS = re.compile(r"<(?:!--|[/!?]|[a-zA-Z])")
+QUOTE_OR_END = re.compile(r"[>\"']")
+#: Elements whose content is no text.
+RAW = frozenset("script style noscript template svg iframe textarea select title".split())
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 #: Elements that don't end a line.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -65,11 +69,55 @@ def _marked(tag: str) -> bool:
     return False
 
 
+def _tokens(html: str):
+    """(start, end, tag or None, name of an element without text or None) of everything between texts, in one pass.
+
+    A tag ends at the first > outside quotes. If that leads to the end of the page, its
+    quotes, and all after it, are taken as other characters, so that no part is read again and again.
+    """
+    at, quotes = 0, True
+    while found := OPENS.search(html, at):
+        start = found.start()
+        if found[0] == "<!--":
+            end = html.find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, None, None
+            continue
+        end = start + 1
+        while quotes:
+            mark = QUOTE_OR_END.search(html, end)
+            if mark is None or mark[0] == ">":
+                end = -1 if mark is None else mark.start()
+                break
+            end = html.find(mark[0], mark.end()) + 1
+            if not end:
+                end = -1
+                break
+        if not quotes or end < 0:
+            quotes = False
+            end = html.find(">", start)
+        if end < 0:
+            # no tag ends any more; one that the page's end cuts off is no text
+            last = html.rfind("<")
+            if OPENS.match(html, last):
+                yield last, len(html), None, None
+            return
+        at = end + 1
+        tag = TAG.match(html, start)
+        if tag and not tag[1] and tag[2].lower() in RAW:
+            close = RAW_END[tag[2].lower()].search(html, at)
+            at = close.end() if close else len(html)
+            yield start, at, html[start : end + 1], tag[2].lower()
+        else:
+            yield start, at, html[start:at], None
+
+
 def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
     """(line, whether it stands in the article or main element, whether it stands aside) of every block, in order."""
     lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements; whether they begin what stands aside
+    is_open: dict[str, int] = {}  # how many of a name are open, so that closing none needs no search
     aside = within = 0
     place = 0
 
@@ -85,30 +133,32 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
         nonlocal aside, within
         while len(stack) > to:
             name, is_aside = stack.pop()
+            is_open[name] -= 1
             aside -= is_aside
             within -= name in ("article", "main")
 
     html = html or ""
-    for token in TOKEN.finditer(html):
-        if token.start() > place:
-            parts.append(html[place : token.start()])
-        place = token.end()
-        tag = TAG.match(token[0])
+    for start, end, token, raw in _tokens(html):
+        if start > place:
+            parts.append(html[place:start])
+        place = end
+        tag = TAG.match(token) if token else None
         if tag is None:
             continue
         closing, name = tag[1], tag[2].lower()
-        if token[1] is not None:
+        if raw is not None:
             if name == "title":
                 end_line()
             continue
         if name in INLINE:
             if name in ("br", "img", "input"):
                 parts.append(" ")
-            elif not closing and _marked(token[0]):
+            elif not closing and _marked(token):
                 end_line()
                 stack.append((name, True))
+                is_open[name] = is_open.get(name, 0) + 1
                 aside += 1
-            elif closing:
+            elif closing and is_open.get(name):
                 for at in range(len(stack) - 1, -1, -1):
                     if stack[at][0] == name:
                         end_line()
@@ -119,15 +169,16 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
             continue
         end_line()
         if closing:
-            for at in range(len(stack) - 1, -1, -1):
+            for at in range(len(stack) - 1 if is_open.get(name) else -1, -1, -1):
                 if stack[at][0] == name:
                     close(at)
                     break
-        elif name not in VOID and not token[0].endswith("/>"):
+        elif name not in VOID and not token.endswith("/>"):
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 close(len(stack) - 1)
-            is_aside = name in ASIDE or (name == "header" and within == 0) or (name not in ("html", "body", "article", "main") and _marked(token[0]))
+            is_aside = name in ASIDE or (name == "header" and within == 0) or (name not in ("html", "body", "article", "main") and _marked(token))
             stack.append((name, is_aside))
+            is_open[name] = is_open.get(name, 0) + 1
             aside += is_aside
             within += name in ("article", "main")
     if place < len(html):
@@ -137,31 +188,60 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
 
 
 def common_lines(own: list, other: list) -> set[int]:
-    """Places in own of a longest common subsequence, by increasing runs of matching places."""
-    where: dict[object, list[int]] = {}
-    shared = set(own) & set(other)
-    for j, line in enumerate(other):
-        if line in shared:
-            where.setdefault(line, []).append(j)
-    ends: list[int] = []
-    tails: list[tuple[int, object]] = []
-    for i, line in enumerate(own):
-        for j in reversed(where.get(line, ())):
-            at = bisect_left(ends, j)
-            node = (i, tails[at - 1] if at else None)
-            if at == len(ends):
-                ends.append(j)
-                tails.append(node)
-            else:
-                ends[at] = j
-                tails[at] = node
-    found, node = set(), tails[-1] if tails else None
-    while node is not None:
-        found.add(node[0])
-        node = node[1]
+    """Places in own of a longest common subsequence; memory grows with the number of lines, not its square.
+
+    Common ends are cut off; what lies between is halved at the place of other where the
+    common lengths of both halves add up to most (Hirschberg). Lengths come from bit vectors.
+    """
+    shared = set(own).intersection(other)
+    places = [i for i, x in enumerate(own) if x in shared]
+    numbers = {x: i for i, x in enumerate(shared)}
+    a, b = [numbers[own[i]] for i in places], [numbers[x] for x in other if x in shared]
+    found, todo = set(), [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            found.add(places[i])
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            found.add(places[n])
+        if i == n or j == m:
+            continue
+        if n - i == 1:
+            if a[i] in b[j:m]:
+                found.add(places[i])
+            continue
+        half = (i + n) // 2
+        best = int(np.argmax(_common_lengths(a[i:half], b[j:m]) + _common_lengths(a[half:n][::-1], b[j:m][::-1])[::-1]))
+        todo += [(i, half, j, j + best), (half, n, j + best, m)]
     return found
 
 
+def _common_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each prefix of b, by addition of bit vectors."""
+    where: dict[int, int] = {}
+    for x, own in _grouped(b):
+        where[x] = own
+    every = (1 << len(b)) - 1
+    v = every
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & every
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _grouped(b: list[int]):
+    """Each line of b with the bits of its places."""
+    order = np.argsort(np.asarray(b), kind="stable")
+    lines = np.asarray(b)[order]
+    for own in np.split(order, np.flatnonzero(lines[1:] != lines[:-1]) + 1):
+        bits = np.zeros(len(b), dtype=np.uint8)
+        bits[own] = 1
+        yield b[own[0]], int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -188,20 +268,28 @@ def main_text(html: str | None, partner: str | None, boilerplate: set[str] | fro
 
 
 def _neighbours(batches):
-    """Rows of a sorted partition with the rows before and after, and whether a neighbour may be in another partition."""
-    tables = [pa.Table.from_batches([b]) for b in batches]
-    if not tables:
-        return
-    rows = pa.concat_tables(tables).to_pylist()
+    """Rows of a sorted partition with the rows before and after, and whether a neighbour may be in another partition; three rows are held."""
     names = ["page_id", "host", "path", "part", "before_id", "before_path", "after_id", "after_path", "first", "last"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
-    out = []
-    for i, r in enumerate(rows):
-        b = rows[i - 1] if i and rows[i - 1]["host"] == r["host"] else {}
-        a = rows[i + 1] if i + 1 < len(rows) and rows[i + 1]["host"] == r["host"] else {}
-        out.append((r["page_id"], r["host"], r["path"], r["part"], b.get("page_id"), b.get("path"), a.get("page_id"), a.get("path"), i == 0, i + 1 == len(rows)))
-    for start in range(0, len(out), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[start : start + 10_000], strict=True), kinds, strict=True)], names)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def joined(before, row, after):
+        near = [x[c] if x is not None and x[1] == row[1] else None for x in (before, after) for c in (0, 2)]
+        return (*row, *near, before is None, after is None)
+
+    before = row = None
+    for batch in batches:
+        out = []
+        for after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row is not None:
+                out.append(joined(before, row, after))
+            before, row = row, after
+        if out:
+            yield batch_of(out)
+    if row is not None:
+        yield batch_of([joined(before, row, None)])
 
 
 def _address() -> tuple[F.Column, F.Column]:
@@ -243,17 +331,18 @@ def _line_rows(batches):
 
 
 def _shared_rows(batches):
-    """page_id, scopes, hashes of lines of the text that are shared with the partner, whether in an article, and whether the page votes."""
+    """page_id, scopes, hashes of lines shared with the partner, inside an article and elsewhere, and whether the page votes."""
     for batch in batches:
         rows = []
         for page, scopes, lines, sizes, inside, other, other_sizes, other_inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             common = common_lines(lines, other)
             voter = inside and other_inside and 2 * sum(sizes[i] for i in common) < min(sum(sizes), sum(other_sizes))
-            taken = {lines[i] for i in common}.intersection(x for x, size in zip(lines, sizes, strict=True) if size)
+            taken = {lines[i] for i in common}
+            within = taken.intersection(x for x, size in zip(lines, sizes, strict=True) if size) if inside else set()
             if taken or voter:
-                rows.append((page, scopes, sorted(taken), inside, voter))
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["page_id", "scopes", "gone", "inside", "voter"])
+                rows.append((page, scopes, sorted(within), sorted(taken - within), voter))
+        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["page_id", "scopes", "within", "around", "voter"])
 
 
 def _text_rows(batches):
@@ -269,31 +358,37 @@ def _text_rows(batches):
 
 def _voted_out(shared: DataFrame) -> DataFrame:
     """page_id, gone: aligned lines inside articles that their host or folder votes out."""
-    voters = shared.filter("voter").select("page_id", F.posexplode("scopes").alias("level", "scope"), "gone").withColumn("line", F.explode_outer("gone"))
+    voters = shared.filter("voter").select("page_id", F.posexplode("scopes").alias("level", "scope"), "within").withColumn("line", F.explode_outer("within"))
     count = lambda rows, *keys: rows.select(*keys, "page_id").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
     votes = count(voters.filter("line is not null"), "scope", "level", "line").filter(F.col("n") >= LEAST_VOTES + F.col("level"))
     out = votes.join(count(voters, "scope").withColumnRenamed("n", "all"), "scope").filter(2 * F.col("n") >= F.col("all")).select("scope", "line")
-    aligned = shared.filter("inside").select("page_id", F.explode("scopes").alias("scope"), "gone").select("page_id", "scope", F.explode("gone").alias("line"))
-    return aligned.join(out, ["scope", "line"]).select("page_id", F.array("line").alias("gone"))
+    aligned = shared.select("page_id", F.explode("scopes").alias("scope"), "within").select("page_id", "scope", F.explode("within").alias("line"))
+    return aligned.join(out, ["scope", "line"]).groupBy("page_id").agg(F.collect_set("line").alias("voted"))
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """page_id, gone: hashes of lines that a page loses because its partner has them. Only hashes are joined, no html."""
+    """page_id, gone: hashes of lines that a page loses because its partner has them, and in_text: whether the tags alone would keep one.
+
+    Only hashes are joined, no html.
+    """
     host, path = _address()
     scopes = F.array(F.xxhash64(host), F.xxhash64(host, F.regexp_extract(path, "^(.*)/", 1), F.lit("folder")))
     lines = stored(pages.filter("page_id is not null").select("page_id", scopes.alias("scopes"), "html").mapInArrow(_line_rows, "page_id long, scopes array<long>, lines array<long>, sizes array<int>, inside boolean"))
     others = lines.select(F.col("page_id").alias("partner_id"), *(F.col(x).alias(f"other_{x}") for x in ("lines", "sizes", "inside"))).dropDuplicates(["partner_id"])
     both = lines.join(partners(pages), "page_id").join(others, "partner_id").select("page_id", "scopes", "lines", "sizes", "inside", "other_lines", "other_sizes", "other_inside")
-    shared = stored(both.mapInArrow(_shared_rows, "page_id long, scopes array<long>, gone array<long>, inside boolean, voter boolean"))
-    gone = shared.filter("not inside").select("page_id", "gone").unionByName(_voted_out(shared))
-    return stored(gone.groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    shared = stored(both.mapInArrow(_shared_rows, "page_id long, scopes array<long>, within array<long>, around array<long>, voter boolean"))
+    gone = shared.join(_voted_out(shared), "page_id", "left").select("page_id", F.array_union("around", F.coalesce("voted", F.array().cast("array<long>"))).alias("gone"))
+    gone = gone.filter(F.size("gone") > 0).join(lines.select("page_id", "lines", "sizes"), "page_id")
+    # what the tags leave out as well needn't be carried to the texts
+    left = F.transform(F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] > 0), lambda x: x["lines"])
+    return stored(gone.select("page_id", "gone", F.arrays_overlap("gone", left).alias("in_text")).dropDuplicates(["page_id"]))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     bounded_batches(pages)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    gone = shared_lines(pages)
+    gone = shared_lines(pages).filter("in_text").drop("in_text")
     schema = "page_id long, url string, text string, n_chars long"
     # pages that lose nothing needn't be moved
     whole = rows_not_in(pages, gone, "page_id").select("page_id", "url", "html").mapInArrow(_text_rows, schema)
