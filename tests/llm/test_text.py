@@ -15,7 +15,7 @@ import corpus_pipeline
 from graphloom.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
 from graphloom.llm.chat_format import Formatter, Template, chat_segments, chat_texts, read_back
 from graphloom.llm.common import table
-from graphloom.llm.html_text import common_lines, extract_text, main_text, partners
+from graphloom.llm.html_text import common_lines, extract_text, line_hash, main_text, partners, shared_lines
 from graphloom.llm.licenses import TEMPLATES, bigrams, license_scan, license_spans
 from graphloom.llm.mixing import mix
 from graphloom.llm.queries import ORACLE_SQL, QUERIES
@@ -176,6 +176,53 @@ def test_lines_that_different_articles_share_go_and_shared_articles_stay(spark):
     assert main_text(rows[0][2], rows[1][2], {note}) == "Story number 0 about matters It ends like 0 and then some"
 
 
+def lcs_length(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    rnd = random.Random(1)
+    for _ in range(500):
+        a, b = ([rnd.randrange(6) for _ in range(rnd.randrange(25))] for _ in range(2))
+        found, left = sorted(common_lines(a, b)), iter(b)
+        assert len(found) == lcs_length(a, b) and all(any(a[i] == x for x in left) for i in found)
+    assert len(common_lines(["x"] * 20_000, ["x"] * 19_000)) == 19_000
+
+
+def test_differencing_of_a_table_against_brute_force(spark, sf_dir):
+    """Pages without an article, whose boilerplate no tag or class tells: only shared lines do. And what is shared on the given pages."""
+    rnd = random.Random(2)
+    lines = [f"Line {i} of the shop" for i in range(12)]
+    rows, own = [], {}
+    for i in range(40):
+        own[i] = [f"Own words {i} {k}" for k in range(rnd.randrange(1, 4))]
+        body = [x for x in lines if rnd.random() < 0.8]
+        for x in own[i]:
+            body.insert(rnd.randrange(len(body) + 1), x)
+        rows.append((i, f"http://h.x/p/{i:03d}", "".join(f"<div>{x}</div>" for x in body)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    near = dict(partners(pages).collect())
+    texts = {i: re.findall("<div>(.*?)</div>", h) for i, _, h in rows}
+    gone = {r.page_id: (set(r.gone), r.in_text) for r in shared_lines(pages).collect()}
+    for r in extract_text(pages).collect():
+        a, b = texts[r.page_id], texts[near[r.page_id]]
+        left = [x for x in a if line_hash(x) not in gone[r.page_id][0]]
+        assert r.text == " ".join(left) and set(own[r.page_id]) <= set(left) and gone[r.page_id][1]
+        assert len(a) - len(left) == lcs_length(a, b)
+    given = shared_lines(table(spark, sf_dir, "pages")).agg(F.count("*"), F.sum(F.size("gone"))).first()
+    assert given[0] > 0 and given[1] >= given[0]
+
+
+def test_broken_pages_take_no_longer_than_whole_ones():
+    for unit in ("<a ", "<a \"b'", '<a "><b "', "<script ", "</b", "<div></p>", '<a class="', "<!-- "):
+        main_text(unit * 30_000, None)
+    assert main_text('<p title="a > b">x</p><p>1 < 2 & 3</p>', None) == "x 1 < 2 & 3"
+
+
 def test_partners_are_the_nearest_paths(spark):
     data = [(1, "http://h/a/1"), (2, "http://h/a/12"), (3, "http://h/b"), (4, "http://other/"), (5, None), (6, "odd"), (None, "http://h/a/1"), (2, "http://h/a/12")]
     pages = spark.createDataFrame([(i, u, "<p>x</p>", "h") for i, u in data], "page_id long, url string, html string, host string")
@@ -246,6 +293,46 @@ def test_toxicity_learns_words_it_was_shown(spark):
     assert {r.predicted for r in toxicity(docs.limit(20), given.limit(0)).collect()} == {0}
 
 
+def test_copies_of_one_toxic_text_teach_only_what_independent_texts_bear_out(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    plain = [word() for _ in range(400)]
+    base = [word() for _ in range(30)]
+    texts, labels = [], []
+    for i in range(400):
+        own = [rnd.choice(plain) for _ in range(40)]
+        if i % 8 == 0:
+            own[rnd.randrange(40)] = "grotzkopf"
+        texts.append((i, " ".join(own)))
+        labels.append((i, int(i % 8 == 0)))
+    for i in range(400, 440):
+        texts.append((i, " ".join(["grotzkopf", *base])))
+        labels.append((i, 1))
+    texts += [(900, " ".join(base)), (901, "such a grotzkopf"), (902, "gr0tzk0pf"), (903, "ordinary (words) here!")]
+    got = {r.doc_id: r.predicted for r in toxicity(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[i] for i in (900, 901, 902, 903)] == [0, 1, 1, 0]
+
+
+def test_long_tokens_take_linear_time():
+    import time
+
+    channel, took = Channel(language_model(np.ones(28**3))), []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        assert channel.restore("a1" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_op9_recall_and_precision_on_held_out_rows(spark, sf_dir):
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    truth = {r.doc_id: r.toxic for r in table(spark, larger, "labels").collect()}
+    held = [(truth[r.doc_id], r.predicted) for r in QUERIES["op9_toxicity"](spark, larger).collect() if r.held_out and r.doc_id in truth]
+    hits = sum(t == p == 1 for t, p in held)
+    # 277 labels to learn from: the ten words of this size are seen two or three times each
+    assert hits >= 0.6 * sum(t for t, _ in held) and hits >= 0.9 * sum(p for _, p in held)
+
+
 def test_op9_on_held_out_rows(spark, sf_dir):
     """The bound rises with the number of labels; at the smallest size only a few toxic texts are learned from."""
     truth = {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
@@ -273,6 +360,22 @@ def test_top_k_of_odd_rows(spark):
     assert exact_top_k(whole_vectors(t.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores above 2**53 are exact; vectors whose scores may not fit into a long take no part."""
+    data = [(0, [3.0e6, 1.0]), (1, [3.0e6, 2.0]), (2, [3.0e6, 1.0 + 2**-8]), (3, [1.0e9, 1.0e9]), (4, [1.0e300, 0.0]), (5, [-3.0e6, 5.0])]
+    t = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in exact_top_k(whole_vectors(t), F.col("vec_id") == 0, k=5).orderBy("rank").collect()]
+    whole = {i: [int(256 * x) for x in v] for i, v in data if i not in (3, 4)}
+    want = sorted((-sum(x * y for x, y in zip(whole[0], v, strict=True)), i) for i, v in whole.items() if i)
+    assert got == [(0, n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+def test_top_k_among_equal_vectors(spark):
+    t = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(120)], "vec_id long, embedding array<double>")
+    got = [tuple(r)[:3] for r in exact_top_k(whole_vectors(t), F.col("vec_id") % 50 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(q, n + 1, i) for q, ids in ((0, (1, 2, 3)), (50, (0, 1, 2)), (100, (0, 1, 2))) for n, i in enumerate(ids)]
+
+
 def test_top_k_in_many_blocks(spark, monkeypatch):
     from graphloom.llm import topk
 
