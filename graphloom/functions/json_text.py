@@ -44,7 +44,7 @@ def _mapped(fn: Callable) -> Callable[[Column], Column]:
         def one(text):
             try:
                 return _dumps(fn(json.loads(text)))
-            except (TypeError, ValueError):
+            except (TypeError, ValueError, RecursionError):
                 return None
 
         return texts.map(one)
@@ -114,7 +114,7 @@ def json_deep_merge(left: Column, right: Column) -> Column:
         def one(x, y):
             try:
                 return _dumps(merge(json.loads(x), json.loads(y)))
-            except (TypeError, ValueError):
+            except (TypeError, ValueError, RecursionError):
                 return None
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="object")

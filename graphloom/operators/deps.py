@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["org", "project", "id"]
 TARGET = ["target_org", "target_project", "target_id"]
-MOST_STEPS = 200
+#: Steps whose results are read as they are; more are put together first.
+MOST_PARTS = 16
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder of spark.checkpoint.dir (a temporary one where none is set)."""
+    """checkpoint() in the folder of spark.checkpoint.dir; only in local mode, where none need be set, in a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -24,20 +29,21 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start key, org, project, id): all that each start reaches; a start on a cycle reaches itself.
 
     Semi-naive: each step joins only what the step before found, and drops what is known.
-    Cycles end it, as nothing new is found.
+    Cycles end it, as nothing new is found; chains may be of any length.  Each step stores
+    what it found alone.
     """
     roots = [F.col(c).alias(f"start_{c}") for c in KEY]
     edges = edges.select(*KEY, *TARGET).distinct()
     ids = [f"start_{c}" for c in KEY]
     frontier = cut(starts.select(*roots, *KEY).join(edges, KEY).select(*ids, *(F.col(f"target_{c}").alias(c) for c in KEY)).distinct())
-    seen = frontier
-    for _ in range(MOST_STEPS):
-        new = frontier.join(edges, KEY).select(*ids, *(F.col(f"target_{c}").alias(c) for c in KEY)).distinct().join(seen, [*ids, *KEY], "left_anti")
-        frontier = cut(new)
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError("the closure didn't end")
+    parts = [frontier]
+    while not frontier.isEmpty():
+        seen = reduce(DataFrame.unionByName, parts)
+        frontier = cut(frontier.join(edges, KEY).select(*ids, *(F.col(f"target_{c}").alias(c) for c in KEY)).distinct().join(seen, [*ids, *KEY], "left_anti"))
+        parts.append(frontier)
+        if len(parts) > MOST_PARTS:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def direct(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -73,17 +79,20 @@ def ancestors(address: Column) -> Column:
     return F.concat(F.array(F.lit("/")), F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
 
 
-def granted(rows: DataFrame, acls: DataFrame, identities: list[str], *, address: str = "address", permission: str = "permission") -> DataFrame:
-    """Rows whose permission some identity holds on the address or above it; an equi-join on address and permission."""
+def granted(rows: DataFrame, acls: DataFrame, identities: list[str], *, address: str = "address", permission: str = "permission", how: str = "left_semi") -> DataFrame:
+    """Rows whose permission some identity holds on the address or above it (how left_anti: the others).
+
+    Distinct pairs of address and permission are resolved first, by an equi-join.
+    """
     held = acls.filter(F.col("identity").isin(identities)).select(F.col("address").alias("held_address"), F.col("permission").alias("held_permission")).distinct()
-    wide = rows.withColumn("row_no", F.monotonically_increasing_id()).withColumn("above", F.explode(F.array_distinct(ancestors(F.col(address)))))
-    hit = wide.join(held, (wide["above"] == held["held_address"]) & (wide[permission] == held["held_permission"]), "left_semi")
-    return hit.dropDuplicates(["row_no"]).select(*rows.columns)
+    asked = rows.select(F.col(address).alias("asked_address"), F.col(permission).alias("asked_permission")).distinct().withColumn("above", F.explode(F.array_distinct(ancestors(F.col("asked_address")))))
+    good = asked.join(held, (F.col("above") == F.col("held_address")) & (F.col("asked_permission") == F.col("held_permission")), "left_semi").select("asked_address", "asked_permission").distinct()
+    return rows.join(good, (rows[address] == good["asked_address"]) & (rows[permission] == good["asked_permission"]), how)
 
 
 def not_granted(rows: DataFrame, acls: DataFrame, identities: list[str], **columns) -> DataFrame:
-    good = granted(rows.distinct(), acls, identities, **columns)
-    return rows.distinct().exceptAll(good)
+    """Distinct rows that aren't granted."""
+    return granted(rows.distinct(), acls, identities, how="left_anti", **columns)
 
 
 def acl_addresses(acls: DataFrame, identities: list[str], permission: str, address: str = "/") -> DataFrame:

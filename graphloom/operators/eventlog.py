@@ -82,9 +82,11 @@ def tag_snapshots(log: DataFrame) -> DataFrame:
 
 
 def latest_states(log: DataFrame) -> DataFrame:
-    """The newest state of each resource under the tag latest."""
-    newest = Window.partitionBy(*KEY).orderBy(F.desc("rev"))
-    return running_states(log).withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n", "kind").withColumn("tag", F.lit("latest"))
+    """The newest state of each resource under the tag latest: one aggregation, whose partial results merge before the shuffle."""
+    known = lambda c, kinds: F.max_by(c, F.when(F.col("kind").isin(kinds) & F.col(c).isNotNull(), F.col("rev"))).alias(c)
+    newest = [F.max_by(c, "rev").alias(c) for c in ("type", "ordering", "instant", "subject")]
+    state = log.groupBy(*KEY).agg(F.max("rev").alias("rev"), *newest, known("types", PAYLOAD), known("schema", SCHEMA), known("payload", PAYLOAD), _last(F.col("kind") == "Deprecated", FLAG).alias("deprecated"))
+    return state.select(*KEY, "type", "rev", "ordering", "instant", "subject", "types", "schema", "payload", "deprecated", F.lit("latest").alias("tag"))
 
 
 def states(log: DataFrame) -> DataFrame:

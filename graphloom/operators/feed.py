@@ -114,9 +114,13 @@ def last_updates(feed: DataFrame) -> DataFrame:
 
 
 def mark_outcomes(batch: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """A batch against a sink's answers (id, error): missing answers and errors make elements Failed."""
-    answers = outcomes.select("id", "error", F.lit(True).alias("answered")).dropDuplicates(["id"])
-    marked = batch.join(answers, "id", "left")
+    """A batch against a sink's answers (org, project, id, error): missing answers and errors make elements Failed.
+
+    Of several answers to an element an error counts.
+    """
+    key = ["org", "project", "id"]
+    answers = outcomes.groupBy(*key).agg(F.max("error").alias("error"), F.lit(True).alias("answered"))
+    marked = batch.join(answers, key, "left")
     reason = F.when(F.col("status") != "Success", F.lit(None)).when(F.col("answered").isNull(), "MissingInResponse").when(F.col("error").isNotNull(), "IndexingFailure")
     return marked.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNotNull(), "Failed").otherwise(F.col("status"))).drop("answered", "error")
 

@@ -12,8 +12,10 @@ def constraint_check(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     shapes (type, path, min_count, max_count, datatype), null for no bound. A shape list is
     a schema's, a few rows, and joins on the type.
     """
+    # predicates that no shape names needn't be shuffled
+    paths = F.broadcast(shapes.select(F.col("path").alias("p")).distinct())
     targets = triples.filter("p = 'type'").select(F.col("s").alias("resource"), F.col("o").alias("type")).join(shapes, "type")
-    own = triples.select(F.col("s").alias("resource"), F.col("p").alias("path"), F.col("datatype").alias("own_type"), F.lit(1).alias("hit"))
+    own = triples.join(paths, "p", "left_semi").select(F.col("s").alias("resource"), F.col("p").alias("path"), F.col("datatype").alias("own_type"), F.lit(1).alias("hit"))
     rows = targets.join(own, ["resource", "path"], "left").groupBy("resource", "type", "path", "min_count", "max_count", "datatype")
     rows = rows.agg(F.count("hit").alias("n"), F.count_if(F.col("own_type") != F.col("datatype")).alias("wrong"))
     why = F.when(F.col("n") < F.col("min_count"), "minCount").when(F.col("n") > F.col("max_count"), "maxCount").when(F.col("wrong") > 0, "datatype")

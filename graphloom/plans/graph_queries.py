@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import deps, eventlog, graph, pipes, quality
@@ -13,7 +14,7 @@ KEY = ["org", "project", "id"]
 STAR = ["s", "p", "o"]
 
 
-@query("SELECT c.s AS customer, n.o AS name, r.o AS region FROM triples c JOIN triples n ON n.s = c.o AND n.p = 'name' JOIN triples r ON r.s = c.o AND r.p = 'region' WHERE c.p = 'nation' AND c.s LIKE 'customer/%'", TRIPLES)
+@query("""SELECT 'customer/' || c_custkey AS customer, n_name AS name, 'region/' || n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def graph_match(spark, sf_dir):
     t = triples(spark, sf_dir, "customer", "nation")
     return graph.match(t, [("?customer", "type", "Customer"), ("?customer", "nation", "?nation"), ("?nation", "name", "?name"), ("?nation", "region", "?region")]).select("customer", "name", "region")
@@ -26,7 +27,7 @@ def graph_construct(spark, sf_dir):
     return graph.construct(rows, [("?order", "inRegion", "?region"), ("?region", "type", "Market")])
 
 
-@query("SELECT c.s AS customer, o.s AS \"order\" FROM (SELECT s FROM triples WHERE p = 'type' AND o = 'Customer') c LEFT JOIN (SELECT x.s, x.o FROM triples x JOIN triples y ON y.s = x.s AND y.p = 'priority' AND y.o = '1-URGENT' WHERE x.p = 'customer') o ON o.o = c.s", TRIPLES)
+@query("""SELECT 'customer/' || c_custkey AS customer, 'order/' || o_orderkey AS "order" FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'""")
 def graph_optional(spark, sf_dir):
     t = triples(spark, sf_dir, "customer", "orders")
     return graph.match(t, [("?customer", "type", "Customer")], optional=[[("?order", "customer", "?customer"), ("?order", "priority", "1-URGENT")]]).select("customer", "order")
@@ -39,21 +40,21 @@ def graph_filter(spark, sf_dir):
     return rows.withColumn("total", F.col("text").try_cast("double")).filter("total > 450000").select("order", "total")
 
 
-@query("SELECT n.s AS nation, n.o || ' in ' || r.o AS label FROM triples n JOIN triples e ON e.s = n.s AND e.p = 'region' JOIN triples r ON r.s = e.o AND r.p = 'name' WHERE n.p = 'name' AND n.s LIKE 'nation/%'", TRIPLES)
+@query("""SELECT 'nation/' || n_nationkey AS nation, n_name || ' in ' || r_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def graph_bind(spark, sf_dir):
     t = triples(spark, sf_dir, "nation", "region")
     rows = graph.match(t, [("?nation", "region", "?region"), ("?nation", "name", "?name"), ("?region", "name", "?where")])
     return rows.withColumn("label", F.concat("name", F.lit(" in "), "where")).select("nation", "label")
 
 
-@query("SELECT s AS customer, o AS segment FROM triples WHERE p = 'segment' AND s IN (SELECT o FROM triples WHERE p = 'customer' AND s IN (SELECT s FROM triples WHERE p = 'status' AND o = 'P'))", TRIPLES)
+@query("""SELECT 'customer/' || c_custkey AS customer, c_mktsegment AS segment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def graph_values(spark, sf_dir):
     t = triples(spark, sf_dir, "customer", "orders")
     ids = graph.match(t, [("?order", "status", "P"), ("?order", "customer", "?customer")]).select("customer").distinct()
     return graph.match(t, [("?customer", "segment", "?segment")], ids=ids)
 
 
-@query("SELECT r.o AS region, c.s AS customer FROM triples r JOIN triples c ON c.o = r.s AND c.p = 'nation' AND c.s LIKE 'customer/%' WHERE r.p = 'region'", TRIPLES)
+@query("""SELECT 'region/' || n_regionkey AS region, 'customer/' || c_custkey AS customer FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def graph_inverse_path(spark, sf_dir):
     return graph.path(triples(spark, sf_dir, "nation", "customer"), ["^region", "^nation"], "region", "customer")
 
@@ -260,7 +261,11 @@ def acl_self(spark, sf_dir):
 @query("SELECT r.org, r.project, r.id, rn AS position, CASE WHEN NOT EXISTS (SELECT 1 FROM open o WHERE o.org = r.org AND o.project = r.project) THEN 'AuthorizationFailed' WHEN s.rev IS NULL THEN 'NotFound' ELSE 'Found' END AS status, CASE WHEN EXISTS (SELECT 1 FROM open o WHERE o.org = r.org AND o.project = r.project) THEN s.rev END AS rev FROM (SELECT *, row_number() OVER (ORDER BY org, project, id) AS rn FROM refs) r LEFT JOIN (SELECT * FROM states WHERE tag = 'latest') s USING (org, project, id)", f"{STATES}, {ACLS}, {OPEN}, {REFS}")
 def multi_fetch(spark, sf_dir):
     refs, states = _refs(spark, sf_dir)
-    asked = refs.withColumn("position", F.expr("row_number() over (order by org, project, id)").cast("long"))
+    # places within a project, after all rows of the projects before; the latter table has a row per project
+    before = Window.orderBy("org", "project").rowsBetween(Window.unboundedPreceding, -1)
+    starts = refs.groupBy("org", "project").count().select("org", "project", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    own = refs.withColumn("n", F.row_number().over(Window.partitionBy("org", "project").orderBy("id")))
+    asked = own.join(starts, ["org", "project"]).withColumn("position", F.col("start") + F.col("n")).drop("start", "n")
     return deps.multi_fetch(asked, states, access_list(spark, sf_dir), ["u1", "u3"])
 
 

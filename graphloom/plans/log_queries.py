@@ -205,7 +205,7 @@ def project_activity(spark, sf_dir):
 def mark_outcomes(spark, sf_dir):
     _, states, tombs = _tables(spark, sf_dir)
     batch = feed.state_changes(states, tombs).filter("status = 'Success'")
-    answers = batch.filter("ordering % 3 <> 0").selectExpr("id", "if(ordering % 5 = 0, 'refused', null) error")
+    answers = batch.filter("ordering % 3 <> 0").selectExpr("org", "project", "id", "if(ordering % 5 = 0, 'refused', null) error")
     return feed.mark_outcomes(batch, answers).select("id", "status", "reason")
 
 

@@ -320,7 +320,7 @@ def is_idle(spark, sf_dir):
     return events_log(spark, sf_dir).groupBy("id").agg((F.max("instant") < F.expr("timestamp_ntz '2024-01-25'")).alias("idle"))
 
 
-@query("""SELECT c.s AS resource, '{"@id":"' || c.s || '","customer":"' || c.o || '","priority":"' || p.o || '","status":"' || t.o || '","total":"' || x.o || '","type":"Order"}' AS document FROM triples c JOIN triples p ON p.s = c.s AND p.p = 'priority' JOIN triples t ON t.s = c.s AND t.p = 'status' JOIN triples x ON x.s = c.s AND x.p = 'total' WHERE c.p = 'customer'""", TRIPLES)
+@query("""SELECT 'order/' || o_orderkey AS resource, '{"@id":"order/' || o_orderkey || '","customer":"customer/' || o_custkey || '","priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '","total":"' || o_totalprice::DECIMAL(12,2)::VARCHAR || '","type":"Order"}' AS document FROM orders""")
 def triples_to_document(spark, sf_dir):
     return pipes.to_documents(triples(spark, sf_dir, "orders"))
 
