@@ -71,9 +71,10 @@ def sort_keys(*fields: str) -> list[Column]:
     return [F.col(f[1:]).desc_nulls_last() if f.startswith("-") else F.col(f.removeprefix("+")).asc_nulls_last() for f in fields]
 
 
-def page(rows: DataFrame, start: int, size: int, *fields: str) -> DataFrame:
-    """Rows start to start + size of a total order."""
-    return rows.orderBy(*sort_keys(*fields)).offset(start).limit(size)
+def page(rows: DataFrame, start: int, size: int, *fields: str, total: bool = False) -> DataFrame:
+    """Rows start to start + size of a total order; total: each with the number of all rows."""
+    own = rows.orderBy(*sort_keys(*fields)).offset(start).limit(size)
+    return own.withColumn("total", F.lit(rows.count()).cast("long")) if total else own
 
 
 def search_after(rows: DataFrame, token: dict[str, object], size: int) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from graphloom.functions import iri, json_text
-from graphloom.operators import analytics, eventlog, listing, pipes
+from graphloom.operators import analytics, deps, eventlog, listing, pipes
 from graphloom.plans.log_queries import joined
 from graphloom.plans.registry import LOG, STATES, query
 from graphloom.sources.adapters import events_log, nested_orders, read
@@ -43,9 +42,9 @@ def sort_list(spark, sf_dir):
     return _index(spark, sf_dir).orderBy(*listing.sort_keys("schema", "-rev", "+id")).limit(40).select("id", "rev", "schema")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 100")
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 100")
 def page_from_size(spark, sf_dir):
-    return listing.page(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 100, 25, "-o_totalprice", "o_orderkey")
+    return listing.page(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 100, 25, "-o_totalprice", "o_orderkey", total=True)
 
 
 @query("SELECT key, n, (SELECT sum(n) FROM (SELECT count(*) AS n FROM idx GROUP BY org, project)) - (sum(n) OVER ())::BIGINT AS other FROM (SELECT org || '/' || project AS key, count(*) AS n FROM idx GROUP BY ALL ORDER BY n DESC, key LIMIT 4)", INDEX)
@@ -223,8 +222,7 @@ def _stream(spark, sf_dir):
     # a pattern, so that the table may be one file as well as a folder
     raw = projections.log_stream(spark, f"{sf_dir}/events.parque[t]", read(spark, sf_dir, "events").schema)
     elements = raw.selectExpr("concat('o', user_id % 2) org", "concat('p', user_id % 5) project", "concat('r', user_id) id", "event_id + 1 ordering", "ts instant", "event_type", "get_json_object(props, '$.k') k", "'Success' status", "event_type = 'error' deprecated")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return elements, f"{shared.rstrip('/')}/projection-{uuid.uuid4().hex}"
+    return elements, f"{deps.shared_folder(spark).rstrip('/')}/projection-{uuid.uuid4().hex}"
 
 
 def _run(spark, sf_dir, pipe):

@@ -249,18 +249,23 @@ def source_broadcast(spark, sf_dir):
     return rows[0].union(rows[1])
 
 
-@query("SELECT count(*) AS elements, true AS bounded FROM st", STREAMED)
+@query("SELECT count(*) AS elements, (SELECT max(n) FROM (SELECT count(*) AS n FROM st GROUP BY ordering)) AS most_batches FROM st", STREAMED)
 def micro_batch(spark, sf_dir):
-    """Batches are bounded by files a trigger; each has its own folder."""
-    out = _run(spark, sf_dir, pipes.chain())
-    rows = spark.read.parquet(f"{out}/elements")
-    return rows.agg(F.count("*").alias("elements"), (F.countDistinct("batch_id") <= F.count("*")).alias("bounded"))
+    """Batches are bounded by files a trigger; each has its own folder, and an element is in one."""
+    rows = spark.read.parquet(f"{_run(spark, sf_dir, pipes.chain())}/elements")
+    each = rows.groupBy("ordering").agg(F.count("*").alias("n"), F.countDistinct("batch_id").alias("batches"))
+    return each.agg(F.sum("n").alias("elements"), F.max(F.greatest("n", "batches")).alias("most_batches"))
 
 
-@query("SELECT 'main' AS projection, 0::BIGINT AS processed, 0::BIGINT AS \"offset\" FROM (SELECT count(*) FROM events)")
+@query("SELECT 'main' AS projection, count(*) AS processed, max(ordering) AS \"offset\" FROM st", STREAMED)
 def projection_reset(spark, sf_dir):
-    progress = projections.read_progress(spark, _run(spark, sf_dir, pipes.chain()))
-    return progress.select("projection", F.lit(0).cast("long").alias("processed"), F.lit(0).cast("long").alias("offset"))
+    """A projection that is reset after its run processes everything once more: without its checkpoint from the beginning."""
+    elements, out = _stream(spark, sf_dir)
+    run = lambda: projections.run_projection(elements, pipes.chain(), out, name="main", checkpoint=f"{out}-checkpoint").awaitTermination()
+    run()
+    projections.reset(spark, out, f"{out}-checkpoint")
+    run()
+    return projections.read_progress(spark, out).select("projection", "processed", "offset")
 
 
 @query("SELECT st.id, ordering, rank FROM st JOIN (SELECT 'r' || user_id AS id, count(*) AS rank FROM events GROUP BY user_id) USING (id)", STREAMED)
@@ -275,9 +280,12 @@ def remote_elements(spark, sf_dir):
 # deletion, ephemeral states
 
 
-@query("SELECT id, subject, instant + INTERVAL 1 DAY AS expires FROM states WHERE tag = 'latest'", STATES)
+@query("SELECT id, subject, instant + INTERVAL 1 DAY AS expires FROM states WHERE tag = 'latest' AND instant + INTERVAL 1 DAY > TIMESTAMP '2024-01-25'", STATES)
 def ephemeral_get(spark, sf_dir):
-    return _latest(spark, sf_dir).select("id", "subject", (F.col("instant") + F.expr("interval 1 day")).alias("expires"))
+    """States that live for a day and haven't expired at a given moment."""
+    day = F.expr("interval 1 day")
+    rows = eventlog.expire(_latest(spark, sf_dir), "instant", F.expr("timestamp_ntz '2024-01-25'"), day)
+    return rows.select("id", "subject", (F.col("instant") + day).alias("expires"))
 
 
 @query("SELECT target_project AS project, count(*) > 0 AS blocked FROM edges WHERE project <> target_project GROUP BY ALL", EDGES)

@@ -63,6 +63,14 @@ def run_composite(stream: DataFrame, source_pipe: Pipe, targets: dict[str, Pipe]
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def reset(spark: SparkSession, *folders: str) -> None:
+    """Delete a projection's progress, results and checkpoint: it then starts from the beginning."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def read_index(spark: SparkSession, out: str, *keys: str) -> DataFrame:
     """The documents that an index holds after all batches: the last element per key, unless it was Dropped; Failed ones change nothing."""
     rows = spark.read.parquet(f"{out}/elements").filter("status <> 'Failed'")
