@@ -44,7 +44,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("n-gram Jaccard join", ngram_join), ("mixing sources to target weights", mixing), ("BPE encoding and decoding", bpe)]
 
-#: Learned scores can't be expressed in SQL; tests compare run() with its operators' brute-force versions.
+#: Learned scores can't be expressed in SQL; tests compare run() with its stages, and each operator with brute force or held-out rows.
 ORACLE_SQL = None
 
 
