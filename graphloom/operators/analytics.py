@@ -50,7 +50,7 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
             for id, project, deprecated, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     doc = json.loads(text or "")
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
                 if not isinstance(doc, dict):
                     continue
@@ -72,6 +72,55 @@ def documents_to_triples(docs: DataFrame) -> DataFrame:
     return own.unionByName(kinds).distinct()
 
 
+GRAPH = "resource string, s string, p string, o string, kind string, datatype string"
+
+
+def _graph(id: str, doc: dict) -> Iterator[tuple]:
+    """(s, p, o, kind, datatype) of a node and all nodes below it; one without an @id is a blank node, named by its place."""
+    stack = [(doc.get("@id") or id, "_:" + id, doc)]
+    while stack:
+        s, place, node = stack.pop()
+        kinds = node.get("@type") or []
+        for t in [kinds] if isinstance(kinds, str) else kinds:
+            yield s, "type", t, "iri", ""
+        for p, values in node.items():
+            if p.startswith("@"):
+                continue
+            for i, v in enumerate(values if isinstance(values, list) else [values]):
+                literal = v.get("@value") if isinstance(v, dict) and "@value" in v else v
+                if isinstance(literal, dict):
+                    o = literal.get("@id")
+                    yield (s, p, o, "iri", "") if o else (s, p, f"{place}/{p}/{i}", "blank", "")
+                    stack.append((o or f"{place}/{p}/{i}", f"{place}/{p}/{i}", literal))
+                elif literal is not None and not isinstance(literal, list):
+                    kind = "boolean" if isinstance(literal, bool) else "integer" if isinstance(literal, int) else "double" if isinstance(literal, float) else "string"
+                    text = literal if isinstance(literal, str) else json.dumps(literal)
+                    yield s, p, text, "literal", (v.get("@type") if isinstance(v, dict) else None) or kind
+
+
+def document_graph(docs: DataFrame) -> DataFrame:
+    """(resource, s, p, o, kind, datatype): the whole graph of expanded documents (id, doc), literals and nested nodes too.
+
+    A text that isn't a JSON object, or is nested too deep to be read, gives no triple; a repeated triple comes once.
+    """
+    names = [f.split()[0] for f in GRAPH.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    doc = json.loads(text or "")
+                except (ValueError, RecursionError):
+                    continue
+                if isinstance(doc, dict):
+                    rows += [(id, *t) for t in dict.fromkeys(_graph(id or "", doc))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
+
+    return docs.select("id", "doc").mapInArrow(run, GRAPH)
+
+
 def resolve_references(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entries that refer to an id, with the types of that id's latest state in the project (null: only a reference)."""
     refs = entries.filter("ref is not null").select("project", "id", "types", "path", "in_array", "ref")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +106,36 @@ def generic_pipe(fn: Column, name: str = "value") -> Pipe:
     return run
 
 
+def function_pipe(fn: Callable[[dict], object], columns: list[str], kind: str, name: str = "value") -> Pipe:
+    """A user's Python function from an element's columns (a dict) to a value of a SQL kind.
+
+    It is given Success elements only, in Arrow batches.  An element for which it raises becomes Failed, with
+    the exception's name in <name>_error; the others go on.  None is a value.
+    """
+    passed, failed = f"{name}: {kind}", f"{name}_error: string"
+
+    @F.pandas_udf(f"struct<{passed},{failed}>")
+    def each(status: pd.Series, rows: pd.DataFrame) -> pd.DataFrame:
+        values, errors = [], []
+        for state, row in zip(status, rows.to_dict("records"), strict=True):
+            value = error = None
+            if state == "Success":
+                try:
+                    value = fn(row)
+                except Exception as e:  # noqa: BLE001 - whatever a user's function raises is its element's failure
+                    error = type(e).__name__
+            values.append(value)
+            errors.append(error)
+        return pd.DataFrame({name: pd.Series(values, dtype=object), f"{name}_error": pd.Series(errors, dtype=object)})
+
+    def run(feed: DataFrame) -> DataFrame:
+        out = feed.withColumn("_done", each("status", F.struct(*columns)))
+        out = out.withColumns({name: F.col(f"_done.{name}"), f"{name}_error": F.col(f"_done.{name}_error")}).drop("_done")
+        return out.withColumn("status", F.when(F.col(f"{name}_error").isNotNull(), "Failed").otherwise(F.col("status")))
+
+    return run
+
+
 def compile_chain(schemas: list[str] | None = None, types: list[str] | None = None, include_metadata: bool = False, include_deprecated: bool = False) -> Pipe:
     """The chain of a view's settings: schema, type, deprecated, metadata."""
     pipes = []
@@ -156,3 +187,32 @@ def to_documents(triples: DataFrame) -> DataFrame:
     value = F.when(F.size("os") == 1, F.regexp_extract(F.to_json("os"), r"^\[(.*)\]$", 1)).otherwise(F.to_json("os"))
     pair = F.concat(F.lit('"'), F.col("p"), F.lit('":'), value)
     return per.groupBy("resource").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("body")).select("resource", F.concat(F.lit('{"@id":"'), "resource", F.lit('",'), "body", F.lit("}")).alias("document"))
+
+
+#: Datatypes whose literals are written without quotes.
+BARE = ["integer", "decimal", "double", "boolean"]
+
+
+def nested_documents(triples: DataFrame, depth: int = 2) -> DataFrame:
+    """resource, document: a resource's own node as a JSON object with the blank nodes below it, to a depth.
+
+    References are objects with an @id, numbers and booleans stay what they are, several objects of a predicate are a
+    sorted array.  Blank nodes beyond the depth stay references.  Each level is one aggregation and one join.
+    """
+    text = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    nodes = None
+    for _ in range(depth):
+        rows = triples
+        if nodes is None:
+            rows = rows.withColumn("child", F.lit(None).cast("string"))
+        else:
+            rows = rows.join(nodes.select("resource", F.col("s").alias("o"), F.lit("blank").alias("kind"), F.col("node").alias("child")), ["resource", "o", "kind"], "left")
+        bare = (F.col("kind") == "literal") & F.col("datatype").isin(BARE)
+        value = F.when(F.col("child").isNotNull(), F.col("child")).when((F.col("kind") == "literal") & bare, F.col("o")).when((F.col("kind") == "literal") | (F.col("p") == "type"), text("o")).otherwise(F.concat(F.lit('{"@id":'), text("o"), F.lit("}")))
+        per = rows.groupBy("resource", "s", "p").agg(F.array_sort(F.collect_list(value)).alias("v"))
+        values = F.when(F.size("v") == 1, F.col("v")[0]).otherwise(F.concat(F.lit("["), F.array_join("v", ","), F.lit("]")))
+        pair = F.concat(text(F.when(F.col("p") == "type", "@type").otherwise(F.col("p"))), F.lit(":"), values)
+        nodes = per.groupBy("resource", "s").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+        own = F.when(F.col("s").startswith("_:"), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit('"@id":'), text("s"))))
+        nodes = nodes.select("resource", "s", F.concat(F.lit("{"), F.array_join(F.concat(own, "pairs"), ","), F.lit("}")).alias("node"))
+    return nodes.filter(F.col("s") == F.col("resource")).select("resource", F.col("node").alias("document"))

@@ -28,6 +28,17 @@ def conforms(report: DataFrame) -> DataFrame:
     return report.agg(n.alias("targeted"), F.count("violation").alias("violations")).withColumn("verdict", F.when(F.col("targeted") == 0, "NoTargetedNode").when(F.col("violations") > 0, "Invalid").otherwise("Valid"))
 
 
+def validate(resources: DataFrame, report: DataFrame) -> DataFrame:
+    """resources (id, deprecated, ...) with status and violations: Dropped if deprecated or without a shape, Failed with
+    its violations (path:kind, sorted), else Success. Failed elements go to a projection's failures."""
+    found = F.concat_ws(":", "path", "violation")
+    per = report.groupBy(F.col("resource").alias("id")).agg(F.array_sort(F.collect_set(F.when(F.col("violation").isNotNull(), found))).alias("violations"))
+    rows = resources.join(per, "id", "left")
+    skipped = F.coalesce("deprecated", F.lit(False)) | F.col("violations").isNull()
+    rows = rows.withColumn("status", F.when(skipped, "Dropped").when(F.size("violations") > 0, "Failed").otherwise("Success"))
+    return rows.withColumn("violations", F.when(F.col("status") == "Failed", F.array_join("violations", ",")))
+
+
 def reserved_checks(resources: DataFrame, base: str, types: list[str]) -> DataFrame:
     """resources (id, types, payload) with a rejection, or null: reserved id, reserved type, payload keys that start with _."""
     keys = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))

@@ -197,12 +197,12 @@ def dep_replace(spark, sf_dir):
     return deps.replace_edges(e, own.unionByName(own.withColumn("target_id", F.col("id"))))
 
 
-REFS = "refs AS (SELECT DISTINCT org, project, CASE WHEN rev % 3 = 0 THEN 'x' || id ELSE id END AS id FROM log WHERE rev < 10)"
+REFS = "refs AS (SELECT DISTINCT org, project, CASE WHEN rev % 3 = 0 THEN 'x' || id ELSE id END AS id FROM log)"
 
 
 def _refs(spark, sf_dir):
     log = events_log(spark, sf_dir)
-    return log.filter("rev < 10").selectExpr("org", "project", "if(rev % 3 = 0, concat('x', id), id) id").distinct(), eventlog.states(log)
+    return log.selectExpr("org", "project", "if(rev % 3 = 0, concat('x', id), id) id").distinct(), eventlog.states(log)
 
 
 @query("SELECT r.org, r.project, r.id, s.rev, s.payload FROM refs r JOIN states s USING (org, project, id) WHERE s.tag = 'latest'", f"{STATES}, {REFS}")
@@ -337,6 +337,13 @@ def validate_project(spark, sf_dir):
     return quality.conforms(_report(spark, sf_dir))
 
 
+@query("SELECT s AS id, CASE WHEN number % 10 = 0 OR t NOT IN ('Customer', 'Order', 'Part') THEN 'Dropped' WHEN t = 'Part' THEN 'Success' ELSE 'Failed' END AS status, CASE WHEN number % 10 = 0 THEN NULL WHEN t = 'Customer' THEN 'label:minCount' WHEN t = 'Order' THEN 'total:datatype' END AS violations FROM (SELECT *, split_part(s, '/', 2)::BIGINT AS number FROM subjects)", TRIPLES)
+def validate_resources(spark, sf_dir):
+    """Each resource of all projects against its shapes; deprecated ones (here: each tenth) and types without a shape are skipped."""
+    t = triples(spark, sf_dir).filter("p = 'type'").select(F.col("s").alias("id"), (F.split("s", "/")[1].cast("long") % 10 == 0).alias("deprecated"))
+    return quality.validate(t, _report(spark, sf_dir)).select("id", "status", "violations")
+
+
 @query("SELECT id, CASE WHEN id LIKE 'r1%' THEN 'ReservedId' WHEN list_contains(types, 'T3') THEN 'ReservedType' END AS rejection FROM states WHERE tag = 'latest'", STATES)
 def reserved_checks(spark, sf_dir):
     return quality.reserved_checks(eventlog.latest_states(events_log(spark, sf_dir)), "r1", ["T3"]).select("id", "rejection")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import iri, json_text
+from graphloom.functions import iri, json_text, sets
 from graphloom.operators import analytics, deps, eventlog, feed, graph, listing, pipes, sinks, stats
 from graphloom.plans.listing_queries import STREAMED, _props, _run, _stream
 from graphloom.plans.log_queries import joined
@@ -353,6 +353,83 @@ def chain_validate(spark, sf_dir):
     return rows.select("id", F.lit(error).alias("error"))
 
 
+@query("SELECT id, rev, list_has_any(types, ['T1', 'K2']) AS overlap, array_to_string(list_sort(list_filter(types, lambda x: x NOT IN ('T1', 'K2'))), ',') AS removed, array_to_string(list_sort(list_distinct(list_concat(types, ['T1', 'K2']))), ',') AS united FROM log WHERE types IS NOT NULL", LOG)
+def types_sets(spark, sf_dir):
+    """Overlap, difference and union of the types of each revision with given ones."""
+    own, given = F.col("types"), F.array(F.lit("T1"), F.lit("K2"))
+    rows = events_log(spark, sf_dir).filter("types is not null")
+    return rows.select("id", "rev", sets.types_overlap(own, given).alias("overlap"), sets.types_removed(own, given).alias("removed"), sets.types_union(own, given).alias("united")).withColumns(joined("removed", "united"))
+
+
+@query(
+    """SELECT l.id, coalesce(max(put), '') AS put, coalesce(max(removed), '') AS removed, coalesce(max(merged), '') AS merged FROM (SELECT DISTINCT id FROM log) l
+       LEFT JOIN (SELECT id, string_agg(tag || '=' || v, ',' ORDER BY tag) AS put FROM (SELECT id, tag, target_rev AS v FROM tagged WHERE kind = 'TagAdded' AND tag <> 't1' UNION ALL SELECT id, 't1', max(rev) FROM log GROUP BY id) GROUP BY id) USING (id)
+       LEFT JOIN (SELECT id, string_agg(tag || '=' || target_rev, ',' ORDER BY tag) AS removed FROM tagged WHERE kind = 'TagAdded' AND tag <> 't1' GROUP BY id) USING (id)
+       LEFT JOIN (SELECT id, string_agg(tag || '=' || v, ',' ORDER BY tag) AS merged FROM (SELECT id, tag, target_rev AS v FROM tagged WHERE kind = 'TagAdded' AND tag NOT IN ('t0', 'v') UNION ALL SELECT id, unnest(['t0', 'v']), 0 FROM (SELECT DISTINCT id FROM log)) GROUP BY id) USING (id)
+       GROUP BY l.id""",
+    STATES,
+)
+def tags_map(spark, sf_dir):
+    """The tags of each resource after a tag is put, removed, and after a merge with given tags."""
+    tags, given = F.col("tags"), F.create_map(F.lit("t0"), F.lit(0), F.lit("v"), F.lit(0))
+    text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    rows = eventlog.fold_states(events_log(spark, sf_dir))
+    return rows.select("id", text(sets.tags_put(tags, "t1", F.col("rev"))).alias("put"), text(sets.tags_remove(tags, "t1")).alias("removed"), text(sets.tags_merge(tags, given)).alias("merged"))
+
+
+# functions of the user, composite views, graphs of documents
+
+
+@query("SELECT id, CASE WHEN deprecated THEN 'Dropped' WHEN rev % 5 = 0 THEN 'Failed' ELSE 'Success' END AS status, CASE WHEN NOT deprecated AND rev % 5 <> 0 THEN 100 // (rev % 5) END::BIGINT AS value, CASE WHEN NOT deprecated AND rev % 5 = 0 THEN 'ZeroDivisionError' END AS value_error FROM states WHERE tag = 'latest'", STATES)
+def function_pipe(spark, sf_dir):
+    """A user's Python function; where it raises, that element alone fails."""
+    rows = _latest(spark, sf_dir).withColumn("status", F.lit("Success"))
+    return rows.transform(pipes.chain(pipes.lookup("filterDeprecated"), pipes.function_pipe(lambda row: 100 // (row["rev"] % 5), ["rev"], "bigint"))).select("id", "status", "value", "value_error")
+
+
+@query("""SELECT 'order/' || o_orderkey AS id, CASE WHEN n_name IS NULL THEN 'Dropped' ELSE 'Success' END AS status, '{"@id":"order/' || o_orderkey || '","nation":"' || n_name || '"}' AS document FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P' LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def sink_composite_single(spark, sf_dir):
+    """Every element through a view's query and transformation; elements are rows, so single ones and chunks are alike."""
+    t = triples(spark, sf_dir, "orders", "customer", "nation")
+    elements = read(spark, sf_dir, "orders").selectExpr("concat('order/', o_orderkey) id", "'Success' status")
+    patterns = [("?id", "status", "P"), ("?id", "customer", "?c"), ("?c", "nation", "?n"), ("?n", "name", "?nation")]
+    return sinks.composite(elements, t, patterns, [("?id", "nation", "?nation")], pipes.to_documents)
+
+
+@query("""SELECT n, 'orders/' || o_orderkey || '.json' AS path, CASE WHEN n % 2 = 0 THEN o_orderpriority ELSE '{"status":"' || o_orderstatus || '"}' END AS content FROM (SELECT c_custkey AS n FROM customer) JOIN orders ON o_orderkey = n""")
+def archive_contents(spark, sf_dir):
+    """The entries of a bundle with the representation that each request names."""
+    asked = read(spark, sf_dir, "customer").selectExpr("c_custkey n", "concat('order/', c_custkey) id", "if(c_custkey % 2 = 0, 'source', 'compacted') representation")
+    have = read(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"))).alias("compacted"))
+    bundled = sinks.bundle(asked, have, F.concat(F.lit("orders/"), F.substring_index("id", "/", -1), F.lit(".json")))
+    return sinks.bundle_contents(bundled, have, ["source", "compacted"]).select("n", "path", "content")
+
+
+@query(
+    """SELECT resource, s, x[1] AS p, x[2] AS o, x[3] AS kind, x[4] AS datatype, count(*) AS n FROM (
+         SELECT 'order/' || o_orderkey AS resource, 'order/' || o_orderkey AS s, unnest([('type', 'Order', 'iri', ''), ('type', 'Order' || o_orderstatus, 'iri', ''), ('customer', 'customer/' || o_custkey, 'iri', ''), ('priority', o_orderpriority, 'literal', 'string')]) AS x FROM orders
+         UNION ALL SELECT 'order/' || l_orderkey, '_', unnest([('part', 'part/' || l_partkey, 'iri', ''), ('quantity', l_quantity::INTEGER::VARCHAR, 'literal', 'integer')]) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+         UNION ALL SELECT 'order/' || l_orderkey, 'order/' || l_orderkey, ('items', '_', 'blank', '') FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+       GROUP BY ALL"""
+)
+def jsonld_graph(spark, sf_dir):
+    """The whole graph of documents; blank nodes, whose names follow the order of an array, without their names."""
+    unnamed = lambda c: F.when(F.col(c).startswith("_:"), "_").otherwise(F.col(c)).alias(c)
+    rows = analytics.document_graph(nested_orders(spark, sf_dir)).select("resource", unnamed("s"), "p", F.when(F.col("kind") == "blank", "_").otherwise(F.col("o")).alias("o"), "kind", "datatype")
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH items AS (SELECT l_orderkey AS k, list_sort(list('{"part":{"@id":"part/' || l_partkey || '"},"quantity":' || l_quantity::INTEGER || '}')) AS v FROM lineitem GROUP BY l_orderkey)
+       SELECT 'order/' || o_orderkey AS resource, '{"@id":"order/' || o_orderkey || '","@type":["Order","Order' || o_orderstatus || '"],"customer":{"@id":"customer/' || o_custkey || '"},'
+         || CASE WHEN v IS NULL THEN '' WHEN len(v) = 1 THEN '"items":' || v[1] || ',' ELSE '"items":[' || array_to_string(v, ',') || '],' END || '"priority":"' || o_orderpriority || '"}' AS document
+       FROM orders LEFT JOIN items ON k = o_orderkey"""
+)
+def triples_to_nested_document(spark, sf_dir):
+    """Documents to triples and back, with nested nodes, references and numbers."""
+    return pipes.nested_documents(analytics.document_graph(nested_orders(spark, sf_dir)))
+
+
 @query("SELECT org, project, count(*) AS n FROM states WHERE tag = 'latest' GROUP BY ALL", STATES)
 def scan_state_counts(spark, sf_dir):
     return stats.project_statistics(_latest(spark, sf_dir)).select("org", "project", F.col("resources").alias("n"))

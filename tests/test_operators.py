@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions import iri, json_text
-from graphloom.operators import analytics, deps, eventlog, feed, graph, listing, pipes, quality, stats
+from graphloom.functions import iri, json_text, sets
+from graphloom.operators import analytics, deps, eventlog, feed, graph, listing, pipes, quality, sinks, stats
 
 KEY = "org string, project string, id string"
 
@@ -136,3 +136,45 @@ def test_references(spark):
     r = spark.createDataFrame([("https://x/a?rev=0",), ("https://x/a?tag=t&rev=3",), ("https://x/a#b",)], "r string")
     c = F.col("r")
     assert [tuple(x) for x in r.select(iri.ref_kind(c), iri.ref_rev(c), iri.ref_tag(c)).collect()] == [("Latest", None, None), ("Revision", 3, None), ("Latest", None, None)]
+
+
+def test_a_function_that_raises_fails_its_element_alone(spark):
+    rows = spark.createDataFrame([("a", "Success", 2), ("b", "Success", 0), ("c", "Dropped", 0)], "id string, status string, n int")
+    got = rows.transform(pipes.function_pipe(lambda row: 10 // row["n"], ["n"], "bigint"))
+    assert keys(got, "id", "status", "value", "value_error") == {("a", "Success", 5, None), ("b", "Failed", None, "ZeroDivisionError"), ("c", "Dropped", None, None)}
+
+
+def test_documents_to_a_graph_and_back(spark):
+    doc = '{"@id":"x","@type":["T"],"knows":[{"@id":"y","name":[{"@value":"q\\"uote"}]}],"part":[{"size":[{"@value":1.5}],"ok":[{"@value":true}]}],"when":[{"@value":"2024","@type":"date"}]}'
+    docs = spark.createDataFrame([("x", doc), ("z", "no json"), ("n", None), ("l", "[1]"), ("d", "[" * 100_000)], "id string, doc string")
+    g = analytics.document_graph(docs)
+    assert keys(g, "s", "p", "o", "kind", "datatype") == {
+        ("x", "type", "T", "iri", ""),
+        ("x", "knows", "y", "iri", ""),
+        ("y", "name", 'q"uote', "literal", "string"),
+        ("x", "part", "_:x/part/0", "blank", ""),
+        ("_:x/part/0", "size", "1.5", "literal", "double"),
+        ("_:x/part/0", "ok", "true", "literal", "boolean"),
+        ("x", "when", "2024", "literal", "date"),
+    }
+    assert [r.document for r in pipes.nested_documents(g).collect()] == ['{"@id":"x","@type":"T","knows":{"@id":"y"},"part":{"ok":true,"size":1.5},"when":"2024"}']
+
+
+def test_sets_of_types_and_maps_of_tags(spark):
+    rows = spark.createDataFrame([(["B", "A"], {"t": 1, "u": 2}), (None, {})], "types array<string>, tags map<string,int>")
+    given = F.array(F.lit("A"), F.lit("C"))
+    got = rows.select(sets.types_overlap(F.col("types"), given), sets.types_removed(F.col("types"), given), sets.types_union(F.col("types"), given), sets.tags_put(F.col("tags"), "t", F.lit(5)), sets.tags_remove(F.col("tags"), "t"), sets.tags_merge(F.col("tags"), F.create_map(F.lit("u"), F.lit(9)))).collect()
+    assert [tuple(r) for r in got] == [(True, ["B"], ["A", "B", "C"], {"t": 5, "u": 2}, {"u": 2}, {"t": 1, "u": 9}), (False, [], ["A", "C"], {"t": 5}, {}, {"u": 9})]
+
+
+def test_composite_drops_elements_without_a_result(spark):
+    t = spark.createDataFrame([("a", "a", "name", "n")], "resource string, s string, p string, o string")
+    elements = spark.createDataFrame([("a", "Success"), ("b", "Success"), ("c", "Failed")], "id string, status string")
+    got = sinks.composite(elements, t, [("?id", "name", "?n")], [("?id", "label", "?n")], pipes.to_documents)
+    assert keys(got, "id", "status", "document") == {("a", "Success", '{"@id":"a","label":"n"}'), ("b", "Dropped", None), ("c", "Failed", None)}
+
+
+def test_validation_skips_deprecated_and_unconstrained(spark):
+    resources = spark.createDataFrame([("a", False), ("b", False), ("c", True), ("d", None)], "id string, deprecated boolean")
+    report = spark.createDataFrame([("a", "p", None), ("b", "p", "minCount"), ("b", "q", "datatype"), ("c", "p", "minCount")], "resource string, path string, violation string")
+    assert keys(quality.validate(resources, report), "id", "status", "violations") == {("a", "Success", None), ("b", "Failed", "p:minCount,q:datatype"), ("c", "Dropped", None), ("d", "Dropped", None)}
