@@ -1,6 +1,9 @@
 """License scans: units of a text against licence templates by the Dice coefficient of word bigrams.
 
-Units are every line, every block between blank lines, and the whole text.  Text is
+Units are every line, every block between blank lines, and the whole text.  Notices among
+other words are found as passages: windows of the whole text's words that begin and end with a
+word pair of the template and span at most as many pairs as its sizes allow; windows of one
+template that share a word are one passage, of which the best is reported.  Text is
 normalised to lower-case runs of letters and digits.  A unit of n distinct bigrams
 can reach the threshold t only with templates of n * t / (2 - t) to
 n * (2 - t) / t bigrams, so others aren't compared; units without any word
@@ -16,7 +19,10 @@ their names.
 from __future__ import annotations
 
 import bisect
+import math
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,12 +64,15 @@ class Scanner:
         self.words = {w for _, _, b in self.templates for pair in b for w in pair}
         most = max(self.sizes, default=0)
         self.most = most * (2 - threshold) / threshold
-        self.pairs = {pair for _, _, b in self.templates for pair in b}
+        self.pairs = defaultdict(list)
+        for number, (_, _, b) in enumerate(self.templates):
+            for pair in b:
+                self.pairs[pair].append(number)
 
     def match(self, unit: str) -> tuple[str, float] | None:
         """The best template of one unit, if it reaches the threshold."""
         own = bigrams(unit)
-        if not own or len(own) > self.most or own.isdisjoint(self.pairs):
+        if not own or len(own) > self.most or self.pairs.keys().isdisjoint(own):
             return None
         t, best = self.threshold, None
         low = bisect.bisect_left(self.sizes, len(own) * t / (2 - t) - 1e-9)
@@ -93,7 +102,6 @@ class Scanner:
         out = []
         for start, end in self.units(text):
             unit = text[start:end]
-            # so many characters hold at least so many distinct pairs only if few repeat: long units are counted
             if self.words.isdisjoint(WORD.findall(unit.lower())):
                 continue
             best = self.match(unit)
@@ -102,8 +110,60 @@ class Scanner:
         return out
 
 
+    def windows(self, pairs: list[tuple[str, str]]) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+        """Per template its windows (first pair, last pair, dice) that reach the threshold, by first pair."""
+        places = defaultdict(list)
+        for i, pair in enumerate(pairs):
+            if pair in self.pairs:
+                for number in self.pairs[pair]:
+                    places[number].append(i)
+        t = self.threshold
+        for number, at in places.items():
+            size, _, own = self.templates[number]
+            # a window needs so many pairs of the template, and has at most so many in all
+            need, most = math.ceil(size * t / (2 - t) - 1e-9), math.floor(size * (2 - t) / t + 1e-9)
+            found = []
+            for low in range(len(at) - need + 1):
+                if at[low + need - 1] - at[low] >= most:
+                    continue
+                seen, both, upto = set(), 0, at[low]
+                for last in at[low : low + most]:
+                    if last - at[low] >= most:
+                        break
+                    for pair in pairs[upto : last + 1]:
+                        if pair not in seen:
+                            seen.add(pair)
+                            both += pair in own
+                    upto = last + 1
+                    dice = 2 * both / (len(seen) + size)
+                    if dice >= t:
+                        found.append((at[low], last, dice))
+            if found:
+                yield number, found
+
+    def passages(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(template, dice, start, end) of the best window of each passage: the highest dice, then the first, then the shortest."""
+        lowered = text.lower()
+        if len(lowered) != len(text):
+            lowered = "".join(low if len(low := c.lower()) == 1 else c for c in text)
+        words = WORD.findall(lowered)
+        best = []
+        for number, found in self.windows(list(zip(words, words[1:], strict=False))):
+            upto = None
+            for first, last, dice in found:
+                if upto is None or first > upto + 1:
+                    best.append((number, first, last, dice))
+                elif dice > best[-1][3]:
+                    best[-1] = (number, first, last, dice)
+                upto = last if upto is None else max(upto, last)
+        if not best:
+            return []
+        spans = [m.span() for m in WORD.finditer(lowered)]
+        return sorted((self.templates[number][1], dice, spans[first][0], spans[last + 1][1]) for number, first, last, dice in best)
+
+
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and matches (license, dice, start, end in code points) of every document."""
+    """doc_id, matches and passages (license, dice, start, end in code points) of every document."""
     bounded_batches(docs)
     templates = TEMPLATES if templates is None else templates
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -111,21 +171,29 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, thre
     def run(batches):
         scanner = Scanner(templates, threshold)
         for batch in batches:
-            rows = [[dict(zip(("license", "dice", "start", "end"), m, strict=True)) for m in scanner.scan(t.as_py() or "")] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "matches"])
+            named = lambda found: [dict(zip(("license", "dice", "start", "end"), m, strict=True)) for m in found]
+            rows, inside = [], []
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                rows.append(named(scanner.scan(text)))
+                inside.append(named(scanner.passages(text)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind), pa.array(inside, kind)], ["doc_id", "matches", "passages"])
 
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter("doc_id is not null")
-    return docs.mapInArrow(run, "doc_id long, matches array<struct<license:string,dice:double,start:int,end:int>>")
+    span = "array<struct<license:string,dice:double,start:int,end:int>>"
+    return docs.mapInArrow(run, f"doc_id long, matches {span}, passages {span}")
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_matches, licenses (distinct, sorted), best_license and best_dice of every document."""
+    """doc_id, n_matches (units), n_passages, licenses (distinct, sorted), best_license and best_dice of every document."""
     found = license_spans(docs, templates, threshold)
-    best = F.try_element_at(F.array_sort(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("less"), m["license"].alias("license")))), F.lit(1))
+    found = found.withColumn("all", F.concat("matches", "passages"))
+    best = F.try_element_at(F.array_sort(F.transform("all", lambda m: F.struct((-m["dice"]).alias("less"), m["license"].alias("license")))), F.lit(1))
     return found.select(
         "doc_id",
         F.size("matches").cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct(F.col("matches.license"))), ",").alias("licenses"),
+        F.size("passages").cast("long").alias("n_passages"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("all.license"))), ",").alias("licenses"),
         best["license"].alias("best_license"),
         (-best["less"]).alias("best_dice"),
     )

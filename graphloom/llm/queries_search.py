@@ -58,19 +58,26 @@ def _chat_sql() -> str:
 
 
 def _license_sql() -> str:
-    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     given = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in TEMPLATES.items())
+    part = THRESHOLD / (2 - THRESHOLD)
     return rf"""
-        WITH t AS (SELECT name, {pairs} AS b FROM (SELECT name, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {given}) v(name, text))),
-        d AS (SELECT doc_id, coalesce(text, '') AS text, string_split_regex(coalesce(text, ''), '\n[ \t\r\f\v]*\n\s*') AS blocks FROM documents WHERE doc_id IS NOT NULL),
-        u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM d
-              UNION ALL SELECT doc_id, unnest(list_filter(blocks, lambda x: contains(x, chr(10)))) FROM d
-              UNION ALL SELECT doc_id, text FROM d WHERE len(blocks) > 1),
-        b AS (SELECT row_number() OVER () AS unit_no, doc_id, {pairs} AS b FROM (SELECT doc_id, regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+') AS w FROM u) WHERE len(w) > 1),
-        m AS (SELECT unit_no, doc_id, name, 2 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b JOIN t ON len(b.b) >= len(t.b) * 0.66 AND len(b.b) <= len(t.b) * 1.51),
-        best AS (SELECT doc_id, name, dice FROM m WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY unit_no ORDER BY dice DESC, name) = 1)
-        SELECT d.doc_id, count(name) AS n_matches, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS licenses, arg_min(name, (-dice, name)) AS best_license, max(dice) AS best_dice
-        FROM d LEFT JOIN best USING (doc_id) GROUP BY d.doc_id
+        WITH t AS (SELECT name, list_distinct({pairs}) AS b FROM (SELECT name, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {given}) v(name, text))),
+        d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text, string_split_regex(coalesce(text, ''), '\n[ \t\r\f\v]*\n\s*') AS blocks FROM documents WHERE doc_id IS NOT NULL),
+        u AS (SELECT n, unnest(string_split(text, chr(10))) AS unit FROM d
+              UNION ALL SELECT n, unnest(list_filter(blocks, lambda x: contains(x, chr(10)))) FROM d
+              UNION ALL SELECT n, text FROM d WHERE len(blocks) > 1),
+        b AS (SELECT row_number() OVER () AS unit_no, n, list_distinct({pairs}) AS b FROM (SELECT n, regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+') AS w FROM u) WHERE len(w) > 1),
+        m AS (SELECT unit_no, n, name, 2 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b JOIN t ON len(b.b) >= len(t.b) * 0.66 AND len(b.b) <= len(t.b) * 1.51),
+        units AS (SELECT n, name, dice FROM m WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY unit_no ORDER BY dice DESC, name) = 1),
+        p AS (SELECT n, {pairs} AS p FROM (SELECT n, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM d) WHERE len(w) > 1),
+        hits AS (SELECT n, name, place, row_number() OVER (PARTITION BY n, name ORDER BY place) AS k FROM (SELECT n, unnest(p) AS pair, generate_subscripts(p, 1) AS place FROM p) JOIN (SELECT name, unnest(b) AS pair FROM t) USING (pair)),
+        spans AS (SELECT x.n, x.name, x.place AS low, y.place AS high FROM hits x JOIN t ON t.name = x.name JOIN hits y ON y.n = x.n AND y.name = x.name AND y.k >= x.k + ceil(len(t.b) * {part} - 1e-9) - 1 AND y.place < x.place + floor(len(t.b) / {part} + 1e-9)),
+        w AS (SELECT n, name, low, high, 2 * len(list_intersect(b, own)) / (len(b) + len(own)) AS dice FROM (SELECT s.n, s.name, low, high, t.b, list_distinct(list_slice(p.p, low, high)) AS own FROM spans s JOIN p USING (n) JOIN t USING (name))),
+        inside AS (SELECT *, max(high) OVER (PARTITION BY n, name ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w WHERE dice >= {THRESHOLD}),
+        found AS (SELECT n, name, dice, 1 AS unit, 0 AS passage FROM units UNION ALL SELECT n, name, dice, 0, CASE WHEN before IS NULL OR low > before + 1 THEN 1 ELSE 0 END FROM inside)
+        SELECT d.doc_id, coalesce(sum(unit), 0)::BIGINT AS n_matches, coalesce(sum(passage), 0)::BIGINT AS n_passages, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS licenses, arg_min(name, (-dice, name)) AS best_license, max(dice) AS best_dice
+        FROM d LEFT JOIN found USING (n) GROUP BY d.n, d.doc_id
     """
 
 
