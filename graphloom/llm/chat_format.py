@@ -4,7 +4,7 @@ A template gives each role the strings around its text, whether its text bears l
 and which roles may follow which.  Each turn gives three segments: opening, text,
 closing.  Control strings inside a text are broken by a backslash after their first
 character, and backslashes are doubled, so no text can pose as a mark and every
-text can be read back.
+text can be read back: a parser gets turns, roles and what bears loss from the joined text alone.
 
 Rows are partitioned by conversation and sorted by turn; tasks stream through
 them with one turn in memory, so a long conversation needs no more room than a
@@ -78,17 +78,55 @@ class Formatter:
             opening, closing = f"{t.other_open[0]}{self.escape(role)}{t.other_open[1]}", t.other_close
         return [(opening, False), (self.escape(text), role in t.loss), (closing, False)]
 
-    def role(self, opening: str) -> str:
-        """The role that an opening segment stands for."""
-        if opening in self.role_of:
-            return self.role_of[opening]
-        before, after = self.template.other_open
-        return self.unescape(opening[len(before) : len(opening) - len(after)])
-
     def allowed(self, before: str, role: str) -> bool:
         return role in self.template.next_roles.get(before, frozenset())
 
 
+class Parser:
+    """Turns of a formatted conversation from its text alone, which comes in pieces of any length; one turn is in memory."""
+
+    def __init__(self, formatter: Formatter):
+        self.formatter, self.marks = formatter, sorted(formatter.role_of, key=len, reverse=True)
+        #: what isn't parsed yet; the role whose text it begins with, if its opening was read; where its closing may begin
+        self.rest, self.role, self.at = "", None, 0
+
+    def _opening(self) -> bool:
+        """Read an opening mark, if it is there as a whole."""
+        before, after = self.formatter.template.other_open
+        for mark in self.marks:
+            if self.rest.startswith(mark):
+                self.role, self.rest = self.formatter.role_of[mark], self.rest[len(mark) :]
+                return True
+            if mark.startswith(self.rest):
+                return False
+        if self.rest.startswith(before):
+            end = self.rest.find(after, len(before))
+            if end < 0:
+                return False
+            self.role, self.rest = self.formatter.unescape(self.rest[len(before) : end]), self.rest[end + len(after) :]
+            return True
+        if not before.startswith(self.rest):
+            raise ValueError(f"no opening mark at {self.rest[:20]!r}")
+        return False
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """(role, text) of the turns that this piece ends."""
+        self.rest += piece
+        template = self.formatter.template
+        while self.role is not None or (self.rest and self._opening()):
+            close = template.close[self.role] if self.role in template.open else template.other_close
+            end = self.rest.find(close, self.at)
+            if end < 0:
+                self.at = max(0, len(self.rest) - len(close) + 1)
+                return
+            yield self.role, self.formatter.unescape(self.rest[:end])
+            self.rest, self.role, self.at = self.rest[end + len(close) :], None, 0
+
+    def end(self) -> None:
+        if self.rest or self.role is not None:
+            raise ValueError("the text ends within a turn")
+
+
 SEGMENTS = "conv_id long, turn_no long, part int, segment string, loss boolean, valid boolean"
 
 
@@ -119,49 +157,54 @@ def chat_segments(conversations: DataFrame, template: Template | None = None) ->
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Per conversation, from its segments alone: digests of its turns and of what bears loss, and whether its order is valid.
+    """Per conversation, parsed from its formatted text: digests of its turns and of what bears loss, and whether its order is valid.
 
-    segments must come as chat_segments gives them: a conversation's in order, in one partition.
+    Of segments only conv_id and the text are read.  They must come as chat_segments gives them: a conversation's in order, in one partition.
     """
     template = template or Template()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+
+    class Digest:
+        def __init__(self, conv, formatter):
+            self.conv, self.formatter, self.parser = conv, formatter, Parser(formatter)
+            self.turns = self.loss_chars = self.chars = 0
+            self.all, self.loss, self.valid, self.before = hashlib.sha256(), hashlib.sha256(), True, ""
+
+        def add(self, piece):
+            self.chars += len(piece)
+            for role, text in self.parser.feed(piece):
+                self.turns += 1
+                self.valid &= self.formatter.allowed(self.before, role)
+                self.before = role
+                self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                if role in template.loss:
+                    self.loss.update(text.encode("utf-8", "surrogatepass"))
+                    self.loss_chars += len(text)
+
+        def row(self):
+            self.parser.end()
+            return (self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
-        formatter = Formatter(template)
-        current, state = None, None
-
-        def row():
-            return (current, state["turns"], state["all"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["valid"])
-
-        def batch_of(rows):
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
+        formatter, now = Formatter(template), None
         for batch in batches:
             rows = []
-            for conv, part, segment, loss, valid in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "segment", "loss", "valid")), strict=True):
-                if state is None or conv != current:
-                    if state is not None:
-                        rows.append(row())
-                    current = conv
-                    state = {"turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "valid": True}
-                state["chars"] += len(segment)
-                if part == 0:
-                    state["turns"] += 1
-                    state["valid"] &= valid
-                    state["all"].update(f"{formatter.role(segment)}\n".encode("utf-8", "surrogatepass"))
-                elif part == 1:
-                    text = formatter.unescape(segment)
-                    state["all"].update(f"{text}\n".encode("utf-8", "surrogatepass"))
-                    if loss:
-                        state["loss"].update(text.encode("utf-8", "surrogatepass"))
-                        state["loss_chars"] += len(text)
+            for conv, piece in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment")), strict=True):
+                if now is None or conv != now.conv:
+                    if now is not None:
+                        rows.append(now.row())
+                    now = Digest(conv, formatter)
+                now.add(piece)
             if rows:
                 yield batch_of(rows)
-        if state is not None:
-            yield batch_of([row()])
+        if now is not None:
+            yield batch_of([now.row()])
 
-    return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return segments.select("conv_id", "segment").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
 def chat_texts(conversations: DataFrame, template: Template | None = None) -> DataFrame:
