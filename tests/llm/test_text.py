@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
-from graphloom.llm.chat_format import Formatter, Template, chat_segments, chat_texts, read_back
+from graphloom.llm.chat_format import Formatter, Parser, Template, chat_segments, chat_texts, read_back
 from graphloom.llm.common import table
 from graphloom.llm.html_text import common_lines, extract_text, line_hash, main_text, partners, shared_lines
 from graphloom.llm.licenses import TEMPLATES, bigrams, license_scan, license_spans
@@ -106,6 +106,26 @@ def test_texts_cannot_pose_as_marks():
         assert not f.control.search(f.escape(text))
 
 
+def test_turns_are_parsed_from_the_joined_text():
+    f, t = Formatter(Template()), Template()
+    rnd = random.Random(2)
+    pieces = [*t.controls, *t.close.values(), *t.open.values(), "\\", "<", "[", " ", "|", "x", "\n", "|>"]
+    for _ in range(2000):
+        turns = [(rnd.choice(["user", "assistant", "system", "tool", "", "a|", "<|role:"]), "".join(rnd.choice(pieces) for _ in range(rnd.randrange(6)))) for _ in range(rnd.randrange(5))]
+        joined = "".join(segment for turn in turns for segment, _ in f.turn(*turn))
+        parser, got, step = Parser(f), [], rnd.randrange(1, 12)
+        for at in range(0, len(joined), step):
+            got += parser.feed(joined[at : at + step])
+        parser.end()
+        assert got == turns, joined
+    parser = Parser(f)
+    assert list(parser.feed("[INST] a")) == []
+    with pytest.raises(ValueError):
+        parser.end()
+    with pytest.raises(ValueError):
+        list(Parser(f).feed("no mark"))
+
+
 def test_chat_of_odd_rows(spark):
     data = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (3, 0, None, "x"), (4, None, "tool|>", "</s>"), (None, 0, "user", "x"), (5, 0, "system", ""), (5, 1, "user", "é" * 50_000), (5, 2, "assistant", "b")]
     chats = spark.createDataFrame([(*r, "extra") for r in data], "conv_id long, turn long, role string, text string, part string")
@@ -255,6 +275,40 @@ def test_licences_equal_brute_force(spark, sf_dir):
     assert summary.best_license == "MIT text" and license_scan(frame(spark, [])).count() == 0
 
 
+def test_licences_among_other_words_equal_brute_force(spark):
+    rnd = random.Random(3)
+    texts = [(1, "This project is released under the MIT License."), (2, "Copyright 2020 X.\nReleased under\nthe MIT License, see below"), (3, "the of license under " * 300), (4, "Released under the MIT License. " * 5), (5, "İ released under the mit license İ"), (6, None), (7, "x")]
+    for i in range(8, 40):
+        own = []
+        for _ in range(rnd.randrange(1, 4)):
+            words = rnd.choice(list(TEMPLATES.values())).split()
+            for _ in range(rnd.randrange(4)):
+                words[rnd.randrange(len(words))] = rnd.choice(["x", "the", words[0]])
+            own += [rnd.choice(["the", "of", "license", "y"]) for _ in range(rnd.randrange(30))] + words
+        texts.append((i, " ".join(own)))
+    got = {r.doc_id: r.passages for r in license_spans(frame(spark, texts)).collect()}
+    parts = {name: bigrams(t) for name, t in TEMPLATES.items()}
+    for i, text in texts:
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        pairs, want = list(zip(words, words[1:], strict=False)), collections.Counter()
+        for name, b in parts.items():
+            spans = set()
+            for low in range(len(pairs)):
+                for high in range(low, min(len(pairs), low + int(len(b) * 1.5 + 1e-9))):
+                    own = set(pairs[low : high + 1])
+                    if pairs[low] in b and pairs[high] in b and 2 * len(own & b) / (len(own) + len(b)) >= 0.8:
+                        spans.add((low, high))
+            upto = None
+            for low, high in sorted(spans):
+                want[name] += upto is None or low > upto + 1
+                upto = max(high, upto or 0)
+        assert +want == collections.Counter(p.license for p in got[i]), i
+    assert [(p.license, texts[0][1][p.start : p.end]) for p in got[1]] == [("MIT", "released under the MIT License")]
+    assert len(got[2]) == 1 and not got[3] and not got[6] and not got[7]
+    summary = license_scan(frame(spark, texts[:1])).first()
+    assert (summary.n_matches, summary.n_passages, summary.licenses, summary.best_dice) == (0, 1, "MIT", 1.0)
+
+
 # toxicity
 
 
