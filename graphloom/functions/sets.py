@@ -10,6 +10,10 @@ def _array(c: Column) -> Column:
     return F.coalesce(c, F.array().cast("array<string>"))
 
 
+def _map(c: Column) -> Column:
+    return F.coalesce(c, F.create_map())
+
+
 def types_overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.arrays_overlap(_array(a), _array(b)), F.lit(False))
 
@@ -24,7 +28,7 @@ def types_union(a: Column, b: Column) -> Column:
 
 
 def tags_remove(tags: Column, tag: str) -> Column:
-    return F.map_filter(tags, lambda k, _: k != tag)
+    return F.map_filter(_map(tags), lambda k, _: k != tag)
 
 
 def tags_put(tags: Column, tag: str, rev: Column) -> Column:
@@ -34,4 +38,4 @@ def tags_put(tags: Column, tag: str, rev: Column) -> Column:
 
 def tags_merge(tags: Column, more: Column) -> Column:
     """All tags of both; of a tag in both, what more says counts."""
-    return F.map_concat(F.map_filter(tags, lambda k, _: ~F.map_contains_key(more, k)), more)
+    return F.map_concat(F.map_filter(_map(tags), lambda k, _: ~F.map_contains_key(_map(more), k)), _map(more))

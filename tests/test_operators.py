@@ -167,6 +167,14 @@ def test_sets_of_types_and_maps_of_tags(spark):
     assert [tuple(r) for r in got] == [(True, ["B"], ["A", "B", "C"], {"t": 5, "u": 2}, {"u": 2}, {"t": 1, "u": 9}), (False, [], ["A", "C"], {"t": 5}, {}, {"u": 9})]
 
 
+def test_tags_of_an_untagged_resource(spark):
+    tags, more = F.col("tags"), F.create_map(F.lit("u"), F.lit(9))
+    row = spark.sql("select cast(null as map<string,int>) tags, 3 rev")
+    put, removed, merged, kept = row.select(sets.tags_put(tags, "t", F.col("rev")), sets.tags_remove(tags, "t"), sets.tags_merge(tags, more), sets.tags_merge(more, tags)).first()
+    assert (put, removed, merged, kept) == ({"t": 3}, {}, {"u": 9}, {"u": 9})
+
+
+
 def test_composite_drops_elements_without_a_result(spark):
     t = spark.createDataFrame([("a", "a", "name", "n")], "resource string, s string, p string, o string")
     elements = spark.createDataFrame([("a", "Success"), ("b", "Success"), ("c", "Failed")], "id string, status string")
