@@ -31,7 +31,7 @@ ORACLE_SQL = {
         o AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM u x JOIN u y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
         l AS (SELECT a, b FROM o WHERE 100 * k >= 85 * (na + nb - k)),
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-        reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+        reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
         m AS (SELECT rep, count(*) AS copies FROM c WHERE n > 0 GROUP BY ALL),
         k AS (SELECT e.a, sum(copies)::BIGINT AS links FROM e JOIN m ON m.rep = e.b GROUP BY ALL)
         SELECT doc_id, n AS n_shingles, least(c.rep, coalesce((SELECT min(b) FROM reach WHERE a = c.rep), c.rep)) AS component_id, c.rep AS class_id, (coalesce(links, 0) + coalesce(copies, 1) - 1)::BIGINT AS n_links

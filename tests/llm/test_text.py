@@ -31,7 +31,7 @@ def frame(spark, texts, lang="en", source="src1"):
     return spark.createDataFrame([(i, t, lang, source, None, "x", 1, 2, 3.0) for i, t in texts], SCHEMA)
 
 
-@pytest.mark.parametrize("name", ["op3_mix_sources", "op4_exact_top_k", "op7_chat_format"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, sf_dir, name):
     assert rows(QUERIES[name](spark, sf_dir).toPandas()) == rows(connection(sf_dir).sql(ORACLE_SQL[name]).df())
 
