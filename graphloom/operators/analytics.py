@@ -75,6 +75,17 @@ def documents_to_triples(docs: DataFrame) -> DataFrame:
 GRAPH = "resource string, s string, p string, o string, kind string, datatype string"
 
 
+def _values(place: str, values: list) -> Iterator[tuple[str, object]]:
+    """The values of an array and of arrays in it, with the place of each."""
+    stack = [(f"{place}/{i}", v) for i, v in reversed([*enumerate(values)])]
+    while stack:
+        at, v = stack.pop()
+        if isinstance(v, list):
+            stack += [(f"{at}/{i}", x) for i, x in reversed([*enumerate(v)])]
+        else:
+            yield at, v
+
+
 def _graph(id: str, doc: dict) -> Iterator[tuple]:
     """(s, p, o, kind, datatype) of a node and all nodes below it; one without an @id is a blank node, named by its place."""
     stack = [(doc.get("@id") or id, "_:" + id, doc)]
@@ -86,13 +97,15 @@ def _graph(id: str, doc: dict) -> Iterator[tuple]:
         for p, values in node.items():
             if p.startswith("@"):
                 continue
-            for i, v in enumerate(values if isinstance(values, list) else [values]):
+            for at, v in _values(f"{place}/{p}", values if isinstance(values, list) else [values]):
                 literal = v.get("@value") if isinstance(v, dict) and "@value" in v else v
                 if isinstance(literal, dict):
                     o = literal.get("@id")
-                    yield (s, p, o, "iri", "") if o else (s, p, f"{place}/{p}/{i}", "blank", "")
-                    stack.append((o or f"{place}/{p}/{i}", f"{place}/{p}/{i}", literal))
-                elif literal is not None and not isinstance(literal, list):
+                    yield (s, p, o, "iri", "") if o else (s, p, at, "blank", "")
+                    stack.append((o or at, at, literal))
+                elif isinstance(literal, list):
+                    yield s, p, json.dumps(literal), "literal", "json"
+                elif literal is not None:
                     kind = "boolean" if isinstance(literal, bool) else "integer" if isinstance(literal, int) else "double" if isinstance(literal, float) else "string"
                     text = literal if isinstance(literal, str) else json.dumps(literal)
                     yield s, p, text, "literal", (v.get("@type") if isinstance(v, dict) else None) or kind
@@ -101,6 +114,8 @@ def _graph(id: str, doc: dict) -> Iterator[tuple]:
 def document_graph(docs: DataFrame) -> DataFrame:
     """(resource, s, p, o, kind, datatype): the whole graph of expanded documents (id, doc), literals and nested nodes too.
 
+    A blank node's name is its place: the key and its number in the array, in arrays of arrays the number in each.
+
     A text that isn't a JSON object, or is nested too deep to be read, gives no triple; a repeated triple comes once.
     """
     names = [f.split()[0] for f in GRAPH.split(", ")]
@@ -121,6 +136,46 @@ def document_graph(docs: DataFrame) -> DataFrame:
     return docs.select("id", "doc").mapInArrow(run, GRAPH)
 
 
+def expand_terms(triples: DataFrame, context: DataFrame, *columns: str) -> DataFrame:
+    """Terms of compact triples as IRIs, by a context table (project, term, iri): a whole term first, else the prefix before its colon.
+
+    The term @vocab is the prefix of terms without a colon; linked ids are expanded by prefix alone, types as terms.  A term that the
+    context doesn't have, and one with // after its colon, stays as it is.  Each column is one equi-join on (project, term), whatever the number of terms.
+    """
+    known = context.groupBy("project", "term").agg(F.min("iri").alias("iri"))
+    for c in columns or ("p", "o"):
+        term = F.when(F.col(c) != "type", F.col(c)) if c == "p" else F.col(c)  # type is our own keyword
+        colon = F.instr(c, ":") > 0
+        if c == "o":  # literals aren't terms; of links only types may be without a prefix
+            term = F.when((F.col("kind") == "iri") & (colon | (F.col("p") == "type")), F.col(c))
+        prefix = F.when(term.isNull(), None).when(colon & ~F.substring_index(term, ":", -1).startswith("//"), F.substring_index(term, ":", 1)).when(~colon, F.lit("@vocab"))
+        rows = triples.withColumns({"whole_term": term, "prefix_term": prefix})
+        rows = rows.join(known.select("project", F.col("term").alias("whole_term"), F.col("iri").alias("whole_iri")), ["project", "whole_term"], "left")
+        rows = rows.join(known.select("project", F.col("term").alias("prefix_term"), F.col("iri").alias("prefix_iri")), ["project", "prefix_term"], "left")
+        rest = F.when(colon, F.expr(f"substring(`{c}`, instr(`{c}`, ':') + 1)")).otherwise(F.col(c))
+        rows = rows.withColumn(c, F.coalesce("whole_iri", F.concat("prefix_iri", rest), F.col(c)))
+        triples = rows.select(*triples.columns)
+    return triples
+
+
+def compact_iris(rows: DataFrame, context: DataFrame, column: str) -> DataFrame:
+    """IRIs of a column as prefix:rest by the longest prefix of the context (project, term, iri) that they begin with.
+
+    Candidates are an IRI's beginnings that end in /, # or :, so it's an equi-join, not a comparison with every prefix.
+    An IRI that is a term's whole is that term; ties between terms go to the smallest.
+    """
+    wanted = rows.select("project", F.col(column).alias("whole")).dropna().distinct()
+    end = lambda i: F.substr(F.col("whole"), i, F.lit(1)).isin("/", "#", ":") | (i == F.length("whole"))
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length("whole"), F.lit(1))), end)
+    tried = wanted.select("project", "whole", F.explode(F.transform(ends, lambda i: F.substr(F.col("whole"), F.lit(1), i))).alias("iri"))
+    found = tried.join(context.select("project", "term", "iri"), ["project", "iri"])
+    best = found.groupBy("project", "whole").agg(F.min(F.struct((-F.length("iri")).alias("size"), "term")).alias("b"))
+    rest = F.expr("substring(whole, 1 - b.size)")
+    short = F.when(rest == "", F.col("b.term")).when(F.col("b.term") == "@vocab", rest).otherwise(F.concat("b.term", F.lit(":"), rest))
+    best = best.select("project", F.col("whole").alias(column), short.alias("short_iri"))
+    return rows.join(best, ["project", column], "left").withColumn(column, F.coalesce("short_iri", F.col(column))).select(*rows.columns)
+
+
 def resolve_references(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entries that refer to an id, with the types of that id's latest state in the project (null: only a reference)."""
     refs = entries.filter("ref is not null").select("project", "id", "types", "path", "in_array", "ref")

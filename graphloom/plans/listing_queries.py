@@ -11,7 +11,8 @@ from graphloom.operators import analytics, deps, eventlog, listing, pipes
 from graphloom.plans.log_queries import joined
 from graphloom.plans.registry import LOG, STATES, query
 from graphloom.sources.adapters import events_log, nested_orders, read
-from graphloom.streaming import projections
+from graphloom.streaming import feeds, projections
+from graphloom.streaming.index import KeyedIndex
 
 INDEX = f"{STATES}, idx AS (SELECT r.*, c.instant AS created_at, c.subject AS created_by, r.instant AS updated_at, r.subject AS updated_by FROM states r JOIN running c ON c.id = r.id AND c.rev = 1 WHERE r.tag = 'latest')"
 
@@ -221,10 +222,28 @@ _json("json_add_if_exists", """'{"a":1' || CASE WHEN event_id % 2 = 0 THEN ',"t"
 def _stream(spark, sf_dir):
     # a pattern, so that the table may be one file as well as a folder
     raw = projections.log_stream(spark, f"{sf_dir}/events.parque[t]", read(spark, sf_dir, "events").schema)
-    elements = raw.selectExpr("concat('o', user_id % 2) org", "concat('p', user_id % 5) project", "concat('r', user_id) id", "event_id + 1 ordering", "ts instant", "event_type", "get_json_object(props, '$.k') k", "'Success' status", "event_type = 'error' deprecated")
+    elements = raw.selectExpr(*ELEMENT)
     return elements, f"{deps.shared_folder(spark).rstrip('/')}/projection-{uuid.uuid4().hex}"
 
 
+ELEMENT = ["concat('o', user_id % 2) org", "concat('p', user_id % 5) project", "concat('r', user_id) id", "event_id + 1 ordering", "ts instant", "event_type", "get_json_object(props, '$.k') k", "'Success' status", "event_type = 'error' deprecated"]
+#: Elements of a batch in the queries over positions.
+ADMITTED = 2500
+
+
+def _feed(spark, sf_dir, handle, out, **settings):
+    """The events in batches of so many positions."""
+    feeds.finish(feeds.run_feed(spark, f"{sf_dir}/events.parquet", "event_id", lambda df: df.selectExpr(*ELEMENT), handle, checkpoint=f"{out}-checkpoint", max_elements=ADMITTED, **settings))
+
+
+def _indexed(spark, sf_dir):
+    """An index of the events' resources after all batches; deltas are folded as they come."""
+    out = f"{deps.shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index = KeyedIndex(spark, out, ["org", "project", "id"], buckets=8)
+    _feed(spark, sf_dir, feeds.into_index(index, pipes.lookup("filterDeprecated"), compact_every=3), out)
+    return index
+
+
 def _run(spark, sf_dir, pipe):
     elements, out = _stream(spark, sf_dir)
     projections.run_projection(elements, pipe, out, name="main", checkpoint=f"{out}-checkpoint").awaitTermination()
@@ -241,8 +260,8 @@ def run_projection(spark, sf_dir):
 
 @query("SELECT org, project, id, ordering, event_type FROM (SELECT *, row_number() OVER (PARTITION BY org, project, id ORDER BY ordering DESC) AS n FROM st) WHERE n = 1 AND status = 'Success'", STREAMED)
 def sink_document_upsert(spark, sf_dir):
-    out = _run(spark, sf_dir, pipes.lookup("filterDeprecated"))
-    return projections.read_index(spark, out, "org", "project", "id").select("org", "project", "id", "ordering", "event_type")
+    """Many batches into an index; reading costs its base and the open deltas."""
+    return _indexed(spark, sf_dir).read().select("org", "project", "id", "ordering", "event_type")
 
 
 @query("SELECT org, project, arg_max(instant, ordering) AS last_instant, max(ordering) AS last_ordering FROM st GROUP BY ALL", STREAMED)

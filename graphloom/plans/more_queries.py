@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import iri, json_text, sets
 from graphloom.operators import analytics, deps, eventlog, feed, graph, listing, pipes, sinks, stats
-from graphloom.plans.listing_queries import STREAMED, _props, _run, _stream
+from graphloom.plans.listing_queries import ADMITTED, DOCS, STREAMED, _feed, _indexed, _props, _run, _stream
 from graphloom.plans.log_queries import joined
 from graphloom.plans.registry import ACLS, EDGES, FEED, LOG, STATES, TRIPLES, query
 from graphloom.sources.adapters import access_list, dependencies, events_log, nested_orders, read, triples
 from graphloom.sources.nquads import parse_nquads, resources_of
-from graphloom.streaming import projections
+from graphloom.streaming import feeds, projections
+from graphloom.streaming.references import ReferenceIndex
 
 KEY = ["org", "project", "id"]
 
@@ -91,8 +92,8 @@ def nquads_to_resource(spark, sf_dir):
 
 @query("SELECT org || '/' || project || '_' || id AS key, ordering FROM (SELECT *, row_number() OVER (PARTITION BY org, project, id ORDER BY ordering DESC) AS n FROM st) WHERE n = 1 AND status = 'Success'", STREAMED)
 def sink_main_index(spark, sf_dir):
-    out = _run(spark, sf_dir, pipes.lookup("filterDeprecated"))
-    rows = projections.read_index(spark, out, *KEY)
+    """The documents of one project's index, by a name that tells projects apart."""
+    rows = _indexed(spark, sf_dir).read()
     return rows.select(F.concat_ws("_", F.concat_ws("/", "org", "project"), "id").alias("key"), "ordering")
 
 
@@ -109,13 +110,17 @@ def sink_noop(spark, sf_dir):
     return log.agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS docs, count(c_custkey) AS resolved FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 <> 0 GROUP BY ALL")
+@query("SELECT id, path, ref, CASE WHEN c_custkey % 4 = 0 THEN 'Renamed' WHEN c_custkey IS NOT NULL THEN 'Customer,' || c_mktsegment END AS found_types FROM entries LEFT JOIN customer ON ref = 'customer/' || c_custkey WHERE ref IS NOT NULL", DOCS)
 def sink_graph_analytics(spark, sf_dir):
-    """Documents and their resolved references, written together."""
-    entries = analytics.flatten_documents(nested_orders(spark, sf_dir)).filter("path = 'customer'")
-    nodes = read(spark, sf_dir, "customer").selectExpr("'sales' project", "concat('customer/', c_custkey) id", "array('Customer') types")
-    rows = analytics.resolve_references(entries, nodes)
-    return rows.groupBy(F.regexp_extract(F.element_at("types", 2), "^Order(.*)$", 1).alias("status")).agg(F.count("*").alias("docs"), F.count("found_types").alias("resolved"))
+    """Documents with their references over two batches; the second one brings types, and documents of the first are refreshed."""
+    index = ReferenceIndex(spark, f"{deps.shared_folder(spark).rstrip('/')}/analytics-{uuid.uuid4().hex}")
+    docs = nested_orders(spark, sf_dir).select("project", "id", F.substring_index("id", "/", -1).cast("long").alias("ordering"), F.lit("index").alias("action"), F.array(F.lit("Order")).alias("types"), "deprecated", "doc")
+    people = read(spark, sf_dir, "customer").selectExpr("'sales' project", "concat('customer/', c_custkey) id", "c_custkey ordering", "'update' action", "array('Customer', c_mktsegment) types", "false deprecated", "cast(null as string) doc")
+    index.handle(docs.unionByName(people.filter("ordering % 2 = 0")), 0)
+    renamed = people.filter("ordering % 4 = 0").withColumn("types", F.array(F.lit("Renamed")))
+    index.handle(people.filter("ordering % 2 = 1").unionByName(renamed), 1)
+    rows = index.read().select("id", F.explode("references").alias("r"))
+    return rows.select("id", "r.path", "r.ref", "r.found_types").withColumns(joined("found_types"))
 
 
 @query("SELECT 'order/' || o_orderkey AS id, n_name AS nation FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'P'")
@@ -249,12 +254,13 @@ def source_broadcast(spark, sf_dir):
     return rows[0].union(rows[1])
 
 
-@query("SELECT count(*) AS elements, (SELECT max(n) FROM (SELECT count(*) AS n FROM st GROUP BY ordering)) AS most_batches FROM st", STREAMED)
+@query(f"SELECT (event_id - 100) // {ADMITTED} AS batch_id, count(*) AS n, min(event_id + 1) AS first, max(event_id + 1) AS last FROM events WHERE event_id > 99 GROUP BY ALL")
 def micro_batch(spark, sf_dir):
-    """Batches are bounded by files a trigger; each has its own folder, and an element is in one."""
-    rows = spark.read.parquet(f"{_run(spark, sf_dir, pipes.chain())}/elements")
-    each = rows.groupBy("ordering").agg(F.count("*").alias("n"), F.countDistinct("batch_id").alias("batches"))
-    return each.agg(F.sum("n").alias("elements"), F.max(F.greatest("n", "batches")).alias("most_batches"))
+    """Batches of so many elements at most, from a given offset on."""
+    out = f"{deps.shared_folder(spark).rstrip('/')}/batches-{uuid.uuid4().hex}"
+    _feed(spark, sf_dir, feeds.into_batches(out, pipes.chain()), out, start=99)
+    rows = spark.read.parquet(out)
+    return rows.groupBy(F.col("batch_id").cast("long").alias("batch_id")).agg(F.count("*").alias("n"), F.min("ordering").alias("first"), F.max("ordering").alias("last"))
 
 
 @query("SELECT 'main' AS projection, count(*) AS processed, max(ordering) AS \"offset\" FROM st", STREAMED)

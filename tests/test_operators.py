@@ -186,3 +186,23 @@ def test_validation_skips_deprecated_and_unconstrained(spark):
     resources = spark.createDataFrame([("a", False), ("b", False), ("c", True), ("d", None)], "id string, deprecated boolean")
     report = spark.createDataFrame([("a", "p", None), ("b", "p", "minCount"), ("b", "q", "datatype"), ("c", "p", "minCount")], "resource string, path string, violation string")
     assert keys(quality.validate(resources, report), "id", "status", "violations") == {("a", "Success", None), ("b", "Failed", "p:minCount,q:datatype"), ("c", "Dropped", None), ("d", "Dropped", None)}
+
+
+def test_arrays_in_arrays_are_kept_in_a_document_graph(spark):
+    docs = spark.createDataFrame([("x", '{"m":[[1,{"a":"b"}],[]],"j":{"@value":[1,2]}}')], "id string, doc string")
+    assert keys(analytics.document_graph(docs), "s", "p", "o", "kind", "datatype") == {
+        ("x", "m", "1", "literal", "integer"),
+        ("x", "m", "_:x/m/0/1", "blank", ""),
+        ("_:x/m/0/1", "a", "b", "literal", "string"),
+        ("x", "j", "[1, 2]", "literal", "json"),
+    }
+
+
+def test_terms_are_expanded_by_a_context_and_compacted_by_the_longest_prefix(spark):
+    context = spark.createDataFrame([("p", "@vocab", "http://v/"), ("p", "s", "http://schema/"), ("p", "person", "http://schema/Person/"), ("p", "name", "http://schema/name"), ("q", "s", "http://other/")], "project string, term string, iri string")
+    rows = [("p", "s:age", "12", "literal"), ("p", "name", "s:Bob", "iri"), ("p", "knows", "http://y/z", "iri"), ("p", "x:y", "plain", "iri"), ("p", "type", "Cat", "iri"), ("q", "s:a", None, "literal"), ("p", "_:b", "_:c", "blank")]
+    t = spark.createDataFrame(rows, "project string, p string, o string, kind string")
+    full = analytics.expand_terms(t, context)
+    assert keys(full, "project", "p", "o") == {("p", "http://schema/age", "12"), ("p", "http://schema/name", "http://schema/Bob"), ("p", "http://v/knows", "http://y/z"), ("p", "x:y", "plain"), ("p", "type", "http://v/Cat"), ("q", "http://other/a", None), ("p", "_:b", "_:c")}
+    more = spark.createDataFrame([("p", "http://schema/Person/age"), ("p", "http://none"), ("p", None)], "project string, p string").unionByName(full.select("project", "p"))
+    assert keys(analytics.compact_iris(more, context, "p"), "project", "p") == {("p", "person:age"), ("p", "http://none"), ("p", None), ("p", "s:age"), ("p", "name"), ("p", "knows"), ("p", "x:y"), ("p", "type"), ("q", "s:a"), ("p", "_:b")}
