@@ -287,9 +287,11 @@ def composite_projection(spark, sf_dir):
     return rows.groupBy("target").agg(F.sum("processed").alias("processed"), F.sum("discarded").alias("discarded"))
 
 
-@query("SELECT id, rev, kind, ordering FROM log WHERE ordering > 100 AND org = 'o1' AND project IN ('p1', 'p3')", LOG)
+@query("SELECT id, rev, kind, ordering, lpad((min(ordering) OVER (PARTITION BY f))::VARCHAR, 12, '0') || '.json' AS file FROM (SELECT *, (row_number() OVER (ORDER BY ordering) - 1) // 150 AS f FROM log WHERE ordering > 100 AND org = 'o1' AND project IN ('p1', 'p3'))", LOG)
 def export_events(spark, sf_dir):
-    _, out = _stream(spark, sf_dir)
+    """Two projects' events in files of 150 lines, read back with the name of the file of each."""
+    out = f"{deps.shared_folder(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
     log = events_log(spark, sf_dir).select("org", "project", "id", "rev", "kind", "ordering")
-    projections.export_events(log, f"{out}-export", offset=100, projects=[("o1", "p1"), ("o1", "p3")])
-    return spark.read.schema(log.schema).json(f"{out}-export").select("id", "rev", "kind", "ordering")
+    projections.export_events(log, out, offset=100, projects=[("o1", "p1"), ("o1", "p3")], lines=150)
+    rows = spark.read.schema(log.schema).json(out)
+    return rows.select("id", "rev", "kind", "ordering", F.col("_metadata.file_name").alias("file"))

@@ -131,12 +131,15 @@ def sink_composite_batch(spark, sf_dir):
     return graph.match(t, [("?id", "customer", "?c"), ("?c", "nation", "?n"), ("?n", "name", "?nation")], ids=ids).select("id", "nation")
 
 
-@query("SELECT n, 'order/' || o_orderkey AS id, CASE WHEN o_orderkey IS NULL THEN NULL ELSE 'orders/' || o_orderkey || '.json' END AS path FROM (SELECT c_custkey AS n FROM customer) LEFT JOIN orders ON o_orderkey = n WHERE o_orderkey IS NOT NULL")
+@query("SELECT 'orders/' || o_orderkey || '.json' AS path, '{\"status\":\"' || o_orderstatus || '\"}' AS content FROM customer JOIN orders ON o_orderkey = c_custkey")
 def archive_bundle(spark, sf_dir):
-    """Requested references with the path of each in the bundle; missing ones are skipped."""
-    asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), F.concat(F.lit("order/"), "c_custkey").alias("id"))
-    have = read(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("id"))
-    return sinks.bundle(asked, have, F.concat(F.lit("orders/"), F.substring_index("id", "/", -1), F.lit(".json")))
+    """Requested references written as a bundle of parts with a manifest, and read back; missing ones are skipped."""
+    asked = read(spark, sf_dir, "customer").selectExpr("concat('order/', c_custkey) id", "'compacted' representation")
+    have = read(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("id"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"))).alias("compacted"))
+    bundled = sinks.bundle(asked, have, F.concat(F.lit("orders/"), F.substring_index("id", "/", -1), F.lit(".json")))
+    out = f"{deps.shared_folder(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    projections.write_bundle(sinks.bundle_contents(bundled, have, ["compacted"]), out)
+    return projections.read_bundle(spark, out)
 
 
 @query("SELECT DISTINCT s, 'label' AS p, o FROM triples WHERE s LIKE 'nation/%' AND p = 'name'", TRIPLES)

@@ -7,13 +7,16 @@ batches: the last write of an id wins, a Dropped element deletes.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.operators.feed import last_updates, projection_progress
+from graphloom.sources import files
+from graphloom.sources.named_files import Bundle, NamedFiles
 
 Pipe = Callable[[DataFrame], DataFrame]
 
@@ -87,12 +90,46 @@ def project_activity(updates: DataFrame, now, interval) -> DataFrame:
     return updates.select("org", "project", (F.col("last_instant") > now - interval).alias("active"))
 
 
-def export_events(log: DataFrame, path: str, *, offset: int = 0, projects: list[tuple[str, str]] | None = None, lines: int = 10_000, files: int = 8) -> None:
-    """Events after an offset as JSON lines, in order, in files of at most so many lines; Spark marks success."""
+def export_events(log: DataFrame, path: str, *, offset: int = 0, projects: list[tuple[str, str]] | None = None, lines: int = 10_000) -> None:
+    """Events after an offset as JSON lines, in order, in files of exactly so many lines (the last one of what is left).
+
+    A file is named by its first offset, 12 digits; _SUCCESS holds the query and the totals.  Global numbers come from two
+    passes: rows are counted in ranges of the offset, and a row's number is that of its range's beginning plus its own there.
+    A range is so wide that about one file's rows are in it, so tasks grow with the data; offsets are unique.
+    """
     rows = log.filter(F.col("ordering") > offset)
     if projects:
         hit = F.lit(False)
         for org, project in projects:
             hit = hit | ((F.col("org") == org) & (F.col("project") == project))
         rows = rows.filter(hit)
-    rows.repartitionByRange(files, "ordering").sortWithinPartitions("ordering").write.mode("overwrite").option("maxRecordsPerFile", lines).json(path)
+    spark = log.sparkSession
+    spark.dataSource.register(NamedFiles)
+    n, low, high = rows.agg(F.count("*"), F.min("ordering"), F.max("ordering")).first()
+    width = max(1, (high - low + 1) * lines // n) if n else 1
+    placed = rows.withColumn("export_range", F.floor((F.col("ordering") - (low or 0)) / width))
+    counts = placed.groupBy("export_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("export_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("rows_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # a row per range, not per event
+    inside = Window.partitionBy("export_range").orderBy("ordering")
+    numbered = placed.withColumn("export_number", F.row_number().over(inside)).join(starts, "export_range")
+    file = F.floor((F.col("rows_before") + F.col("export_number") - 1) / lines)
+    whole = numbered.select(file.alias("export_file"), "ordering", F.to_json(F.struct(*log.columns)).alias("line"))
+    first = F.min("ordering").over(Window.partitionBy("export_file"))
+    named = whole.withColumn("name", F.concat(F.lpad(first.cast("string"), 12, "0"), F.lit(".json")))
+    marker = json.dumps({"offset": offset, "projects": [f"{o}/{p}" for o, p in projects or []], "lines": lines})
+    named.sortWithinPartitions("export_file", "ordering").select("name", "line").write.format(NamedFiles.name()).mode("append").option("path", path).option("marker", marker).save()
+
+
+def write_bundle(entries: DataFrame, path: str, *, strict: bool = False) -> None:
+    """Entries (path, content) of a bundle as parts and a manifest; strict: a missing content fails before anything is visible."""
+    spark = entries.sparkSession
+    spark.dataSource.register(Bundle)
+    entries.select("path", "content").write.format(Bundle.name()).mode("append").option("path", path).option("strict", str(strict).lower()).save()
+
+
+def read_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of the parts that the manifest names."""
+    parts = json.loads(files.read_text(spark, f"{path}/manifest.json"))["parts"]
+    kind = "path string, content string"
+    return spark.read.schema(kind).json([f"{path}/{p['name']}" for p in parts]) if parts else spark.createDataFrame([], kind)
