@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import iri, json_text
 from graphloom.operators import analytics, deps, eventlog, listing, pipes
+from graphloom.operators.search_index import Field, SearchIndex, build_index
 from graphloom.plans.log_queries import joined
 from graphloom.plans.registry import LOG, STATES, query
 from graphloom.sources.adapters import events_log, nested_orders, read
@@ -80,6 +81,25 @@ def full_text_match(spark, sf_dir):
     return listing.full_text(read(spark, sf_dir, "documents"), "thing worthless reation")
 
 
+def _search_index(spark, sf_dir, fields):
+    path = f"{deps.shared_folder(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    build_index(read(spark, sf_dir, "documents"), fields, path)
+    return SearchIndex(spark, path)
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words, list_filter(string_split_regex(lower(coalesce(source, '')), '[/#?&=:]+'), lambda x: x <> '') AS parts FROM documents),
+    f AS (SELECT doc_id, 'text' AS field, 1.0 AS boost, words FROM w UNION ALL SELECT doc_id, 'source', 2.0, parts FROM w),
+    size AS (SELECT field, count(*) AS n, avg(len(words)) AS mean FROM f GROUP BY field), hits AS (SELECT doc_id, field, boost, len(words) AS length, unnest(words) AS word FROM f),
+    tf AS (SELECT doc_id, field, boost, length, word, count(*) AS tf FROM hits WHERE word IN ('src1', 'token', 'worthless') GROUP BY ALL), df AS (SELECT field, word, count(*) AS df FROM tf GROUP BY ALL)
+    SELECT doc_id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS n_words
+    FROM tf JOIN df USING (field, word) JOIN size USING (field) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
+)
+def full_text_top(spark, sf_dir):
+    """The best documents over two fields, by bounds of ranges."""
+    return _search_index(spark, sf_dir, [Field("text"), Field("source", "iri", 2.0)]).top("src1 token worthless", 20)
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'es')")
 def search_select(spark, sf_dir):
     return read(spark, sf_dir, "documents").filter(F.col("lang").isin("de", "es")).select("doc_id", "lang")

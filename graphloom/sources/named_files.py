@@ -41,6 +41,7 @@ class _Staged(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _store(self.path)
+        fs.create_dir(root, recursive=True)
         done = sorted(f for m in messages if m for f in m.files)
         for name, at, _, _ in done:
             fs.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)

@@ -1,5 +1,8 @@
 """Streams: admission and restarts, the keyed index and its compaction."""
 
+import datetime
+import json
+import time
 import uuid
 
 import pytest
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import deps
 from graphloom.sources import files
-from graphloom.streaming import feeds
+from graphloom.streaming import activity, feeds, projections
 from graphloom.streaming.index import KeyedIndex
 from graphloom.streaming.references import ReferenceIndex
 
@@ -177,3 +180,53 @@ def test_referrers_are_refreshed_when_types_change(spark, folder):
     assert found(index) == {("a", "knows", "b"): ["B2"], ("a", "knows", "x"): None, ("c", "knows", "d"): ["D2"]}
     assert before - set(index.documents.read().inputFiles()) == set()  # what no change touches stays
     assert {r.id for r in index.read().collect()} == {"a", "b", "c", "d"}
+
+
+def test_exports_are_numbered_and_named_by_offset(spark, folder):
+    log = spark.range(0, 1000, 1, 7).selectExpr("'o' org", "if(id % 2 = 0, 'p', 'q') project", "id * 3 ordering").repartition(5)
+    for partitions in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            out = f"{folder}/export{partitions}"
+            projections.export_events(log, out, offset=10, projects=[("o", "p")], lines=64)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        want = [i * 3 for i in range(0, 1000, 2) if i * 3 > 10]
+        *names, marker = files.names(spark, out)
+        assert marker == "_SUCCESS" and names == [f"{want[i]:012d}.json" for i in range(0, len(want), 64)]
+        text = [json.loads(line)["ordering"] for n in names for line in files.read_text(spark, f"{out}/{n}").splitlines()]
+        assert text == want
+        assert json.loads(files.read_text(spark, f"{out}/_SUCCESS")) == {"offset": 10, "projects": ["o/p"], "lines": 64, "files": 8, "rows": len(want), "bytes": sum(len(json.dumps({"org": "o", "project": "p", "ordering": w}, separators=(",", ":"))) + 1 for w in want)}
+    projections.export_events(log.limit(0), f"{folder}/none", lines=5)
+    assert files.names(spark, f"{folder}/none") == ["_SUCCESS"]
+
+
+def test_a_strict_bundle_fails_before_anything_is_visible(spark, folder):
+    entries = spark.createDataFrame([(f"a/{i}.json", f"{{{i}}}\n") for i in range(20)] + [("gone.json", None)], "path string, content string").repartition(4)
+    projections.write_bundle(entries, f"{folder}/loose")
+    got = {r.path: r.content for r in projections.read_bundle(spark, f"{folder}/loose").collect()}
+    assert got == {f"a/{i}.json": f"{{{i}}}\n" for i in range(20)}
+    manifest = json.loads(files.read_text(spark, f"{folder}/loose/manifest.json"))
+    assert manifest["rows"] == 20 and len(files.names(spark, f"{folder}/loose")) == manifest["files"] + 1
+    with pytest.raises(Exception, match="gone.json"):
+        projections.write_bundle(entries, f"{folder}/strict", strict=True)
+    assert files.names(spark, f"{folder}/strict") == []
+
+
+def test_a_project_turns_inactive_without_new_input(spark, folder):
+    now = spark.sql("select current_timestamp() t").first().t
+    row = [("o", "p", now), ("o", "old", now - datetime.timedelta(days=1))]
+    spark.createDataFrame(row, "org string, project string, instant timestamp").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("org string, project string, instant timestamp").parquet(f"{folder}/in")
+    changes = activity.activity_changes(stream, 25, by_event=False)
+    query = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            got = [tuple(r) for r in spark.read.schema(activity.CHANGE).parquet(f"{folder}/out").select("project", "active").collect()] if files.exists(spark, f"{folder}/out/_spark_metadata") else []
+            if ("p", False) in got:
+                break
+    finally:
+        query.stop()
+    assert sorted(got) == [("old", False), ("p", False), ("p", True)]
+    assert {r.project: r.active for r in activity.last_changes(spark.read.parquet(f"{folder}/out")).collect()} == {"p": False, "old": False}
