@@ -13,6 +13,7 @@ from graphloom.plans.log_queries import joined
 from graphloom.plans.registry import LOG, STATES, query
 from graphloom.sources.adapters import events_log, nested_orders, read
 from graphloom.streaming import feeds, projections
+from graphloom.streaming.composite import CompositeView, Source
 from graphloom.streaming.index import KeyedIndex
 
 INDEX = f"{STATES}, idx AS (SELECT r.*, c.instant AS created_at, c.subject AS created_by, r.instant AS updated_at, r.subject AS updated_by FROM states r JOIN running c ON c.id = r.id AND c.rev = 1 WHERE r.tag = 'latest')"
@@ -295,16 +296,20 @@ def scan_failures(spark, sf_dir):
     return spark.read.parquet(f"{out}/failures").select("id", "ordering")
 
 
-@query("SELECT 'all' AS target, count(*) AS processed, 0::BIGINT AS discarded FROM st UNION ALL SELECT 'live', count(*), count(*) FILTER (status = 'Dropped') FROM st", STREAMED)
+@query(
+    """WITH b AS (SELECT 'events' AS source, event_id AS ordering, event_type = 'error' AS dropped FROM events UNION ALL SELECT 'orders', o_orderkey, o_orderstatus = 'P' FROM orders)
+    SELECT 'main' AS run, source, 'all' AS target, count(*) AS processed, 0::BIGINT AS discarded, max(ordering) AS "offset" FROM b GROUP BY source UNION ALL SELECT 'main', source, 'live', count(*), count(*) FILTER (dropped), max(ordering) FROM b GROUP BY source
+    UNION ALL SELECT 'rebuild', source, target, count(*), count(*) FILTER (dropped AND target = 'live'), max(ordering) FROM b, (VALUES ('all'), ('live')) t(target) WHERE source = 'orders' GROUP BY source, target"""
+)
 def composite_projection(spark, sf_dir):
-    elements, out = _stream(spark, sf_dir)
-    targets = {"all": pipes.chain(), "live": pipes.lookup("filterDeprecated")}
-    projections.run_composite(elements, pipes.chain(), targets, out, source="events", checkpoint=f"{out}-checkpoint").awaitTermination()
-    rows = None
-    for t in targets:
-        one = spark.read.parquet(f"{out}/{t}/progress")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("target").agg(F.sum("processed").alias("processed"), F.sum("discarded").alias("discarded"))
+    """Two sources with offsets of their own into two targets, and a rebuild of one source beside the main run."""
+    element = lambda key, dropped: lambda df: df.selectExpr("'o' org", "'p' project", f"cast({key} as string) id", f"{key} ordering", "cast(null as timestamp_ntz) instant", "'Success' status", f"{dropped} deprecated")
+    sources = {"events": Source(f"{sf_dir}/events.parquet", "event_id", element("event_id", "event_type = 'error'")), "orders": Source(f"{sf_dir}/orders.parquet", "o_orderkey", element("o_orderkey", "o_orderstatus = 'P'"))}
+    view = CompositeView(spark, f"{deps.shared_folder(spark).rstrip('/')}/view-{uuid.uuid4().hex}", sources, {"all": pipes.chain(), "live": pipes.lookup("filterDeprecated")})
+    view.run(max_elements=4 * ADMITTED)
+    view.run_source("orders", run="rebuild", max_elements=4 * ADMITTED)
+    rows = view.progress().withColumn("run", F.lit("main")).unionByName(view.progress(run="rebuild").withColumn("run", F.lit("rebuild")))
+    return rows.select("run", "source", "target", "processed", "discarded", "offset")
 
 
 @query("SELECT id, rev, kind, ordering, lpad((min(ordering) OVER (PARTITION BY f))::VARCHAR, 12, '0') || '.json' AS file FROM (SELECT *, (row_number() OVER (ORDER BY ordering) - 1) // 150 AS f FROM log WHERE ordering > 100 AND org = 'o1' AND project IN ('p1', 'p3'))", LOG)

@@ -14,7 +14,7 @@ from graphloom.plans.log_queries import joined
 from graphloom.plans.registry import ACLS, EDGES, FEED, LOG, STATES, TRIPLES, query
 from graphloom.sources.adapters import access_list, dependencies, events_log, nested_orders, read, triples
 from graphloom.sources.nquads import parse_nquads, resources_of
-from graphloom.streaming import feeds, projections
+from graphloom.streaming import activity, feeds, projections
 from graphloom.streaming.references import ReferenceIndex
 
 KEY = ["org", "project", "id"]
@@ -248,6 +248,15 @@ def source_merge(spark, sf_dir):
     return spark.read.parquet(f"{out}/elements").groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query("SELECT org, project, max(instant) + INTERVAL 30 MINUTE > (SELECT max(instant) FROM st) AS active FROM st GROUP BY ALL", STREAMED)
+def project_activity_changes(spark, sf_dir):
+    """Changes by state and timers on event time; the last one of each project says whether it's active at the end."""
+    elements, out = _stream(spark, sf_dir)
+    changes = activity.activity_changes(elements, 30 * 60)
+    changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return activity.last_changes(spark.read.schema(activity.CHANGE).parquet(out))
+
+
 @query("SELECT 'even' AS target, count(*) AS kept FROM st WHERE ordering % 2 = 0 UNION ALL SELECT 'odd', count(*) FROM st WHERE ordering % 2 = 1", STREAMED)
 def source_broadcast(spark, sf_dir):
     elements, out = _stream(spark, sf_dir)

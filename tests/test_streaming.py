@@ -8,9 +8,10 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import deps
+from graphloom.operators import deps, pipes
 from graphloom.sources import files
 from graphloom.streaming import activity, feeds, projections
+from graphloom.streaming.composite import CompositeView, Source
 from graphloom.streaming.index import KeyedIndex
 from graphloom.streaming.references import ReferenceIndex
 
@@ -230,3 +231,29 @@ def test_a_project_turns_inactive_without_new_input(spark, folder):
         query.stop()
     assert sorted(got) == [("old", False), ("p", False), ("p", True)]
     assert {r.project: r.active for r in activity.last_changes(spark.read.parquet(f"{folder}/out")).collect()} == {"p": False, "old": False}
+
+
+def test_a_composite_view_goes_on_where_its_branches_are(spark, folder):
+    append(spark, f"{folder}/a", *range(12))
+    append(spark, f"{folder}/b", *range(100, 107))
+    shape = lambda df: df.selectExpr("'o' org", "'p' project", "value id", "position ordering", "cast(null as timestamp) instant", "'Success' status", "position % 2 = 0 deprecated")
+    sources = {n: Source(f"{folder}/{n}", "position", shape) for n in "ab"}
+    broken = []
+
+    def fails_once(rows):
+        if rows.filter("ordering = 9").count() and not broken:
+            broken.append(1)
+            raise RuntimeError("target")
+        return rows.transform(pipes.lookup("filterDeprecated"))
+
+    view = CompositeView(spark, f"{folder}/view", sources, {"all": pipes.chain(), "odd": fails_once})
+    with pytest.raises(Exception, match="target"):
+        view.run_source("a", max_elements=5)
+    assert (view.offset("main", "a", "all"), view.offset("main", "a", "odd"), view.start("main", "a")) == (9, 4, 4)
+    append(spark, f"{folder}/a", 12)
+    view.run(max_elements=5)
+    assert sorted(r.ordering for r in view.elements("all").collect()) == [*range(13), *range(100, 107)]
+    assert sorted((r.ordering, r.status) for r in view.elements("odd").collect()) == [(i, "Success" if i % 2 else "Dropped") for i in (*range(13), *range(100, 107))]
+    done = {(r.source, r.target): (r.processed, r.discarded, r.offset) for r in view.progress().collect()}
+    assert done == {("a", "all"): (13, 0, 12), ("a", "odd"): (13, 7, 12), ("b", "all"): (7, 0, 106), ("b", "odd"): (7, 4, 106)}
+    assert view.progress(run="rebuild").count() == 0 and view.start("rebuild", "a") == -1
