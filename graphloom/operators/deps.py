@@ -171,10 +171,32 @@ def id_resolution(states: DataFrame, ids: DataFrame, open_projects: DataFrame) -
     return ids.join(own, "id", "left").groupBy("id").agg(n.alias("n"), F.when(n == 0, "NotFound").when(n == 1, "SingleResult").otherwise("MultipleResults").alias("verdict"))
 
 
-def import_closure(imports: DataFrame, schemas: DataFrame, resources: DataFrame) -> DataFrame:
-    """id, source: where each import is found, schemas first, then resources; null if nowhere."""
-    found = imports.join(schemas.select("id", F.lit(True).alias("in_schemas")).distinct(), "id", "left").join(resources.select("id", F.lit(True).alias("in_resources")).distinct(), "id", "left")
-    return found.select("id", F.when(F.col("in_schemas"), "schema").when(F.col("in_resources"), "resource").alias("source"))
+def import_closure(imports: DataFrame, schemas: DataFrame, resources: DataFrame, ontology: str = "Ontology") -> DataFrame:
+    """id, source, rejection: where each import is found, schemas first, then resources.
+
+    A resource must have the ontology's type: else the import is rejected as NotAnOntology; what is nowhere is NotFound.
+    """
+    known = resources.groupBy("id").agg(F.max(F.coalesce(F.array_contains("types", ontology), F.lit(False))).alias("is_ontology"))
+    found = imports.join(schemas.select("id", F.lit(True).alias("in_schemas")).distinct(), "id", "left").join(known, "id", "left")
+    source = F.when(F.col("in_schemas"), "schema").when(F.col("is_ontology").isNotNull(), "resource")
+    rejection = F.when(source.isNull(), "NotFound").when((source == "resource") & ~F.col("is_ontology"), "NotAnOntology")
+    return found.select("id", source.alias("source"), rejection.alias("rejection"))
+
+
+def acl_self(acls: DataFrame, addresses: DataFrame, identities: list[str]) -> DataFrame:
+    """asked, address, identity, permission: what identities hold at each address and at those above it."""
+    asked = addresses.select(F.col("address").alias("asked"), F.explode(F.array_distinct(ancestors(F.col("address")))).alias("address")).distinct()
+    return asked.join(acls.filter(F.col("identity").isin(identities)), "address").select("asked", "address", "identity", "permission")
+
+
+def acl_add(acls: DataFrame, more: DataFrame) -> DataFrame:
+    """Entries of both, each once."""
+    return acls.unionByName(more).distinct()
+
+
+def acl_subtract(acls: DataFrame, less: DataFrame) -> DataFrame:
+    """Entries without those of less; an address that is left without any has none."""
+    return acls.join(less, ["address", "identity", "permission"], "left_anti")
 
 
 def expand_views(views: DataFrame, members: DataFrame, acls: DataFrame, identities: list[str]) -> DataFrame:

@@ -31,26 +31,24 @@ def of_entities(kinds: list[str] | None) -> Column:
     return F.col("type").isin(kinds) if kinds else F.lit(True)
 
 
-def state_changes(states: DataFrame, tombstones: DataFrame, *, offset: int | None = None, where: Column | None = None, tag: str = "latest", types: list[str] | None = None) -> DataFrame:
+def state_changes(states: DataFrame, tombstones: DataFrame, *, offset: int | None = None, where: Column | None = None, tag: str = "latest", types: list[str] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """States as Success and tombstones as Dropped (rev -1), after an offset; order by ordering to read it as a feed.
 
-    A tombstone passes if it deletes, or if it takes away a wanted type.
+    A tombstone passes if it deletes, or if it takes away a wanted type. extra: further columns of states, null for tombstones.
     """
     where = F.lit(True) if where is None else where
     alive = states.filter(where & after(offset) & (F.col("tag") == tag) & of_types(types)).withColumn("status", F.lit("Success"))
     lost = F.arrays_overlap("types", F.array(*map(F.lit, types))) if types else F.lit(False)
     gone = tombstones.filter(where & after(offset) & (F.col("tag") == tag) & (F.col("deleted") | lost)).withColumns({"rev": F.lit(-1), "status": F.lit("Dropped")})
-    return alive.select(*FEED).unionByName(gone.select(*FEED))
+    return alive.select(*FEED, *extra).unionByName(gone.select(*FEED, *(F.lit(None).cast(states.schema[c].dataType).alias(c) for c in extra)))
 
 
 def state_values(states: DataFrame, tombstones: DataFrame, schema: str, **filters) -> DataFrame:
-    """The feed with the payload decoded; a payload that can't be decoded makes the element Failed."""
-    feed = state_changes(states, tombstones, **filters)
-    payload = states.select(*KEY, "tag", "ordering", "payload")
-    rows = feed.join(payload, [*KEY, "tag", "ordering"], "left")
-    good = F.try_parse_json("payload").isNotNull()
-    rows = rows.withColumn("value", F.when(good, F.from_json("payload", schema)))
-    return rows.withColumn("status", F.when((F.col("status") == "Success") & ~good, "Failed").otherwise(F.col("status"))).drop("payload")
+    """The feed with the payload decoded; a payload that can't be decoded makes the element Failed, none at all is a null value."""
+    feed = state_changes(states, tombstones, extra=("payload",), **filters)
+    broken = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+    rows = feed.withColumn("value", F.when(~broken, F.from_json("payload", schema)))
+    return rows.withColumn("status", F.when((F.col("status") == "Success") & broken, "Failed").otherwise(F.col("status"))).drop("payload")
 
 
 def event_feed(log: DataFrame, tombstones: DataFrame, *, offset: int | None = None, where: Column | None = None, entities: list[str] | None = None) -> DataFrame:

@@ -91,9 +91,11 @@ def minus(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def replace_node(triples: DataFrame, current: str, other: str) -> DataFrame:
-    """Rename a node where it is a subject or an object."""
+    """Rename a node where it is a subject or an object; only triples of either node are compared for repetition."""
+    touched = F.coalesce(F.col("s").isin(current, other) | F.col("o").isin(current, other), F.lit(False))
     new = lambda c: F.when(F.col(c) == current, other).otherwise(F.col(c)).alias(c)
-    return triples.select(*(new(c) if c in ("s", "o") else F.col(c) for c in triples.columns)).distinct()
+    changed = triples.filter(touched).select(*(new(c) if c in ("s", "o") else F.col(c) for c in triples.columns)).distinct()
+    return triples.filter(~touched).unionByName(changed)
 
 
 def find(triples: DataFrame, predicate: str) -> DataFrame:
@@ -109,8 +111,8 @@ def root_types(triples: DataFrame) -> DataFrame:
 def patch(triples: DataFrame, graph: str, new: DataFrame, predicates: list[str], *, keep: bool) -> DataFrame:
     """In one named graph delete triples with these predicates (keep: with all others), then insert new ones."""
     listed = F.col("p").isin(predicates)
-    gone = (F.col("resource") == graph) & (~listed if keep else listed)
-    return union(triples.filter(~gone), new)
+    own = F.coalesce(F.col("resource") == graph, F.lit(False))
+    return triples.filter(~own).unionByName(union(triples.filter(own & ~(~listed if keep else listed)), new))
 
 
 def replace_graphs(triples: DataFrame, batch: DataFrame, new: DataFrame) -> DataFrame:

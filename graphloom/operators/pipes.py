@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import merge
+
 Pipe = Callable[[DataFrame], DataFrame]
 REGISTRY: dict[str, Callable[..., Pipe]] = {}
 
@@ -189,6 +191,31 @@ def to_documents(triples: DataFrame) -> DataFrame:
     return per.groupBy("resource").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("body")).select("resource", F.concat(F.lit('{"@id":"'), "resource", F.lit('",'), "body", F.lit("}")).alias("document"))
 
 
+def resource_documents(elements: DataFrame, graphs: DataFrame, *, context: str | None = None) -> DataFrame:
+    """Elements (id, status, source) with their document: the source merged with the compact document of their graph.
+
+    graphs: id, document, typed (the compact graph without and with its root's types).  With a source, types and id are the
+    source's (the id the element's, if it names none) and the graph wins elsewhere; without one the graph is the document, types
+    included.  Contexts are removed, or replaced by the given one.  A Success element whose document is empty is Dropped; others
+    pass without a document.
+    """
+    rows = elements.join(graphs.select("id", "document", "typed"), "id", "left")
+    source = F.try_parse_json("source")
+    empty = merge.is_blank(source)
+    named = F.coalesce(F.try_variant_get(source, '$["@id"]', "string"), F.col("id"))
+    whole = F.when(empty, F.col("typed")).otherwise(merge.deep_merge(F.col("source"), F.col("document")))
+    rows = rows.withColumns({"whole": whole, "named": F.when(~empty, named)})
+    bare = F.when(F.contains("whole", F.lit('"@context"')), merge.without_key(F.try_parse_json("whole"), "@context")).otherwise(F.col("whole"))
+    rows = rows.withColumn("whole", bare)
+    marked = F.when(F.col("named").isNull() | merge.is_blank(F.try_parse_json("whole")), F.col("whole")).otherwise(merge.deep_merge(F.col("whole"), F.to_json(F.struct(F.col("named").alias("@id")))))
+    rows = rows.withColumn("whole", marked)
+    if context is not None:
+        rows = rows.withColumn("whole", F.when(~merge.is_blank(F.try_parse_json("whole")), merge.deep_merge(F.col("whole"), F.lit(context))))
+    done = (F.col("status") == "Success") & ~merge.is_blank(F.try_parse_json("whole"))
+    out = rows.withColumns({"document": F.when(done, F.col("whole")), "status": F.when((F.col("status") == "Success") & ~done, "Dropped").otherwise(F.col("status"))})
+    return out.select(*elements.columns, "document")
+
+
 #: Datatypes whose literals are written without quotes.
 BARE = ["integer", "decimal", "double", "boolean"]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import deps, eventlog, graph, pipes, quality
 from graphloom.plans.log_queries import joined
 from graphloom.plans.registry import ACLS, EDGES, LOG, STATES, TRIPLES, query
-from graphloom.sources.adapters import access_list, dependencies, events_log, triples
+from graphloom.sources.adapters import access_list, dependencies, events_log, read, triples
 
 KEY = ["org", "project", "id"]
 STAR = ["s", "p", "o"]
@@ -93,9 +93,9 @@ def graph_minus(spark, sf_dir):
     return graph.minus(t, t.filter("p = 'segment' and o = 'BUILDING'"))
 
 
-@query("SELECT DISTINCT CASE WHEN s = 'nation/3' THEN 'nation/x' ELSE s END AS s, p, CASE WHEN o = 'nation/3' THEN 'nation/x' ELSE o END AS o FROM triples WHERE s LIKE 'customer/%' OR s LIKE 'nation/%'", TRIPLES)
+@query("SELECT s, p, o FROM triples WHERE s <> 'nation/3' AND o <> 'nation/3' UNION ALL SELECT DISTINCT CASE WHEN s = 'nation/3' THEN 'nation/x' ELSE s END, p, CASE WHEN o = 'nation/3' THEN 'nation/x' ELSE o END FROM triples WHERE s = 'nation/3' OR o = 'nation/3'", TRIPLES)
 def graph_replace_node(spark, sf_dir):
-    return graph.replace_node(triples(spark, sf_dir, "customer", "nation").select(*STAR), "nation/3", "nation/x")
+    return graph.replace_node(triples(spark, sf_dir).select(*STAR), "nation/3", "nation/x")
 
 
 @query("SELECT resource, string_agg(DISTINCT o, ',' ORDER BY o) AS types FROM triples WHERE p = 'type' GROUP BY ALL", TRIPLES)
@@ -108,10 +108,10 @@ def graph_find(spark, sf_dir):
     return graph.find(triples(spark, sf_dir), "name")
 
 
-@query("SELECT s, p, o FROM triples WHERE (s LIKE 'nation/%' AND NOT (s = 'nation/5' AND p IN ('name', 'type'))) UNION SELECT 'nation/5', 'name', 'patched'", TRIPLES)
+@query("SELECT s, p, o FROM triples WHERE NOT (s = 'nation/5' AND p IN ('name', 'type')) UNION ALL SELECT 'nation/5', 'name', 'patched'", TRIPLES)
 def triples_patch(spark, sf_dir):
-    t = triples(spark, sf_dir, "nation")
-    new = t.filter("s = 'nation/5' and p = 'name'").withColumn("o", F.lit("patched"))
+    t = triples(spark, sf_dir)
+    new = triples(spark, sf_dir, "nation").filter("s = 'nation/5' and p = 'name'").withColumn("o", F.lit("patched"))
     return graph.patch(t, "nation/5", new, ["name", "type"], keep=False).select(*STAR)
 
 
@@ -162,9 +162,21 @@ def to_ntriples(spark, sf_dir):
     return pipes.to_ntriples(triples(spark, sf_dir, "customer"))
 
 
-@query("""SELECT resource, '{"@id":"' || resource || '",' || string_agg('"' || p || '":"' || o || '"', ',' ORDER BY '"' || p || '":"' || o || '"') || '}' AS document FROM triples WHERE s LIKE 'nation/%' GROUP BY resource""", TRIPLES)
+@query(
+    """SELECT 'order/' || o_orderkey AS id, 'Success' AS status, '{"@id":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'src/' ELSE 'order/' END || o_orderkey || '","@type":"Order","customer":"customer/' || o_custkey || '","note":{"a":1},"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '","total":"' || o_totalprice::DECIMAL(12,2)::VARCHAR || '"}' AS document FROM orders
+       UNION ALL SELECT 'part/' || p_partkey, 'Success', '{"@id":"part/' || p_partkey || '","brand":"' || p_brand || '","name":"' || p_name || '","size":"' || p_size || '","type":"Part"}' FROM part
+       UNION ALL SELECT 'supplier/' || s_suppkey, 'Dropped', NULL FROM supplier"""
+)
 def to_document(spark, sf_dir):
-    return pipes.to_documents(triples(spark, sf_dir, "nation"))
+    """Sources merged with compact graphs: orders with a source, parts without one, suppliers with neither."""
+    t = triples(spark, sf_dir, "orders", "part")
+    typed = pipes.to_documents(t).select(F.col("resource").alias("id"), F.col("document").alias("typed"))
+    graphs = typed.join(pipes.to_documents(t.filter("p <> 'type'")).withColumnRenamed("resource", "id"), "id", "left")
+    source = """concat('{"@context":{"x":"y"},', if(o_orderkey % 2 = 0, concat('"@id":"src/', o_orderkey, '",'), ''), '"@type":"Order","note":{"a":1,"@context":"z"},"total":"none"}')"""
+    elements = read(spark, sf_dir, "orders").selectExpr("concat('order/', o_orderkey) id", "'Success' status", f"{source} source")
+    elements = elements.unionByName(read(spark, sf_dir, "part").selectExpr("concat('part/', p_partkey) id", "'Success' status", "'{}' source"))
+    elements = elements.unionByName(read(spark, sf_dir, "supplier").selectExpr("concat('supplier/', s_suppkey) id", "'Success' status", "cast(null as string) source"))
+    return pipes.resource_documents(elements, graphs).select("id", "status", "document")
 
 
 # dependencies and references
@@ -253,9 +265,19 @@ def acl_addresses(spark, sf_dir):
     return deps.acl_addresses(access_list(spark, sf_dir), ["u1", "u0"], "read", "/o1")
 
 
-@query("SELECT address, identity, permission FROM acls WHERE identity IN ('u1')", ACLS)
+@query("SELECT asked, address, identity, permission FROM (SELECT DISTINCT address AS asked FROM acls) JOIN acls ON address IN ('/', '/' || split_part(asked, '/', 2), asked) WHERE identity IN ('u0', 'u1', 'u3')", ACLS)
 def acl_self(spark, sf_dir):
-    return access_list(spark, sf_dir).filter(F.col("identity").isin("u1"))
+    """What a caller holds at every address and at those above it."""
+    acls = access_list(spark, sf_dir)
+    return deps.acl_self(acls, acls.select("address").distinct(), ["u0", "u1", "u3"])
+
+
+@query("SELECT DISTINCT address, identity, permission FROM (SELECT address, identity, permission FROM acls UNION ALL SELECT address, 'u9', permission FROM acls) WHERE NOT (permission = 'write' AND identity = 'u1') AND NOT (permission = 'write' AND identity = 'u9')", ACLS)
+def acl_change(spark, sf_dir):
+    """Entries added for one more identity, then some taken away."""
+    acls = access_list(spark, sf_dir)
+    more = deps.acl_add(acls, acls.withColumn("identity", F.lit("u9")))
+    return deps.acl_subtract(more, more.filter("permission = 'write' and identity in ('u1', 'u9')"))
 
 
 @query("SELECT r.org, r.project, r.id, rn AS position, CASE WHEN NOT EXISTS (SELECT 1 FROM open o WHERE o.org = r.org AND o.project = r.project) THEN 'AuthorizationFailed' WHEN s.rev IS NULL THEN 'NotFound' ELSE 'Found' END AS status, CASE WHEN EXISTS (SELECT 1 FROM open o WHERE o.org = r.org AND o.project = r.project) THEN s.rev END AS rev FROM (SELECT *, row_number() OVER (ORDER BY org, project, id) AS rn FROM refs) r LEFT JOIN (SELECT * FROM states WHERE tag = 'latest') s USING (org, project, id)", f"{STATES}, {ACLS}, {OPEN}, {REFS}")
@@ -296,10 +318,11 @@ def id_resolution(spark, sf_dir):
     return deps.id_resolution(states, refs.select("id").distinct(), open_ones)
 
 
-@query("SELECT id, CASE WHEN id IN (SELECT id FROM states WHERE type = 'File') THEN 'schema' WHEN id IN (SELECT id FROM states WHERE type = 'Resource') THEN 'resource' END AS source FROM (SELECT DISTINCT id FROM refs)", f"{STATES}, {REFS}")
+@query("SELECT id, source, CASE WHEN source IS NULL THEN 'NotFound' WHEN source = 'resource' AND id NOT IN (SELECT id FROM states WHERE list_contains(types, 'T1')) THEN 'NotAnOntology' END AS rejection FROM (SELECT id, CASE WHEN id IN (SELECT id FROM states WHERE type = 'File') THEN 'schema' WHEN id IN (SELECT id FROM states WHERE type = 'Resource') THEN 'resource' END AS source FROM (SELECT DISTINCT id FROM refs))", f"{STATES}, {REFS}")
 def import_closure(spark, sf_dir):
+    """Imports of schemas, resources (ontologies only) and of what isn't there, with the reason of each rejection."""
     refs, states = _refs(spark, sf_dir)
-    return deps.import_closure(refs.select("id").distinct(), states.filter("type = 'File'"), states.filter("type = 'Resource'"))
+    return deps.import_closure(refs.select("id").distinct(), states.filter("type = 'File'"), states.filter("type = 'Resource'"), "T1")
 
 
 @query(

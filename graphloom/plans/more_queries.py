@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import iri, json_text, sets
@@ -149,16 +149,21 @@ def data_construct_query(spark, sf_dir):
     return graph.construct(graph.match(t, [("?s", "type", "Nation"), ("?s", "name", "?name")]), [("?s", "label", "?name")])
 
 
-@query("SELECT id, 'Success' AS status FROM states WHERE tag = 'latest'", STATES)
+@query("SELECT id, 'Success' AS status, count(*) OVER () AS tapped, max(ordering) OVER () AS last FROM states WHERE tag = 'latest'", STATES)
 def tap(spark, sf_dir):
-    """The elements pass on; what is observed on the way costs no second pass."""
-    rows = _latest(spark, sf_dir).withColumn("status", F.lit("Success"))
-    return rows.observe(f"tap-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n")).select("id", "status")
+    """The elements pass on; what is observed on the way into a sink is read afterwards, without a second pass."""
+    out = f"{deps.shared_folder(spark).rstrip('/')}/tapped-{uuid.uuid4().hex}"
+    seen = Observation()
+    rows = _latest(spark, sf_dir).select("id", F.lit("Success").alias("status"), "ordering")
+    rows.observe(seen, F.count(F.lit(1)).alias("n"), F.max("ordering").alias("last")).write.parquet(out)
+    return spark.read.parquet(out).select("id", "status", F.lit(seen.get["n"]).cast("long").alias("tapped"), F.lit(seen.get["last"]).cast("long").alias("last"))
 
 
-@query("SELECT count(*) AS processed, count(*) FILTER (deprecated) AS deprecated FROM states WHERE tag = 'latest'", STATES)
+@query("SELECT id, 'Processing ' || id || ' of ' || org || '/' || project || ' at ' || ordering || CASE WHEN deprecated THEN ' (deprecated)' ELSE '' END AS line FROM states WHERE tag = 'latest'", STATES)
 def log_element(spark, sf_dir):
-    return _latest(spark, sf_dir).agg(F.count("*").alias("processed"), F.count_if("deprecated").alias("deprecated"))
+    """A line for every element."""
+    line = F.concat(F.lit("Processing "), "id", F.lit(" of "), "org", F.lit("/"), "project", F.lit(" at "), F.col("ordering").cast("string"), F.when(F.col("deprecated"), " (deprecated)").otherwise(""))
+    return _latest(spark, sf_dir).select("id", line.alias("line"))
 
 
 # references

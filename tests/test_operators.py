@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions import iri, json_text, sets
+from graphloom.functions import iri, json_text, merge, sets
 from graphloom.operators import analytics, deps, eventlog, feed, graph, listing, pipes, quality, sinks, stats
 
 KEY = "org string, project string, id string"
@@ -206,3 +206,51 @@ def test_terms_are_expanded_by_a_context_and_compacted_by_the_longest_prefix(spa
     assert keys(full, "project", "p", "o") == {("p", "http://schema/age", "12"), ("p", "http://schema/name", "http://schema/Bob"), ("p", "http://v/knows", "http://y/z"), ("p", "x:y", "plain"), ("p", "type", "http://v/Cat"), ("q", "http://other/a", None), ("p", "_:b", "_:c")}
     more = spark.createDataFrame([("p", "http://schema/Person/age"), ("p", "http://none"), ("p", None)], "project string, p string").unionByName(full.select("project", "p"))
     assert keys(analytics.compact_iris(more, context, "p"), "project", "p") == {("p", "person:age"), ("p", "http://none"), ("p", None), ("p", "s:age"), ("p", "name"), ("p", "knows"), ("p", "x:y"), ("p", "type"), ("q", "s:a"), ("p", "_:b")}
+
+
+def test_documents_merged_from_source_and_graph(spark):
+    elements = spark.createDataFrame([("a", "Success", '{"@id":"z","@type":"T","@context":{},"n":{"x":1,"@context":2}}'), ("b", "Success", "{}"), ("c", "Success", None), ("d", "Failed", '{"q":1}'), ("e", "Success", '{"only":[1]}')], "id string, status string, source string")
+    graphs = spark.createDataFrame([("a", '{"@id":"a","n":{"y":2}}', '{"@id":"a","type":"T"}'), ("b", '{"@id":"b"}', '{"@id":"b","type":"T"}')], "id string, document string, typed string")
+    rows = lambda **s: {r.id: (r.status, r.document) for r in pipes.resource_documents(elements, graphs, **s).collect()}
+    assert rows() == {"a": ("Success", '{"@id":"z","@type":"T","n":{"x":1,"y":2}}'), "b": ("Success", '{"@id":"b","type":"T"}'), "c": ("Dropped", None), "d": ("Failed", None), "e": ("Success", '{"@id":"e","only":[1]}')}
+    assert rows(context='{"@context":"c"}')["b"] == ("Success", '{"@context":"c","@id":"b","type":"T"}')
+
+
+def test_deep_merging_in_the_jvm(spark):
+    pairs = [('{"a":{"b":1,"c":{"d":1}},"x":1}', '{"a":{"b":2,"c":{"e":[1]}},"y":null}'), (None, '{"a":1}'), ("{}", '{"q":"w\\"z"}'), ('{"k":1}', "nope"), ('{"a":[1]}', '{"a":[2]}'), (None, None)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "l string, r string").select(merge.deep_merge(F.col("l"), F.col("r"))).collect()]
+    assert got == ['{"a":{"b":2,"c":{"d":1,"e":[1]}},"x":1,"y":null}', '{"a":1}', '{"q":"w\\"z"}', '{"k":1}', '{"a":[2]}', None]
+
+
+def test_imports_are_rejected_with_a_reason(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    resources = spark.createDataFrame([("o", ["Ontology", "X"]), ("r", ["X"]), ("n", None), ("s", ["X"])], "id string, types array<string>")
+    got = deps.import_closure(ids("s", "o", "r", "n", "gone"), ids("s", "s"), resources)
+    assert keys(got, "id", "source", "rejection") == {("s", "schema", None), ("o", "resource", None), ("r", "resource", "NotAnOntology"), ("n", "resource", "NotAnOntology"), ("gone", None, "NotFound")}
+
+
+def test_access_lists_of_ancestors_added_and_subtracted(spark):
+    acl = lambda *x: spark.createDataFrame(x, "address string, identity string, permission string")
+    acls = acl(("/", "u", "read"), ("/o", "v", "read"), ("/o/p", "u", "write"), ("/o/q", "u", "write"))
+    got = deps.acl_self(acls, spark.createDataFrame([("/o/p",), ("/o",)], "address string"), ["u"])
+    assert keys(got, "asked", "address", "permission") == {("/o/p", "/", "read"), ("/o/p", "/o/p", "write"), ("/o", "/", "read")}
+    more = deps.acl_add(acls, acl(("/", "u", "read"), ("/", "w", "read")))
+    assert more.count() == 5
+    assert keys(deps.acl_subtract(more, acl(("/", "w", "read"), ("/o", "v", "write"))), *acls.columns) == keys(acls, *acls.columns)
+
+
+def test_one_graph_is_patched_and_one_node_renamed(spark):
+    t = spark.createDataFrame([("g", "a", "p", "b"), ("g", "a", "q", "c"), ("h", "x", "p", "b"), ("h", "x", "p", "b"), (None, "n", "p", "b")], "resource string, s string, p string, o string")
+    new = spark.createDataFrame([("g", "a", "p", "new"), ("g", "a", "q", "c")], t.schema)
+    got = sorted((r.s, r.p, r.o) for r in graph.patch(t, "g", new, ["p"], keep=False).collect())
+    assert got == [("a", "p", "new"), ("a", "q", "c"), ("n", "p", "b"), ("x", "p", "b"), ("x", "p", "b")]  # other graphs aren't touched
+    star = t.select("s", "p", "o").distinct().unionByName(spark.createDataFrame([("a", "p", "z")], "s string, p string, o string"))
+    assert keys(graph.replace_node(star, "b", "z"), "s", "p", "o") == {("a", "p", "z"), ("a", "q", "c"), ("x", "p", "z"), ("n", "p", "z")}
+    assert graph.replace_node(star, "b", "z").count() == 4
+
+
+def test_no_payload_isnt_a_broken_one(spark):
+    schema = f"{KEY}, type string, tag string, types array<string>, instant timestamp_ntz, ordering long, rev int, payload string"
+    states = spark.createDataFrame([("o", "p", i, "R", "latest", None, None, n, 1, j) for n, (i, j) in enumerate((("a", '{"k":1}'), ("b", None), ("c", "{")))], schema)
+    gone = states.limit(0).withColumn("deleted", F.lit(True))
+    assert keys(feed.state_values(states, gone, "k long"), "id", "status", "value.k") == {("a", "Success", 1), ("b", "Success", None), ("c", "Failed", None)}
