@@ -157,9 +157,10 @@ def chat_segments(conversations: DataFrame, template: Template | None = None) ->
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Per conversation, parsed from its formatted text: digests of its turns and of what bears loss, and whether its order is valid.
+    """Per conversation, digests of its turns, parsed from the formatted text, and of the text under the loss mask; whether its order is valid.
 
-    Of segments only conv_id and the text are read.  They must come as chat_segments gives them: a conversation's in order, in one partition.
+    What bears loss is cut out of the segments by their flags.  The parsed turns are a check: where their roles give another
+    loss text than the flags, the job fails.  Segments must come as chat_segments gives them: a conversation's in order, in one partition.
     """
     template = template or Template()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
@@ -169,21 +170,26 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         def __init__(self, conv, formatter):
             self.conv, self.formatter, self.parser = conv, formatter, Parser(formatter)
             self.turns = self.loss_chars = self.chars = 0
-            self.all, self.loss, self.valid, self.before = hashlib.sha256(), hashlib.sha256(), True, ""
+            self.all, self.loss, self.parsed, self.valid, self.before = hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), True, ""
 
-        def add(self, piece):
+        def add(self, piece, masked):
             self.chars += len(piece)
+            if masked:
+                text = self.formatter.unescape(piece)
+                self.loss.update(text.encode("utf-8", "surrogatepass"))
+                self.loss_chars += len(text)
             for role, text in self.parser.feed(piece):
                 self.turns += 1
                 self.valid &= self.formatter.allowed(self.before, role)
                 self.before = role
                 self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 if role in template.loss:
-                    self.loss.update(text.encode("utf-8", "surrogatepass"))
-                    self.loss_chars += len(text)
+                    self.parsed.update(text.encode("utf-8", "surrogatepass"))
 
         def row(self):
             self.parser.end()
+            if self.loss.digest() != self.parsed.digest():
+                raise ValueError(f"the loss mask of conversation {self.conv} doesn't fit its text")
             return (self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid)
 
     def batch_of(rows):
@@ -193,18 +199,18 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         formatter, now = Formatter(template), None
         for batch in batches:
             rows = []
-            for conv, piece in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment")), strict=True):
+            for conv, piece, masked in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss")), strict=True):
                 if now is None or conv != now.conv:
                     if now is not None:
                         rows.append(now.row())
                     now = Digest(conv, formatter)
-                now.add(piece)
+                now.add(piece, masked)
             if rows:
                 yield batch_of(rows)
         if now is not None:
             yield batch_of([now.row()])
 
-    return segments.select("conv_id", "segment").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return segments.select("conv_id", "segment", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
 def chat_texts(conversations: DataFrame, template: Template | None = None) -> DataFrame:

@@ -136,6 +136,9 @@ def test_chat_of_odd_rows(spark):
     assert got[4].turns_sha256 == hashlib.sha256(b"tool|>\n</s>\n").hexdigest()
     whole = {r.conv_id: r for r in chat_texts(chats).collect()}
     assert [whole[5].text[s.start : s.start + s.length] for s in whole[5].spans] == ["b"] and len(whole[5].text) == got[5].formatted_chars
+    wrong = chat_segments(chats).withColumn("loss", F.when((F.col("part") == 1) & (F.length("segment") > 0), ~F.col("loss")).otherwise(F.col("loss")))
+    with pytest.raises(Exception, match="loss mask"):
+        read_back(wrong).collect()
     assert read_back(chat_segments(chats.limit(0))).count() == 0
 
 
