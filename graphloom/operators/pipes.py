@@ -52,6 +52,16 @@ def lookup(name: str, **config) -> Pipe:
     return REGISTRY[name](**config)
 
 
+def validate(feed: DataFrame, settings: list[tuple[str, dict]]) -> str | None:
+    """Why a chain of named pipes doesn't fit a feed, by the feed's columns alone; None if it does."""
+    try:
+        for name, config in settings:
+            feed = feed.transform(lookup(name, **config))
+    except (UnknownPipe, MismatchedPipe) as e:
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
 def chain(*pipes: Pipe) -> Pipe:
     """Pipes one after the other; Catalyst sees one plan."""
 

@@ -15,6 +15,7 @@ from graphloom.plans.registry import ACLS, EDGES, FEED, LOG, STATES, TRIPLES, qu
 from graphloom.sources.adapters import access_list, dependencies, events_log, nested_orders, read, triples
 from graphloom.sources.nquads import parse_nquads, resources_of
 from graphloom.streaming import activity, feeds, projections
+from graphloom.streaming.index import KeyedIndex
 from graphloom.streaming.references import ReferenceIndex
 
 KEY = ["org", "project", "id"]
@@ -123,12 +124,16 @@ def sink_graph_analytics(spark, sf_dir):
     return rows.select("id", "r.path", "r.ref", "r.found_types").withColumns(joined("found_types"))
 
 
-@query("SELECT 'order/' || o_orderkey AS id, n_name AS nation FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'P'")
+@query("""SELECT 'order/' || o_orderkey AS id, '{"@id":"order/' || o_orderkey || '","nation":"' || n_name || '"}' AS document FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'P' AND o_orderkey % 5 <> 0""")
 def sink_composite_batch(spark, sf_dir):
-    """A batch of ids against the common triples: one join, not a query per element; ids without a result drop out."""
+    """Chunks of elements through a view's query into an index: one join for a chunk, and its documents as one delta; a later chunk deletes some."""
     t = triples(spark, sf_dir, "orders", "customer", "nation")
-    ids = graph.match(t, [("?id", "status", "P")])
-    return graph.match(t, [("?id", "customer", "?c"), ("?c", "nation", "?n"), ("?n", "name", "?nation")], ids=ids).select("id", "nation")
+    elements = read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").selectExpr("concat('order/', o_orderkey) id", "o_orderkey ordering", "'Success' status")
+    patterns = [("?id", "customer", "?c"), ("?c", "nation", "?n"), ("?n", "name", "?nation")]
+    index = KeyedIndex(spark, f"{deps.shared_folder(spark).rstrip('/')}/view-{uuid.uuid4().hex}", ["id"], buckets=4)
+    for batch_id, chunk in enumerate((elements, elements.filter("ordering % 5 = 0").withColumn("status", F.lit("Dropped")))):
+        index.write_batch(sinks.composite(chunk, t, patterns, [("?id", "nation", "?nation")], pipes.to_documents), batch_id)
+    return index.read().select("id", "document")
 
 
 @query("SELECT 'orders/' || o_orderkey || '.json' AS path, '{\"status\":\"' || o_orderstatus || '\"}' AS content FROM customer JOIN orders ON o_orderkey = c_custkey")
@@ -364,16 +369,23 @@ def pipe_registry(spark, sf_dir):
     return rows.transform(pipes.chain(*(pipes.lookup(name, **config) for name, config in settings))).select("id", "status")
 
 
-@query("SELECT id, 'filterBySchema needs [''schema'']' AS error FROM states WHERE tag = 'latest'", STATES)
+CHAINS = {"good": [("filterDeprecated", {}), ("filterByType", {"types": ["T1"]})], "unfit": [("filterDeprecated", {}), ("filterBySchema", {"schemas": ["s1"]})], "unknown": [("filterByNothing", {})]}
+
+
+@query("SELECT chain, error, CASE WHEN error IS NULL THEN (SELECT count(*) FROM states WHERE tag = 'latest' AND NOT deprecated AND list_contains(types, 'T1')) END AS passed FROM (VALUES ('good', NULL), ('unfit', 'MismatchedPipe: filterBySchema needs [''schema'']'), ('unknown', 'UnknownPipe: ''filterByNothing''')) t(chain, error)", STATES)
 def chain_validate(spark, sf_dir):
-    """A chain whose pipes don't fit is refused when it is built, before any row is read."""
+    """Chains against the feed's columns: those that fit run, others are refused with the reason before any row is read."""
     rows = _latest(spark, sf_dir).withColumn("status", F.lit("Success")).drop("schema")
-    try:
-        rows.transform(pipes.lookup("filterBySchema", schemas=["s1"]))
-        error = None
-    except pipes.MismatchedPipe as e:
-        error = str(e)
-    return rows.select("id", F.lit(error).alias("error"))
+    out = None
+    for name, settings in CHAINS.items():
+        error = pipes.validate(rows, settings)
+        if error is None:
+            one = rows.transform(pipes.chain(*(pipes.lookup(n, **c) for n, c in settings))).agg(F.count_if(F.col("status") == "Success").alias("passed"))
+        else:
+            one = spark.range(1).select(F.lit(None).cast("long").alias("passed"))
+        one = one.select(F.lit(name).alias("chain"), F.lit(error).cast("string").alias("error"), "passed")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT id, rev, list_has_any(types, ['T1', 'K2']) AS overlap, array_to_string(list_sort(list_filter(types, lambda x: x NOT IN ('T1', 'K2'))), ',') AS removed, array_to_string(list_sort(list_distinct(list_concat(types, ['T1', 'K2']))), ',') AS united FROM log WHERE types IS NOT NULL", LOG)
