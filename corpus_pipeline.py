@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.bpe import bpe_round_trip
-from graphloom.llm.common import clear_stored, stored, table
+from graphloom.llm.common import clear_stored, stored, stored_so_far, table
 from graphloom.llm.exact_dedup import drop_exact_copies
 from graphloom.llm.mixing import mix
 from graphloom.llm.ngram_join import drop_near_copies
@@ -49,8 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; what a stage stored is deleted when its result is written, what was stored before the run isn't.
+
+    As the stages' operators define: null texts are empty; rows with a null doc_id, and texts without words, stay until mixing,
+    which never takes them; repeated rows are copies; columns beside documents' own go along under their names until the last
+    stage; an empty table gives an empty result.
+    """
+    docs, before = table(spark, sf_dir, "documents"), stored_so_far()
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
-        clear_stored(spark, keep=docs)
+        clear_stored(spark, docs, before)
     return docs

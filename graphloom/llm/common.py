@@ -58,10 +58,18 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_stored(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete what stored() has written so far, but for the files that keep reads: for callers that have written their results."""
+def stored_so_far() -> frozenset[str]:
+    """The tables that stored() has written: a caller's mark, what is written later is its own."""
+    return frozenset(_stored)
+
+
+def clear_stored(spark: SparkSession, keep: DataFrame | None = None, before: frozenset[str] = frozenset()) -> None:
+    """Delete what stored() has written since a mark, but for the files that keep reads: for callers that have written their results.
+
+    What others stored before the mark stays: their results may not have been computed yet.
+    """
     kept = {k for f in (keep.inputFiles() if keep is not None else ()) for k in re.findall(f"{_PREFIX}[0-9a-f]+", f)}
-    left = [p for p in _stored if p.rsplit("/", 1)[1] in kept]
+    left = [p for p in _stored if p in before or p.rsplit("/", 1)[1] in kept]
     jvm = spark.sparkContext._jvm
     for path in set(_stored).difference(left):
         folder = jvm.org.apache.hadoop.fs.Path(path)

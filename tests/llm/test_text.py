@@ -460,6 +460,8 @@ def test_pipeline_is_its_stages(spark, sf_dir):
         seen = spark.createDataFrame(after.collect(), docs.schema)
         sizes.append(seen.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+    held = QUERIES["op5_exact_dedup"](spark, sf_dir)
     ids = sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect())
     assert ids == sorted(r.doc_id for r in seen.collect()) and len(set(ids)) == len(ids)
+    assert held.count() == table(spark, sf_dir, "documents").count()  # a run deletes what it stored itself
     assert corpus_pipeline.ORACLE_SQL is None
