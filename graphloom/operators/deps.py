@@ -13,6 +13,8 @@ KEY = ["org", "project", "id"]
 TARGET = ["target_org", "target_project", "target_id"]
 #: Steps whose results are read as they are; more are put together first.
 MOST_PARTS = 16
+#: monotonically_increasing_id() has the task above these bits and the row's place in it below.
+PLACE_BITS = 33
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +33,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(rows: DataFrame, *columns: str, name: str = "position") -> DataFrame:
+    """Rows with their number, from 1, in the order of columns over all rows; nulls come last.
+
+    Two passes: ranges of the order are sorted apart, however many rows share a first column, and stored with each row's
+    place in its range; the sizes of the ranges before give the rest.  Rows that are equal in all columns share a range.
+    """
+    order = [F.col(c).asc_nulls_last() for c in columns]
+    runs = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("run_place", F.monotonically_increasing_id()))
+    run, place = F.shiftright("run_place", PLACE_BITS), F.col("run_place").bitwiseAND((1 << PLACE_BITS) - 1)
+    before = Window.orderBy("run_number").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = runs.groupBy(run.alias("run_number")).agg(F.count("*").alias("n"))
+    starts = sizes.select("run_number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"))  # a row per range, not per row
+    return runs.join(F.broadcast(starts), run == F.col("run_number")).select(*rows.columns, (F.col("rows_before") + place + 1).alias(name))
+
+
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start key, org, project, id): all that each start reaches; a start on a cycle reaches itself.
 

@@ -279,11 +279,11 @@ def acl_change(spark, sf_dir):
     return deps.acl_subtract(more, more.filter("permission = 'write' and identity in ('u1', 'u9')"))
 
 
-@query("SELECT r.org, r.project, r.id, position, CASE WHEN NOT EXISTS (SELECT 1 FROM open o WHERE o.org = r.org AND o.project = r.project) THEN 'AuthorizationFailed' WHEN s.rev IS NULL THEN 'NotFound' ELSE 'Found' END AS status, CASE WHEN EXISTS (SELECT 1 FROM open o WHERE o.org = r.org AND o.project = r.project) THEN s.rev END AS rev FROM (SELECT org, project, CASE WHEN rev % 3 = 0 THEN 'x' || id ELSE id END AS id, min(ordering) AS position FROM log GROUP BY ALL) r LEFT JOIN (SELECT * FROM states WHERE tag = 'latest') s USING (org, project, id)", f"{STATES}, {ACLS}, {OPEN}, {REFS}")
+@query("SELECT r.org, r.project, r.id, rn AS position, CASE WHEN NOT EXISTS (SELECT 1 FROM open o WHERE o.org = r.org AND o.project = r.project) THEN 'AuthorizationFailed' WHEN s.rev IS NULL THEN 'NotFound' ELSE 'Found' END AS status, CASE WHEN EXISTS (SELECT 1 FROM open o WHERE o.org = r.org AND o.project = r.project) THEN s.rev END AS rev FROM (SELECT *, row_number() OVER (ORDER BY org, project, id) AS rn FROM refs) r LEFT JOIN (SELECT * FROM states WHERE tag = 'latest') s USING (org, project, id)", f"{STATES}, {ACLS}, {OPEN}, {REFS}")
 def multi_fetch(spark, sf_dir):
-    """References at the place where the log has each first."""
-    asked = events_log(spark, sf_dir).selectExpr("org", "project", "if(rev % 3 = 0, concat('x', id), id) id", "ordering").groupBy(*KEY).agg(F.min("ordering").alias("position"))
-    return deps.multi_fetch(asked, _refs(spark, sf_dir)[1], access_list(spark, sf_dir), ["u1", "u3"])
+    """All references, numbered by their keys over all projects, as one request."""
+    refs, states = _refs(spark, sf_dir)
+    return deps.multi_fetch(deps.numbered(refs, *KEY), states, access_list(spark, sf_dir), ["u1", "u3"])
 
 
 RESOLVE = """resolvers AS (SELECT * FROM (VALUES ('a', 1, 0, 'o0', 'p1', ['T1']), ('a', 1, 1, 'o1', 'p1', ['T1']), ('b', 2, 0, 'o0', 'p2', NULL), ('b', 2, 1, 'o1', 'p3', NULL), ('b', 2, 2, 'o0', 'p0', NULL)) t(resolver, priority, place, org, project, types)),

@@ -254,3 +254,15 @@ def test_no_payload_isnt_a_broken_one(spark):
     states = spark.createDataFrame([("o", "p", i, "R", "latest", None, None, n, 1, j) for n, (i, j) in enumerate((("a", '{"k":1}'), ("b", None), ("c", "{")))], schema)
     gone = states.limit(0).withColumn("deleted", F.lit(True))
     assert keys(feed.state_values(states, gone, "k long"), "id", "status", "value.k") == {("a", "Success", 1), ("b", "Success", None), ("c", "Failed", None)}
+
+
+def test_numbers_run_over_all_ranges_with_a_hot_project_and_nulls(spark):
+    names = [("o", "hot", f"r{i}") for i in range(400)] + [("o", f"p{i}", "r") for i in range(20)] + [("n", "p", "r"), ("o", "hot", None), ("o", None, "r"), (None, None, None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that such few rows have several ranges
+    try:
+        got = deps.numbered(spark.createDataFrame(names, KEY), "org", "project", "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(names, key=lambda r: [(c is None, c or "") for c in r])
+    assert sorted((r.position, tuple(r)[:3]) for r in got) == list(enumerate(order, 1))
+    assert deps.numbered(spark.createDataFrame([], KEY), "id", name="n").collect() == []

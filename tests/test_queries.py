@@ -26,3 +26,8 @@ def test_sql_only_for_queries():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_multi_fetch_numbers_the_request_over_all_projects(spark, sf_dir):
+    got = [(r.position, r.org, r.project, r.id) for r in QUERIES["multi_fetch"](spark, sf_dir).collect()]
+    assert sorted(got) == [(n, *key) for n, key in enumerate(sorted(r[1:] for r in got), 1)]
