@@ -234,7 +234,8 @@ def nested_documents(triples: DataFrame, depth: int = 2) -> DataFrame:
     """resource, document: a resource's own node as a JSON object with the blank nodes below it, to a depth.
 
     References are objects with an @id, numbers and booleans stay what they are, several objects of a predicate are a
-    sorted array.  Blank nodes beyond the depth stay references.  Each level is one aggregation and one join.
+    sorted array.  Blank nodes beyond the depth stay references.  Each level is one aggregation and one join; it's a merge
+    join, as the planner takes the size of nodes from that of the files behind them, which is far too small, and would broadcast them.
     """
     text = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
     nodes = None
@@ -243,7 +244,7 @@ def nested_documents(triples: DataFrame, depth: int = 2) -> DataFrame:
         if nodes is None:
             rows = rows.withColumn("child", F.lit(None).cast("string"))
         else:
-            rows = rows.join(nodes.select("resource", F.col("s").alias("o"), F.lit("blank").alias("kind"), F.col("node").alias("child")), ["resource", "o", "kind"], "left")
+            rows = rows.join(nodes.select("resource", F.col("s").alias("o"), F.lit("blank").alias("kind"), F.col("node").alias("child")).hint("merge"), ["resource", "o", "kind"], "left")
         bare = (F.col("kind") == "literal") & F.col("datatype").isin(BARE)
         value = F.when(F.col("child").isNotNull(), F.col("child")).when((F.col("kind") == "literal") & bare, F.col("o")).when((F.col("kind") == "literal") | (F.col("p") == "type"), text("o")).otherwise(F.concat(F.lit('{"@id":'), text("o"), F.lit("}")))
         per = rows.groupBy("resource", "s", "p").agg(F.array_sort(F.collect_list(value)).alias("v"))

@@ -160,6 +160,13 @@ def test_documents_to_a_graph_and_back(spark):
     assert [r.document for r in pipes.nested_documents(g).collect()] == ['{"@id":"x","@type":"T","knows":{"@id":"y"},"part":{"ok":true,"size":1.5},"when":"2024"}']
 
 
+def test_nested_nodes_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([("x", '{"part":{"size":1}}')], "id string, doc string").write.parquet(f"{tmp_path}/docs")
+    got = pipes.nested_documents(analytics.document_graph(spark.read.parquet(f"{tmp_path}/docs")))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.document for r in got.collect()] == ['{"@id":"x","part":{"size":1}}']
+
+
 def test_sets_of_types_and_maps_of_tags(spark):
     rows = spark.createDataFrame([(["B", "A"], {"t": 1, "u": 2}), (None, {})], "types array<string>, tags map<string,int>")
     given = F.array(F.lit("A"), F.lit("C"))
