@@ -248,13 +248,13 @@ def _stream(spark, sf_dir):
 
 
 ELEMENT = ["concat('o', user_id % 2) org", "concat('p', user_id % 5) project", "concat('r', user_id) id", "event_id + 1 ordering", "ts instant", "event_type", "get_json_object(props, '$.k') k", "'Success' status", "event_type = 'error' deprecated"]
-#: Elements of a batch in the queries over positions.
-ADMITTED = 2500
+#: Elements of a batch in the queries over positions, and of the batches that a trigger takes at once.
+ADMITTED, AHEAD = 2500, 4_000_000
 
 
 def _feed(spark, sf_dir, handle, out, **settings):
     """The events in batches of so many positions."""
-    feeds.finish(feeds.run_feed(spark, f"{sf_dir}/events.parquet", "event_id", lambda df: df.selectExpr(*ELEMENT), handle, checkpoint=f"{out}-checkpoint", max_elements=ADMITTED, **settings))
+    feeds.finish(feeds.run_feed(spark, f"{sf_dir}/events.parquet", "event_id", lambda df: df.selectExpr(*ELEMENT, feeds.BATCH), handle, checkpoint=f"{out}-checkpoint", max_elements=ADMITTED, at_once=AHEAD // ADMITTED, **settings))
 
 
 def _indexed(spark, sf_dir):

@@ -73,13 +73,16 @@ class KeyedIndex:
     # writing
 
     def write_batch(self, elements: DataFrame, batch_id: int, *, ordering: str = "ordering") -> bool:
-        """One batch of elements (keys, ordering, status and the document's columns) as a delta; False if it counts already."""
+        """One batch of elements (keys, ordering, status and the document's columns) as a delta; False if it counts already.
+
+        Several batches at once are one delta under the last one's number; the column index_batch then tells which is later.
+        """
         m = self.manifest()
         if batch_id <= m.folded or batch_id in m.deltas:
             return False
         documents = [c for c in elements.columns if c not in OWN]
         schema = elements.select(*documents).schema
-        rows = elements.filter("status <> 'Failed'").dropna(subset=self.keys).select(F.struct(*documents).alias("doc"), *self.keys, F.struct(ordering, "status").alias("index_order"))
+        rows = elements.filter("status <> 'Failed'").dropna(subset=self.keys).select(F.struct(*documents).alias("doc"), *self.keys, F.struct(*(c for c in elements.columns if c == "index_batch"), ordering, "status").alias("index_order"))
         last = rows.groupBy(*self.keys).agg(F.max_by("doc", "index_order").alias("doc"), F.max("index_order").alias("index_order"))
         stored = last.select("doc.*", (F.col("index_order.status") == "Dropped").alias("index_deleted"), self.bucket().alias("bucket"))
         stored.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._delta(batch_id))

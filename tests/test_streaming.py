@@ -157,6 +157,29 @@ def test_an_index_over_many_batches(spark, folder):
     assert len(index.manifest().deltas) < 3 and index.manifest().folded >= 5
 
 
+def test_a_trigger_takes_several_batches_that_stay_as_they_were(spark, folder):
+    append(spark, f"{folder}/log", *range(10))
+    append(spark, f"{folder}/log", 1000, 1001, 1002)
+    calls = []
+    sink = feeds.into_batches(f"{folder}/out", lambda df: df)
+
+    def handle(batch, batch_id):
+        calls.append(batch_id)
+        if len(calls) == 2:
+            raise RuntimeError("sink")
+        sink(batch, batch_id)
+
+    run = lambda: feeds.run_feed(spark, f"{folder}/log", "position", lambda df: df, handle, checkpoint=f"{folder}/c", max_elements=4, at_once=3)
+    with pytest.raises(Exception, match="sink"):
+        feeds.finish(run())
+    append(spark, f"{folder}/log", 1003, 1004)
+    feeds.finish(run())
+    feeds.finish(feed(spark, folder, out="single", max_elements=4))
+    assert calls == [2, 3, 3, 4]  # the batch that failed comes again, without what has been added since
+    assert read_batches(spark, f"{folder}/out") == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9], 3: [1000, 1001, 1002], 4: [1003, 1004]}
+    assert read_batches(spark, f"{folder}/single") == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9], 3: [1000, 1001, 1002, 1003], 4: [1004]}
+
+
 RESOURCE = "project string, id string, ordering long, action string, types array<string>, deprecated boolean, doc string"
 
 
