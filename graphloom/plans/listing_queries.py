@@ -303,11 +303,12 @@ def scan_failures(spark, sf_dir):
 )
 def composite_projection(spark, sf_dir):
     """Two sources with offsets of their own into two targets, and a rebuild of one source beside the main run."""
-    element = lambda key, dropped: lambda df: df.selectExpr("'o' org", "'p' project", f"cast({key} as string) id", f"{key} ordering", "cast(null as timestamp_ntz) instant", "'Success' status", f"{dropped} deprecated")
+    element = lambda key, dropped: lambda df: df.selectExpr("'o' org", "'p' project", f"cast({key} as string) id", f"{key} ordering", "cast(null as timestamp_ntz) instant", "'Success' status", f"{dropped} deprecated", feeds.BATCH)
     sources = {"events": Source(f"{sf_dir}/events.parquet", "event_id", element("event_id", "event_type = 'error'")), "orders": Source(f"{sf_dir}/orders.parquet", "o_orderkey", element("o_orderkey", "o_orderstatus = 'P'"))}
     view = CompositeView(spark, f"{deps.shared_folder(spark).rstrip('/')}/view-{uuid.uuid4().hex}", sources, {"all": pipes.chain(), "live": pipes.lookup("filterDeprecated")})
-    view.run(max_elements=4 * ADMITTED)
-    view.run_source("orders", run="rebuild", max_elements=4 * ADMITTED)
+    admitted = {"max_elements": 4 * ADMITTED, "at_once": AHEAD // (4 * ADMITTED)}
+    view.run(**admitted)
+    view.run_source("orders", run="rebuild", **admitted)
     rows = view.progress().withColumn("run", F.lit("main")).unionByName(view.progress(run="rebuild").withColumn("run", F.lit("rebuild")))
     return rows.select("run", "source", "target", "processed", "discarded", "offset")
 

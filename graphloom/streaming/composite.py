@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import pipes
 from graphloom.operators.feed import projection_progress
 from graphloom.sources import files
-from graphloom.streaming.feeds import finish, run_feed
+from graphloom.streaming.feeds import BATCH, finish, run_feed
 
 Pipe = Callable[[DataFrame], DataFrame]
 PROGRESS = "source string, target string, processed long, discarded long, failed long, offset long"
@@ -24,7 +24,10 @@ PROGRESS = "source string, target string, processed long, discarded long, failed
 
 @dataclass(frozen=True)
 class Source:
-    """A Parquet log with a column of unique positions; elements() maps its rows, and gives that position as ordering."""
+    """A Parquet log with a column of unique positions; elements() maps its rows, and gives that position as ordering.
+
+    Where several batches are taken at once, elements() and the pipes keep the column feed_batch.
+    """
 
     path: str
     column: str
@@ -49,13 +52,17 @@ class CompositeView:
         """Where a source begins: the least offset of its branches."""
         return min(self.offset(run, source, t) for t in self.targets)
 
-    def run_source(self, source: str, *, run: str = "main", max_elements: int = 10_000) -> None:
-        """Process what is there of one source, from its branches' least offset on."""
+    def run_source(self, source: str, *, run: str = "main", max_elements: int = 10_000, at_once: int = 1) -> None:
+        """Process what is there of one source, from its branches' least offset on.
+
+        at_once: batches of a trigger at most. A branch has all of them or none; its progress has a row for each.
+        """
         s, start = self.sources[source], self.start(run, source)
         reached = {t: self.offset(run, source, t) for t in self.targets}
 
         def handle(batch: DataFrame, batch_id: int) -> None:
-            common = batch.transform(s.pipe).persist()
+            numbered = batch if BATCH in batch.columns else batch.withColumn(BATCH, F.lit(batch_id))
+            common = numbered.transform(s.pipe).persist()
             try:
                 upto = common.agg(F.max("ordering")).first()[0]
                 for target, pipe in self.targets.items():
@@ -63,20 +70,20 @@ class CompositeView:
                         continue
                     done = common.filter(F.col("ordering") > reached[target]).transform(pipe)
                     at = self._branch(run, source, target)
-                    done.write.mode("overwrite").parquet(f"{at}/elements/upto={upto}")
+                    done.drop(BATCH).write.mode("overwrite").parquet(f"{at}/elements/upto={upto}")
                     # last: with it the branch has the batch
-                    progress = projection_progress(done).select(F.lit(source).alias("source"), F.lit(target).alias("target"), "processed", "discarded", "failed", "offset")
+                    progress = projection_progress(done, BATCH).select(F.lit(source).alias("source"), F.lit(target).alias("target"), "processed", "discarded", "failed", "offset")
                     progress.write.mode("overwrite").parquet(f"{at}/progress/upto={upto}")
                     reached[target] = upto
             finally:
                 common.unpersist()
 
         # a checkpoint of its own for each beginning: the offsets that count are the branches'
-        finish(run_feed(self.spark, s.path, s.column, s.elements, handle, checkpoint=f"{self.out}/{run}/{source}/from={start}-{len(files.names(self.spark, f'{self.out}/{run}/{source}'))}", max_elements=max_elements, start=start))
+        finish(run_feed(self.spark, s.path, s.column, s.elements, handle, checkpoint=f"{self.out}/{run}/{source}/from={start}-{len(files.names(self.spark, f'{self.out}/{run}/{source}'))}", max_elements=max_elements, at_once=at_once, start=start))
 
-    def run(self, *, run: str = "main", max_elements: int = 10_000) -> None:
+    def run(self, *, run: str = "main", max_elements: int = 10_000, at_once: int = 1) -> None:
         for source in self.sources:
-            self.run_source(source, run=run, max_elements=max_elements)
+            self.run_source(source, run=run, max_elements=max_elements, at_once=at_once)
 
     def elements(self, target: str, *, run: str = "main") -> DataFrame:
         """What a target holds of all sources."""

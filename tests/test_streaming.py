@@ -280,3 +280,15 @@ def test_a_composite_view_goes_on_where_its_branches_are(spark, folder):
     done = {(r.source, r.target): (r.processed, r.discarded, r.offset) for r in view.progress().collect()}
     assert done == {("a", "all"): (13, 0, 12), ("a", "odd"): (13, 7, 12), ("b", "all"): (7, 0, 106), ("b", "odd"): (7, 4, 106)}
     assert view.progress(run="rebuild").count() == 0 and view.start("rebuild", "a") == -1
+
+
+def test_a_branch_takes_several_batches_and_knows_each(spark, folder):
+    append(spark, f"{folder}/a", *range(12))
+    shape = lambda df: df.selectExpr("'o' org", "'p' project", "value id", "position ordering", "cast(null as timestamp) instant", "'Success' status", "position % 2 = 0 deprecated", feeds.BATCH)
+    view = CompositeView(spark, f"{folder}/view", {"a": Source(f"{folder}/a", "position", shape)}, {"all": pipes.chain(), "odd": pipes.lookup("filterDeprecated")})
+    view.run(max_elements=5, at_once=2)
+    assert files.names(spark, f"{folder}/view/main/a/odd/elements") == ["upto=11", "upto=9"]
+    each = spark.read.parquet(f"{folder}/view/main/a/odd/progress").collect()
+    assert sorted((r.processed, r.discarded, r.offset) for r in each) == [(2, 1, 11), (5, 2, 9), (5, 3, 4)]
+    done = {r.target: (r.processed, r.discarded, r.offset) for r in view.progress().collect()}
+    assert done == {"all": (12, 0, 11), "odd": (12, 6, 11)} and view.elements("all").count() == 12
