@@ -64,11 +64,11 @@ def finish(query: StreamingQuery) -> None:
 
 
 def into_index(index: KeyedIndex, pipe: Pipe, *, compact_every: int = 8) -> Handler:
-    """A sink: each trigger's batches, one unless several are taken at once, as a delta of the index; so many open deltas are folded into its base."""
+    """A sink: each trigger's batches, one unless several are taken at once, as a delta of the index; once they hold so many batches, open deltas are folded into its base."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         index.write_batch(batch.transform(pipe).withColumnRenamed(BATCH, "index_batch"), batch_id)
-        if len(index.manifest().deltas) >= compact_every:
+        if batch_id - index.manifest().folded >= compact_every:
             index.compact()
 
     return handle

@@ -292,3 +292,15 @@ def test_a_branch_takes_several_batches_and_knows_each(spark, folder):
     assert sorted((r.processed, r.discarded, r.offset) for r in each) == [(2, 1, 11), (5, 2, 9), (5, 3, 4)]
     done = {r.target: (r.processed, r.discarded, r.offset) for r in view.progress().collect()}
     assert done == {"all": (12, 0, 11), "odd": (12, 6, 11)} and view.elements("all").count() == 12
+
+
+def test_of_several_batches_in_an_index_the_later_one_counts(spark, folder):
+    append(spark, f"{folder}/log", *range(30))
+    index = KeyedIndex(spark, f"{folder}/index", ["id"], buckets=2)
+    shape = lambda df: df.selectExpr("concat('k', position % 7) id", "-position ordering", "position", "if(position = 28, 'Dropped', 'Success') status", feeds.BATCH)
+    feeds.finish(feeds.run_feed(spark, f"{folder}/log", "position", shape, feeds.into_index(index, lambda df: df, compact_every=3), checkpoint=f"{folder}/c", max_elements=4, at_once=6))
+    m = index.manifest()
+    assert (m.deltas, m.folded) == ([7], 5)  # as many writes as triggers, numbered by their last batch; the first one held enough batches to be folded
+    assert {r.id: r.position for r in index.read().collect()} == {"k1": 29, "k2": 23, "k3": 24, "k4": 25, "k5": 26, "k6": 27}
+    assert index.read().columns == ["id", "ordering", "position", "status"]
+    assert not index.write_batch(spark.createDataFrame([("k1", 99, 99, "Success")], "id string, ordering long, position long, status string"), 7)
