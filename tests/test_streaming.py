@@ -9,11 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import deps, pipes
+from graphloom.plans import listing_queries
+from graphloom.plans.registry import SQL
 from graphloom.sources import files
 from graphloom.streaming import activity, feeds, projections
 from graphloom.streaming.composite import CompositeView, Source
 from graphloom.streaming.index import KeyedIndex
 from graphloom.streaming.references import ReferenceIndex
+from tests.compare import connection, rows
 
 ELEMENT = "org string, project string, id string, ordering long, status string, value string"
 
@@ -304,3 +307,13 @@ def test_of_several_batches_in_an_index_the_later_one_counts(spark, folder):
     assert {r.id: r.position for r in index.read().collect()} == {"k1": 29, "k2": 23, "k3": 24, "k4": 25, "k5": 26, "k6": 27}
     assert index.read().columns == ["id", "ordering", "position", "status"]
     assert not index.write_batch(spark.createDataFrame([("k1", 99, 99, "Success")], "id string, ordering long, position long, status string"), 7)
+
+
+def test_the_upsert_query_writes_its_batches_by_the_trigger(spark, sf_dir, monkeypatch):
+    writes, write = [], KeyedIndex.write_batch
+    monkeypatch.setattr(KeyedIndex, "write_batch", lambda index, rows, batch_id: writes.append(batch_id) or write(index, rows, batch_id))
+    monkeypatch.setattr(listing_queries, "ADMITTED", 50)
+    got = listing_queries.sink_document_upsert(spark, sf_dir).toPandas()
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert writes == [(n - 1) // 50] and writes[0] > 10  # batches by number, from 0 on
+    assert rows(got) == rows(connection(sf_dir).sql(SQL["sink_document_upsert"]).df())
