@@ -45,6 +45,17 @@ class Field:
         return F.filter(parts, lambda x: x != "")
 
 
+def _term_counts(rows: DataFrame, words: str) -> DataFrame:
+    """key, doc_range, length, term, tf of each distinct word, within the row: words is a sorted array, where equal ones are a run."""
+    size, word = F.size(words), lambda i: F.get(F.col(words), i)
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    ends = F.filter(places, lambda i: (i == size - 1) | (word(i) != word(i + 1)))
+    counts = F.transform("ends", lambda end, i: F.struct(word(end).alias("term"), (end - F.coalesce(F.get(F.col("ends"), i - 1), F.lit(-1))).alias("tf")))
+    # outer: else the array would be made once more, to see whether it's empty
+    each = rows.withColumn("ends", ends).select("key", "doc_range", size.alias("length"), F.explode_outer(counts).alias("t"))
+    return each.filter("t is not null").select("key", "doc_range", "length", "t.*")
+
+
 def build_index(rows: DataFrame, fields: list[Field], path: str, *, key: str = "doc_id", docs_per_range: int = RANGE) -> None:
     """Write postings, document frequencies and statistics; rows have one row per key."""
     spark = rows.sparkSession
@@ -56,17 +67,20 @@ def build_index(rows: DataFrame, fields: list[Field], path: str, *, key: str = "
     each = max(1, math.ceil(n / ((len(cuts) + 1) * docs_per_range)))
     level = F.size(F.filter(F.lit(cuts or [0]), lambda c: c < sum(lengths[1:], lengths[0])))
     placed = words.withColumn("doc_range", level * each + F.pmod(F.xxhash64("key"), F.lit(each)).cast("int"))
-    one = lambda i, f: placed.select("key", "doc_range", F.lit(f.name).alias("field"), lengths[i].alias("length"), F.lit(stats[f"mean_{i}"] or 1.0).alias("mean"), F.explode(f"words_{i}").alias("term"))
-    tokens = one(0, fields[0])
-    for i, f in enumerate(fields[1:], 1):
-        tokens = tokens.unionByName(one(i, f))
-    tf = tokens.groupBy("key", "doc_range", "field", "length", "mean", "term").agg(F.count("*").alias("tf"))
+    placed = placed.withColumns({f"words_{i}": F.sort_array(f"words_{i}") for i in range(len(fields))})
+    tf = None
+    for i, f in enumerate(fields):
+        one = _term_counts(placed, f"words_{i}").select("key", "doc_range", F.lit(f.name).alias("field"), "length", F.lit(stats[f"mean_{i}"] or 1.0).alias("mean"), "term", "tf")
+        tf = one if tf is None else tf.unionByName(one)
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    blocks = tf.withColumn("impact", impact).groupBy("field", "term", "doc_range").agg(F.max("impact").alias("max_impact"), F.count("*").alias("df"), F.collect_list(F.struct("key", "impact")).alias("postings"))
-    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("field", "term"), F.lit(BUCKETS)))
     # shards by range, so that a word of most documents isn't in one task
     shards = max(1, (len(cuts) + 1) * each // RANGES)
-    blocks.repartition("bucket", F.pmod("doc_range", F.lit(shards))).sortWithinPartitions("bucket", "field", "term", "doc_range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    bucket = F.pmod(F.xxhash64("field", "term"), F.lit(BUCKETS)).alias("bucket")
+    postings = tf.select(bucket, F.pmod("doc_range", F.lit(shards)).alias("shard"), "field", "term", "doc_range", "key", impact.alias("impact"))
+    # the only shuffle: postings are dealt as the files are, and put together where they are
+    dealt = postings.repartition("bucket", "shard").groupBy("bucket", "shard", "field", "term", "doc_range")
+    blocks = dealt.agg(F.max("impact").alias("max_impact"), F.count("*").alias("df"), F.collect_list(F.struct("key", "impact")).alias("postings"))
+    blocks.sortWithinPartitions("bucket", "field", "term", "doc_range").drop("shard").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     spark.read.parquet(f"{path}/blocks").groupBy("field", "term").agg(F.sum("df").alias("df")).sort("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
     files.create_text(spark, f"{path}/statistics.json", json.dumps({"n": n, "key": key, "fields": [[f.name, f.kind, f.boost] for f in fields]}))
 

@@ -3,10 +3,11 @@
 import uuid
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from graphloom.operators import deps, listing
-from graphloom.operators.search_index import Field, SearchIndex, build_index
+from graphloom.operators.search_index import Field, SearchIndex, _term_counts, build_index
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,17 @@ def test_iris_are_found_by_the_parts_of_their_path(spark):
     got = {r.id: r.score for r in SearchIndex(spark, path).scores("cells").collect()}
     assert got.keys() == {"p1", "p2", "p3"} and got["p2"] > got["p1"]
     assert [r.id for r in SearchIndex(spark, path).top("b", 5).collect()] == ["p1"]
+
+
+def test_words_are_counted_within_the_row(spark):
+    docs = spark.createDataFrame([("a", 0, ["x", "x", "y", "z", "z", "z"]), ("b", 1, []), ("c", 2, ["x"]), ("a", 0, ["y"])], "key string, doc_range int, words array<string>")
+    got = _term_counts(docs, "words")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 1, "y", 1), ("a", 0, 6, "x", 2), ("a", 0, 6, "y", 1), ("a", 0, 6, "z", 3), ("c", 2, 1, "x", 1)]
+
+
+def test_postings_are_shuffled_once(spark, docs, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda out, path: plans.append(out._df._jdf.queryExecution().executedPlan().toString()) or write(out, path))
+    build_index(docs, [Field("text"), Field("source", "iri")], f"{deps.shared_folder(spark).rstrip('/')}/s-{uuid.uuid4().hex}")
+    assert plans[0].count("Exchange") == 1
