@@ -36,30 +36,35 @@ def _entries(doc: dict) -> Iterator[tuple]:
                 stack += [(f"{path}{SEPARATOR}{k}", v, within) for k, v in value.items() if not k.startswith("@")]
 
 
-def flatten_documents(docs: DataFrame) -> DataFrame:
-    """Entries of expanded documents (id, project, deprecated, doc), a set per document.
+def flatten_documents(docs: DataFrame, *, references: bool = False) -> DataFrame:
+    """Entries of expanded documents (id, project, deprecated, doc), a set per document; references: those with a ref alone.
 
     A document that isn't a JSON object gives no entries; a deprecated one gives none but keeps its types elsewhere.
     """
     names = [f.split()[0] for f in ENTRY.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+    kinds = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for id, project, deprecated, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # what all entries of a document share is built once per document, and dealt to them by its place
+            rows, place, types = [], [], []
+            for i, (deprecated, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+                types.append(None)
                 try:
                     doc = json.loads(text or "")
                 except (ValueError, RecursionError):
                     continue
-                if not isinstance(doc, dict):
+                if not isinstance(doc, dict) or deprecated:
                     continue
-                types = doc.get("@type") or []
-                types = [types] if isinstance(types, str) else types
-                seen = {(p, a, d, i, None if t is None else tuple(t), g, x) for p, a, d, i, t, g, x in _entries(doc)} if not deprecated else ()
-                rows += [(id, project, deprecated, types, p, a, d, i, None if t is None else list(t), g, x) for p, a, d, i, t, g, x in seen]
+                own = doc.get("@type") or []
+                types[i] = [own] if isinstance(own, str) else own
+                seen = {(p, a, d, r, None if t is None else tuple(t), g, x) for p, a, d, r, t, g, x in _entries(doc) if r is not None or not references}
+                rows += seen
+                place += [i] * len(seen)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                at = pa.array(place, pa.int32())
+                shared = [c.take(at) for c in (*(c.cast(k) for c, k in zip(batch.columns, (pa.string(), pa.string(), pa.bool_()))), pa.array(types, pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([*shared, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     return docs.select("id", "project", "deprecated", "doc").mapInArrow(run, ENTRY)
 

@@ -149,7 +149,10 @@ class KeyedIndex:
         return last.select("doc.*").withColumn("bucket", self.bucket())
 
     def _merged(self, m: Manifest, buckets: list[int] | None) -> DataFrame:
-        changes, base = self._deltas(m, buckets), self._base(m, buckets)
+        changes = self._deltas(m, buckets)
+        if not any(buckets is None or int(b) in buckets for b in m.base):
+            return changes.filter("not index_deleted")  # the deltas are read once
+        base = self._base(m, buckets)
         kept = base.join(changes.select("bucket", *self.keys), ["bucket", *self.keys], "left_anti")
         return kept.unionByName(changes.filter("not index_deleted"))
 
@@ -161,8 +164,12 @@ class KeyedIndex:
         rows = self._merged(m, buckets) if m.deltas else self._base(m, buckets)
         return rows.drop("bucket", "index_deleted")
 
-    def lookup(self, wanted: DataFrame) -> DataFrame:
-        """The documents of some keys, or of what decides about buckets; opens their buckets only."""
+    def near(self, wanted: DataFrame) -> DataFrame:
+        """The documents of the buckets of some keys: for joins that do without those that aren't wanted."""
         hit = sorted(r["bucket"] for r in wanted.select(self.bucket().alias("bucket")).distinct().collect())  # as many as buckets at most
+        return self.read(buckets=hit)
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """The documents of some keys, or of what decides about buckets; opens their buckets only. wanted is computed twice."""
         on = [k for k in self.keys if k in wanted.columns]
-        return self.read(buckets=hit).join(wanted.select(*on).distinct(), on, "left_semi")
+        return self.near(wanted).join(wanted.select(*on), on, "left_semi")

@@ -43,12 +43,14 @@ class ReferenceIndex:
             docs = last.filter("action = 'index'")
             changed = last.select(*NODE, "types", "ordering", F.lit("Success").alias("status"))
             self.types.write_batch(changed, batch_id)
-            refs = flatten_documents(docs).filter("ref is not null").select(*NODE, "path", "in_array", "ref").persist()
+            refs = flatten_documents(docs, references=True).select(*NODE, "path", "in_array", "ref").persist()
             try:
                 self._write_referrers(docs, refs, batch_id)
                 fresh = self._resolved(docs, refs)
-                stale = self._refreshed(changed, docs, batch_id)
-                self.documents.write_batch(fresh if stale is None else fresh.unionByName(stale), batch_id)
+                hit = self._hit(changed, docs, batch_id)
+                self.documents.write_batch(fresh if hit is None else fresh.unionByName(self._refreshed(changed, hit)), batch_id)
+                if hit is not None:
+                    hit.unpersist()
             finally:
                 refs.unpersist()
         finally:
@@ -59,37 +61,42 @@ class ReferenceIndex:
 
     def _write_referrers(self, docs: DataFrame, refs: DataFrame, batch_id: int) -> None:
         """New references come in, those that a document doesn't have any more go."""
-        now = refs.select("project", F.col("ref").alias("target"), "id").distinct()
+        now = refs.select("project", F.col("ref").alias("target"), "id")  # the index takes each key once
         marks = now.withColumns({"status": F.lit("Success"), "rank": F.lit(1)})
         if self.documents.manifest().schema is not None:
             old = self.documents.lookup(docs.select(*NODE))
-            old = old.select("project", "id", F.explode("references.ref").alias("target")).distinct()
+            old = old.select("project", "id", F.explode("references.ref").alias("target"))
             gone = old.join(now, ["project", "target", "id"], "left_anti").withColumns({"status": F.lit("Dropped"), "rank": F.lit(1)})
             marks = marks.unionByName(gone.select(*marks.columns))
         self.referrers.write_batch(marks.withColumn("part", self._part()), batch_id, ordering="rank")
 
     def _resolved(self, docs: DataFrame, refs: DataFrame) -> DataFrame:
         """Documents with their references and the types known for each."""
-        known = self.types.lookup(refs.select("project", F.col("ref").alias("id"))).select("project", F.col("id").alias("ref"), F.col("types").alias("found_types"))
+        known = self.types.near(refs.select("project", F.col("ref").alias("id"))).select("project", F.col("id").alias("ref"), F.col("types").alias("found_types"))
         whole = refs.join(known, ["project", "ref"], "left")
         per = whole.groupBy(*NODE).agg(F.sort_array(F.collect_list(F.struct("path", "in_array", "ref", "found_types"))).alias("references"))
         empty = F.array().cast(per.schema["references"].dataType)
         rows = docs.join(per, NODE, "left")
         return rows.select(*NODE, "ordering", F.lit("Success").alias("status"), "types", "deprecated", F.coalesce("references", empty).alias("references"))
 
-    def _refreshed(self, changed: DataFrame, docs: DataFrame, batch_id: int) -> DataFrame | None:
-        """Documents that this batch doesn't hold and that show a type which it changes."""
+    def _hit(self, changed: DataFrame, docs: DataFrame, batch_id: int) -> DataFrame | None:
+        """Keys of documents that this batch doesn't hold and that show a type which it changes, kept as they're read twice."""
         m = self.documents.manifest()
         if m.schema is None or batch_id in m.deltas or batch_id <= m.folded:
             return None
         parts = F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))).alias("part")
         hit = self.referrers.lookup(changed.select("project", F.col("id").alias("target"), parts)).select(*NODE).distinct()
-        stale = self.documents.lookup(hit.join(docs.select(*NODE), NODE, "left_anti"))
+        return hit.join(docs.select(*NODE), NODE, "left_anti").persist()
+
+    def _refreshed(self, changed: DataFrame, hit: DataFrame) -> DataFrame:
+        """Documents with the types that this batch changes; each has a reference, so none is lost with its references apart."""
+        stale = self.documents.lookup(hit)
+        rest = [c for c in stale.columns if c not in (*NODE, "references")]
         new = changed.select("project", F.col("id").alias("ref"), F.col("types").alias("new_types"))
-        one = stale.select(*NODE, F.explode("references").alias("r")).select(*NODE, "r.*").join(new, ["project", "ref"], "left")
+        one = stale.select(*NODE, F.struct(*rest).alias("rest"), F.explode("references").alias("r")).select(*NODE, "rest", "r.*").join(new, ["project", "ref"], "left")
         one = one.withColumn("found_types", F.coalesce("new_types", "found_types"))
-        per = one.groupBy(*NODE).agg(F.sort_array(F.collect_list(F.struct("path", "in_array", "ref", "found_types"))).alias("references"))
-        return stale.drop("references").join(per, NODE).select(*stale.columns)
+        per = one.groupBy(*NODE).agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("path", "in_array", "ref", "found_types"))).alias("references"))
+        return per.select(*NODE, "rest.*", "references").select(*stale.columns)
 
     def read(self) -> DataFrame:
         """project, id, ordering, status, types, deprecated, references (path, in_array, ref, found_types)."""

@@ -317,3 +317,24 @@ def test_the_upsert_query_writes_its_batches_by_the_trigger(spark, sf_dir, monke
     n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert writes == [(n - 1) // 50] and writes[0] > 10  # batches by number, from 0 on
     assert rows(got) == rows(connection(sf_dir).sql(SQL["sink_document_upsert"]).df())
+
+
+def test_open_deltas_without_a_base_are_read_once(spark, folder):
+    index = KeyedIndex(spark, folder, ["id"], buckets=2)
+    index.write_batch(elements(spark, ("a", 1, "Success", "a1"), ("b", 2, "Success", "b")), 0)
+    index.write_batch(elements(spark, ("b", 3, "Dropped", None)), 1)
+    scans = index.read()._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans == 1 and values(index.read()) == {"a": "a1"}
+
+
+def test_a_refreshed_document_is_read_once_and_keeps_the_rest(spark, folder):
+    index = ReferenceIndex(spark, folder, buckets=4, parts=2)
+    batch = lambda *rows: spark.createDataFrame([("p", *r) for r in rows], RESOURCE)
+    index.handle(batch(("a", 1, "index", ["A"], False, '{"knows":[{"@id":"b"},{"@id":"b","@type":"X"},{"@id":"c"}],"name":"n"}'), ("e", 2, "index", ["E"], False, "{}")), 0)
+    changed = spark.createDataFrame([("p", "b", ["B"])], "project string, id string, types array<string>")
+    rows = index._refreshed(changed, spark.createDataFrame([("p", "a")], "project string, id string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    index.handle(batch(("b", 3, "update", ["B"], False, None)), 1)
+    got = {r.id: r for r in index.read().collect()}
+    assert [(x.path, x.in_array, x.ref, x.found_types) for x in got["a"].references] == [("knows", True, "b", ["B"]), ("knows", True, "b", ["B"]), ("knows", True, "c", None)]
+    assert (got["a"].ordering, got["a"].types, got["a"].deprecated, got["e"].references) == (1, ["A"], False, [])
