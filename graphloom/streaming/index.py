@@ -72,10 +72,11 @@ class KeyedIndex:
 
     # writing
 
-    def write_batch(self, elements: DataFrame, batch_id: int, *, ordering: str = "ordering") -> bool:
+    def write_batch(self, elements: DataFrame, batch_id: int, *, ordering: str = "ordering", unique: bool = False) -> bool:
         """One batch of elements (keys, ordering, status and the document's columns) as a delta; False if it counts already.
 
         Several batches at once are one delta under the last one's number; the column index_batch then tells which is later.
+        unique: there is one element per key already.
         """
         m = self.manifest()
         if batch_id <= m.folded or batch_id in m.deltas:
@@ -83,7 +84,7 @@ class KeyedIndex:
         documents = [c for c in elements.columns if c not in OWN]
         schema = elements.select(*documents).schema
         rows = elements.filter("status <> 'Failed'").dropna(subset=self.keys).select(F.struct(*documents).alias("doc"), *self.keys, F.struct(*(c for c in elements.columns if c == "index_batch"), ordering, "status").alias("index_order"))
-        last = rows.groupBy(*self.keys).agg(F.max_by("doc", "index_order").alias("doc"), F.max("index_order").alias("index_order"))
+        last = rows if unique else rows.groupBy(*self.keys).agg(F.max_by("doc", "index_order").alias("doc"), F.max("index_order").alias("index_order"))
         stored = last.select("doc.*", (F.col("index_order.status") == "Dropped").alias("index_deleted"), self.bucket().alias("bucket"))
         stored.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._delta(batch_id))
         if files.names(self.spark, self._delta(batch_id)) == ["_SUCCESS"]:
@@ -145,7 +146,8 @@ class KeyedIndex:
             return self.spark.createDataFrame([], schema.add("bucket", IntegerType()))
         rows = self.spark.read.schema(schema).parquet(*paths).withColumn("at", F.col("_metadata.file_path"))
         whole = rows.select(*self.keys, F.struct(*schema.names).alias("doc"), F.regexp_extract("at", r"/delta/b(\d+)/", 1).cast("long").alias("index_batch"))
-        last = whole.groupBy(*self.keys).agg(F.max_by("doc", "index_batch").alias("doc"))
+        # a delta holds a key once
+        last = whole if len(m.deltas) == 1 else whole.groupBy(*self.keys).agg(F.max_by("doc", "index_batch").alias("doc"))
         return last.select("doc.*").withColumn("bucket", self.bucket())
 
     def _merged(self, m: Manifest, buckets: list[int] | None) -> DataFrame:

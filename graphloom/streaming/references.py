@@ -42,13 +42,13 @@ class ReferenceIndex:
         try:
             docs = last.filter("action = 'index'")
             changed = last.select(*NODE, "types", "ordering", F.lit("Success").alias("status"))
-            self.types.write_batch(changed, batch_id)
+            self.types.write_batch(changed, batch_id, unique=True)
             refs = flatten_documents(docs, references=True).select(*NODE, "path", "in_array", "ref").persist()
             try:
                 self._write_referrers(docs, refs, batch_id)
                 fresh = self._resolved(docs, refs)
                 hit = self._hit(changed, docs, batch_id)
-                self.documents.write_batch(fresh if hit is None else fresh.unionByName(self._refreshed(changed, hit)), batch_id)
+                self.documents.write_batch(fresh if hit is None else fresh.unionByName(self._refreshed(changed, hit)), batch_id, unique=True)
                 if hit is not None:
                     hit.unpersist()
             finally:
@@ -73,7 +73,8 @@ class ReferenceIndex:
     def _resolved(self, docs: DataFrame, refs: DataFrame) -> DataFrame:
         """Documents with their references and the types known for each."""
         known = self.types.near(refs.select("project", F.col("ref").alias("id"))).select("project", F.col("id").alias("ref"), F.col("types").alias("found_types"))
-        whole = refs.join(known, ["project", "ref"], "left")
+        # by merge: packed files of types are far smaller than what a broadcast would hold
+        whole = refs.join(known.hint("merge"), ["project", "ref"], "left")
         per = whole.groupBy(*NODE).agg(F.sort_array(F.collect_list(F.struct("path", "in_array", "ref", "found_types"))).alias("references"))
         empty = F.array().cast(per.schema["references"].dataType)
         rows = docs.join(per, NODE, "left")

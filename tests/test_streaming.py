@@ -322,6 +322,7 @@ def test_the_upsert_query_writes_its_batches_by_the_trigger(spark, sf_dir, monke
 def test_open_deltas_without_a_base_are_read_once(spark, folder):
     index = KeyedIndex(spark, folder, ["id"], buckets=2)
     index.write_batch(elements(spark, ("a", 1, "Success", "a1"), ("b", 2, "Success", "b")), 0)
+    assert "Exchange" not in index.read()._jdf.queryExecution().executedPlan().toString()  # one delta holds a key once
     index.write_batch(elements(spark, ("b", 3, "Dropped", None)), 1)
     scans = index.read()._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
     assert scans == 1 and values(index.read()) == {"a": "a1"}
